@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pathmill.llm.common import new_dir
 
 SALTS = 8
+#: Runs carry Bloom filters sized by what they hold.
+BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def digest_of(text: Column) -> Column:
@@ -36,7 +38,7 @@ class DigestIndex:
     def _flush(self, rows: DataFrame, level: int) -> None:
         run = f"{self.path}/run-{self.written:05d}"
         self.written += 1
-        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(run)
+        rows.sortWithinPartitions("digest").write.options(**BLOOM).parquet(run)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
