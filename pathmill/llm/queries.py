@@ -8,20 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathmill.llm.exact_dedup import exact_duplicates
+from pathmill.llm.language_id import identify_languages
 from pathmill.llm.line_dedup import drop_common_lines
 from pathmill.llm.mixing import mix_sources
 from pathmill.llm.packing import pack_documents
 from pathmill.llm.quality import quality_rules
+from pathmill.llm.warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -40,7 +50,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_writer": op1_warc_writer,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_source_mixing": op9_source_mixing,
