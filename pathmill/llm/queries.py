@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathmill.llm.exact_dedup import exact_duplicates
+from pathmill.llm.fm_index import erase_repeated_words
 from pathmill.llm.language_id import identify_languages
 from pathmill.llm.line_dedup import drop_common_lines
 from pathmill.llm.mixing import mix_sources
 from pathmill.llm.packing import pack_documents
 from pathmill.llm.quality import quality_rules
+from pathmill.llm.suffix_groups import erase_repeated_bytes
 from pathmill.llm.warc import round_trip
 
 
@@ -24,6 +26,11 @@ def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = erase_repeated_words(_read(spark, sf_dir, "documents"))
+    return words.select("doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"), keep="max")
 
@@ -40,6 +47,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = erase_repeated_bytes(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -51,10 +63,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_writer": op1_warc_writer,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
