@@ -5,25 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathmill.llm.common import new_dir
 from pathmill.llm.exact_dedup import exact_duplicates
+from pathmill.llm.language_id import identify_languages
+from pathmill.llm.mixing import mix_sources
+from pathmill.llm.ngram_join import near_duplicates
 from pathmill.llm.packing import pack_documents
 
+#: The columns of documents, which every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document stays when the words of one language make up this share of it at least.
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def _matched(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The documents whose id is among the chosen ones; null ids match each other."""
+    return docs.join(chosen.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those in no language for the most part."""
+    found = identify_languages(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return _matched(docs, found.select("doc_id")).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_duplicates(docs, keep="min").where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of equal texts stays, the one with the smallest id."""
+    return _matched(docs, exact_duplicates(docs, keep="min").where("kept").select("doc_id")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return _matched(docs, near_duplicates(docs).where("kept").select("doc_id")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number: from none to three times."""
+    taken = mix_sources(docs).select("doc_id", F.expr("cast(floor(try_divide(taken, size) + 0.5) as int)").alias("copies")).where("copies > 0")
+    return _matched(docs, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed training sequences: one row per piece of a document."""
     return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language id", keep_languages),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix),
     ("best-fit packing", pack),
 ]
 

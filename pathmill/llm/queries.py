@@ -12,6 +12,7 @@ from pathmill.llm.fm_index import erase_repeated_words
 from pathmill.llm.language_id import identify_languages
 from pathmill.llm.line_dedup import drop_common_lines
 from pathmill.llm.mixing import mix_sources
+from pathmill.llm.ngram_join import near_duplicates
 from pathmill.llm.packing import pack_documents
 from pathmill.llm.quality import quality_rules
 from pathmill.llm.suffix_groups import erase_repeated_bytes
@@ -47,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = erase_repeated_bytes(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
