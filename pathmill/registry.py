@@ -10,5 +10,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a query under `name`, with the SQL that gives the same rows where SQL can."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r09_primary_pairs"](spark, sf_dir)
+
+
+from pathmill.plans import q_aggregates, q_coverage, q_graphs, q_joins, q_pairs, q_planning, q_retrieval, q_sources, q_text, q_tokens  # noqa: E402, F401
