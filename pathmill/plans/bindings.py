@@ -20,13 +20,13 @@ def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.09").select("l_suppkey", "l_partkey", "l_quantity")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(coded("T", 6, "l_suppkey").alias("track_id"), coded("P", 7, "l_partkey").alias("course_id"), F.col("p_brand").alias("brand"), (F.col("l_quantity") >= 40).alias("strong"))
+    return joined.select(coded("T", 6, "l_suppkey").alias("track_id"), coded("P", 7, "l_partkey").alias("course_id"), F.lower("p_brand").alias("brand"), (F.col("l_quantity") >= 40).alias("strong"))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track_id, college_id, department_id, course_ids, tech: supplier, region, nation, parts sold, brands sold most."""
     lists = taught(spark, sf_dir).groupBy("track_id").agg(
-        F.array_sort(F.collect_set("course_id")).alias("course_ids"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.lower("brand")))).alias("tech")
+        F.array_sort(F.collect_set("course_id")).alias("course_ids"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("brand")))).alias("tech")
     )
     base = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     base = base.select(coded("T", 6, "s_suppkey").alias("track_id"), F.concat(F.lit("C"), "n_regionkey").alias("college_id"), coded("D", 2, "n_nationkey").alias("department_id"))
