@@ -1 +1,67 @@
-"""Registered queries."""
+"""Registered queries: scans, exports and the batch twins of incremental ingest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pathmill.functions import text as X
+from pathmill.operators.aggregates import latest_per_key
+from pathmill.operators.joins import not_collected
+from pathmill.plans.bindings import TRACKS_SQL, tracks
+from pathmill.registry import query
+from pathmill.session import table
+from pathmill.sources import readers, writers
+from pathmill.streaming.ingest import progress
+
+
+@query("s06_latest_snapshot", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def s06(spark, d):
+    return readers.latest_snapshot(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
+
+
+@query("s09_flattened_export", "SELECT p_partkey, replace(p_name, ' ', ', ') AS tags, p_brand AS brand, p_size AS size FROM part")
+def s09(spark, d):
+    nested = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"), F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type")).alias("extra"))
+    return writers.flattened(nested, keep=["brand", "size"])
+
+
+@query("s11_checked_catalog", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 5 THEN 'size' END, CASE WHEN p_retailprice >= 1500 THEN 'price' END], lambda x: x IS NOT NULL), '|') AS broken FROM part WHERE p_size < 5 OR p_retailprice >= 1500")
+def s11(spark, d):
+    _, bad = readers.checked(table(spark, d, "part"), {"size": F.col("p_size") >= 5, "price": F.col("p_retailprice") < 1500})
+    return bad.select("p_partkey", F.array_join("broken", "|").alias("broken"))
+
+
+@query("s12_vector_side_table", f"WITH {TRACKS_SQL} SELECT track_id, coalesce(len(embedding), 0) AS dims, round(coalesce(embedding[1], 0)::DOUBLE, 6) AS first FROM tracks LEFT JOIN embeddings ON CAST(substr(track_id, 2) AS BIGINT) * 7 = vec_id")
+def s12(spark, d):
+    vectors = table(spark, d, "embeddings").where("vec_id % 7 = 0").select(F.concat(F.lit("T"), F.lpad((F.col("vec_id") / 7).cast("long").cast("string"), 6, "0")).alias("track_id"), F.col("embedding").cast("array<double>").alias("meta_vector"))
+    rows = readers.with_vectors(tracks(spark, d).select("track_id"), vectors, "track_id")
+    return rows.select("track_id", F.size("meta_vector").cast("long").alias("dims"), F.round(F.coalesce(F.get("meta_vector", 0), F.lit(0.0)), 6).alias("first"))
+
+
+@query("i01_incremental_dedupe", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def i01(spark, d):
+    """The batch twin of the streaming dedupe: each key once, by its first row."""
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("i02_progress", "SELECT event_type, count(*) AS collected, 2000 AS target, CASE WHEN count(*) >= 2000 THEN 'done' ELSE 'open' END AS status FROM events GROUP BY 1")
+def i02(spark, d):
+    return progress(table(spark, d, "events"), "event_type", 2000)
+
+
+@query("i03_newest_version", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+def i03(spark, d):
+    return latest_per_key(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id")
+
+
+@query("s10_document_table", "SELECT lang AS doc_type, lang || '_' || source || '.txt' AS doc_path, count(*) AS n FROM documents GROUP BY ALL")
+def s10(spark, d):
+    rows = table(spark, d, "documents").select(F.col("lang").alias("doc_type"), F.concat(F.col("lang"), F.lit("_"), X.safe_name(F.col("source")), F.lit(".txt")).alias("doc_path"))
+    return rows.groupBy("doc_type", "doc_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j01_against_earlier_batch", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-10')")
+def j01_batch(spark, d):
+    events = table(spark, d, "events")
+    cut = F.to_timestamp(F.lit("2024-01-10"))
+    return not_collected(events.where(F.col("ts") >= cut), events.where(F.col("ts") < cut), ["user_id"]).select("event_id")
