@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -87,13 +88,15 @@ def _shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // CELLS + 1
     cell = F.floor((F.col("id") - low) / width)
-    sums = {r["cell"] or 0: r["n"] for r in pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 400).alias("n")).collect()}
+    sums: Counter[int] = Counter()
+    for r in pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 400).alias("n")).collect():
+        sums[r["cell"] or 0] += r["n"]
     first, filled = [0], 0
     for c in range(CELLS):
-        if filled and filled + sums.get(c, 0) > shard_bytes:
+        if filled and filled + sums[c] > shard_bytes:
             first.append(c)
             filled = 0
-        filled += sums.get(c, 0)
+        filled += sums[c]
     return low, width, first
 
 
