@@ -6,16 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-BAD = "_corrupt_record"
+from pyspark.sql.types import ArrayType, StructType
 
 
 def read_json_arrays(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Good and bad records of files that hold arrays of objects; a file that cannot be parsed is one bad record."""
-    full = StructType([*schema.fields, StructField(BAD, StringType())])
-    rows = spark.read.schema(full).json(paths, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD).withColumn("path", F.input_file_name())
-    return rows.where(F.col(BAD).isNull()).drop(BAD), rows.where(F.col(BAD).isNotNull()).select("path", BAD)
+    """Records of files that hold an array of objects each, and (path, text) of the files that do not."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    parsed = files.withColumn("records", F.when(F.ltrim("text").startswith("["), F.from_json("text", ArrayType(schema), {"mode": "PERMISSIVE"})))
+    good = parsed.where("records is not null").select(F.explode("records").alias("r")).select("r.*")
+    return good, parsed.where("records is null").select("path", "text")
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
