@@ -97,6 +97,7 @@ class Rule:
     bundle_bytes: int = 4 << 20
     shard_bytes: int = 24 << 20
     hot_bundles: int = 2000
+    search_bytes: int = 4 << 20  # a shard is searched in parts of about this size, whole routes each
 
 
 class Bundle:
@@ -293,10 +294,21 @@ def _search(rule: Rule) -> Callable:
                 own.append(k)
             wanted.append(own)
         texts, ids = list(numbers), np.array(least, np.int64)
-        # a segment alone on its route equals no other; the others are searched
+        # a segment alone on its route equals no other; the others are searched, the routes' segments together
         _, group, sizes = np.unique(np.array(route_of, np.uint64), return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(sizes[group] > 1).tolist()
-        answers: dict[int, np.ndarray] = dict(zip(shared, rule.search([texts[k] for k in shared], ids[shared], rule.width), strict=True)) if shared else {}
+        order = np.argsort(group, kind="stable")
+        order = order[sizes[group[order]] > 1]
+        answers: dict[int, np.ndarray] = {}
+        part: list[int] = []
+        held = 0
+        for k, last in zip(order.tolist(), np.append(group[order][1:] != group[order][:-1], True).tolist() if len(order) else []):
+            part.append(k)
+            held += len(texts[k])
+            if last and held >= rule.search_bytes:
+                answers |= zip(part, rule.search([texts[x] for x in part], ids[part], rule.width), strict=True)
+                part, held = [], 0
+        if part:
+            answers |= zip(part, rule.search([texts[x] for x in part], ids[part], rule.width), strict=True)
         rows = []
         for key, own in zip(pdf["bundle"], wanted, strict=True):
             # one number for a segment that is answered alike throughout, else one per window

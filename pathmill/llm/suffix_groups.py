@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pathmill.llm.repeats import Rule, erase_repeats
+from pathmill.llm.repeats import Rule, erase_repeats, gram_hashes, mixed
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -91,16 +91,19 @@ def suffix_array(text: list[int]) -> list[int]:
     return done
 
 
-def smallest_owners(segments: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each segment and each of its windows of `width` bytes, the least id of a segment that holds the window."""
+def _joined(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments with a byte after each, their starts and sizes, and each byte's segment."""
     sizes = np.array([len(s) for s in segments])
-    joined = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    return np.frombuffer(b"\0".join(segments) + b"\0", np.uint8), starts, sizes, np.repeat(np.arange(len(segments)), sizes + 1)
+
+
+def least_by_order(parts: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each part and each of its windows, the least id of a part that holds the window, by the parts' suffix array."""
+    joined, starts, sizes, owner = _joined(parts)
     symbols = joined.astype(np.int64) + 2
     symbols[starts + sizes] = 1
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    inside = np.arange(len(joined)) - starts[owner]
-    is_window = inside + width <= sizes[owner]
+    is_window = np.arange(len(joined)) - starts[owner] + width <= sizes[owner]
     ordered = np.array(suffix_array([*symbols.tolist(), 0]))
     ordered = ordered[ordered < len(joined)]
     ordered = ordered[is_window[ordered]]
@@ -116,9 +119,38 @@ def smallest_owners(segments: list[bytes], ids: np.ndarray, width: int) -> list[
     return [answers[a : a + n - width + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def smallest_owners(segments: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each segment and each of its windows of `width` bytes, the least id of a segment that holds the window.
+
+    A window whose hash stands alone is its own; runs of the other windows are ordered exactly, equal runs once.
+    """
+    joined, starts, sizes, owner = _joined(segments)
+    answers = ids[owner]
+    hashes = mixed(gram_hashes(joined.astype(np.uint64), width))
+    is_window = (np.arange(len(joined)) - starts[owner] + width <= sizes[owner])[: len(hashes)]
+    at = np.flatnonzero(is_window)
+    order = np.argsort(hashes[at], kind="stable")
+    equal = hashes[at][order][1:] == hashes[at][order][:-1]
+    shared = np.zeros(len(joined) + 1, bool)
+    shared[at[order[1:][equal]]] = shared[at[order[:-1][equal]]] = True
+    edge = np.diff(np.concatenate([[0], shared.astype(np.int8)]))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begins):
+        return [answers[a : a + n - width + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    raw = joined.tobytes()
+    numbers: dict[bytes, int] = {}
+    runs = [(a, b, numbers.setdefault(raw[a : b + width - 1], len(numbers))) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    least = np.full(len(numbers), np.iinfo(np.int64).max)
+    np.minimum.at(least, np.array([k for _, _, k in runs]), ids[owner[begins]])
+    found = least_by_order(list(numbers), least, width)
+    for a, b, k in runs:
+        answers[a:b] = found[k]
+    return [answers[a : a + n - width + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
 def erase_repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a `width`-byte string that also starts in a document with a smaller id.
 
     Returns id_col, n, removed, spans, kept (bytes) per row; see erase_repeats for nulls, ties and repeated ids.
     """
-    return erase_repeats(docs, Rule("bytes", width, min(20, width), smallest_owners), id_col, text_col)
+    return erase_repeats(docs, Rule("bytes", width, min(20, width), smallest_owners, bundle_bytes=2 << 20, search_bytes=1 << 19), id_col, text_col)
