@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathmill.llm import oracles, quality
 from pathmill.llm.exact_dedup import exact_duplicates
 from pathmill.llm.fm_index import erase_repeated_words
 from pathmill.llm.language_id import identify_languages
@@ -79,25 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
 ORACLE_SQL: dict[str, str] = {
-    "op3_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
-    "op10_line_dedup": f"""
-        WITH lines AS (
-            SELECT doc_id, pos, split[pos] AS line,
-                   translate(trim(split[pos], {SPACE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents),
-                 unnest(generate_series(1, len(split))) AS t(pos)
-        ), common AS (
-            SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
-        )
-        SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
-        FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
-    """,
+    "op2_substring_dedup": oracles.SUBSTRING,
+    "op3_exact_dedup": oracles.EXACT,
+    "op6_quality_rules": oracles.quality(quality.FEATURES, quality.GAMMA, quality.FENCE, quality.SYMBOLS),
+    "op9_source_mixing": oracles.mixing(17, 32, 3),
+    "op10_line_dedup": oracles.LINES,
 }
