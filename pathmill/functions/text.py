@@ -239,3 +239,9 @@ def packed_blocks(blocks: Column, limit: int) -> Column:
     fits = lambda s, b: s["used"] + F.length(b) <= limit
     step = lambda s, b: F.when(fits(s, b), F.struct((s["used"] + F.length(b)).alias("used"), F.concat(s["kept"], F.array(b)).alias("kept"))).otherwise(s)
     return F.aggregate(blocks, start, step)["kept"]
+
+
+def field_or_null_mark(text: Column, label: str) -> tuple[Column, Column]:
+    """The field's value, or the text "null" where its line is absent, and whether it was absent."""
+    value = labelled(text, label)
+    return F.coalesce(value, F.lit("null")), ~text.rlike(rf"(?m)^{label}:")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +14,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathmill-"))
     return df.checkpoint(eager=True)
+
+
+def new_dir(df: DataFrame, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathmill-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

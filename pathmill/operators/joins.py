@@ -84,3 +84,13 @@ def tokens_of_names(rows: DataFrame, index: DataFrame, owner: str, name: str, or
 
 def first_n_per_list(rows: DataFrame, key: str, ordinal: str, n: int) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(ordinal))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def documents_of_courses(docs: DataFrame, courses: DataFrame) -> DataFrame:
+    """doc, course_id: by the code in the file's name where the catalog has it, else by exact course name, first in the catalog.
+
+    docs: doc, code (null where the name holds none), name; courses: course_id, course_name, ord.
+    """
+    by_code = courses.select(F.col("course_id").alias("code"), F.col("course_id").alias("_by_code"))
+    by_name = courses.groupBy(F.col("course_name").alias("name")).agg(F.min(F.struct("ord", "course_id"))["course_id"].alias("_by_name"))
+    return docs.join(by_code, "code", "left").join(by_name, "name", "left").select("doc", F.coalesce("_by_code", "_by_name").alias("course_id")).where("course_id is not null")

@@ -174,3 +174,14 @@ def x02(spark, d):
 @query("x04_name_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 45")
 def x04(spark, d):
     return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_quantity >= 45").select("l_partkey"))
+
+
+@query("j18_documents_of_courses", """
+    WITH f AS (SELECT p_name, arg_min(p_partkey, p_partkey) AS first FROM part WHERE p_size < 40 GROUP BY 1)
+    SELECT p_partkey AS doc, CASE WHEN p_size < 20 THEN p_partkey ELSE first END AS course_id FROM part LEFT JOIN f USING (p_name) WHERE p_size < 20 OR first IS NOT NULL
+""")
+def j18(spark, d):
+    part = table(spark, d, "part")
+    docs = part.select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") < 20, F.col("p_partkey")).otherwise(-1).alias("code"), F.col("p_name").alias("name"))
+    catalog = part.where("p_size < 40").select(F.col("p_partkey").alias("course_id"), F.col("p_name").alias("course_name"), F.col("p_partkey").alias("ord"))
+    return J.documents_of_courses(docs, catalog)

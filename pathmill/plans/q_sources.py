@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathmill.functions import text as X
+from pathmill.lineage import new_dir
 from pathmill.operators.aggregates import latest_per_key
 from pathmill.operators.joins import not_collected
 from pathmill.plans.bindings import TRACKS_SQL, tracks
@@ -65,3 +66,49 @@ def j01_batch(spark, d):
     events = table(spark, d, "events")
     cut = F.to_timestamp(F.lit("2024-01-10"))
     return not_collected(events.where(F.col("ts") >= cut), events.where(F.col("ts") < cut), ["user_id"]).select("event_id")
+
+
+@query("s01_json_arrays", "SELECT o_orderkey, o_orderpriority FROM orders")
+def s01(spark, d):
+    """Orders written as files that each hold one array of objects, and read back."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    path = new_dir(orders, "arrays")
+    block = (F.col("o_orderkey") / 500).cast("long")
+    arrays = orders.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("value"))
+    arrays.repartitionByRange(16, "block").select("value").write.text(path, lineSep="\n")
+    lines = spark.read.text(path)
+    return lines.select(F.explode(F.from_json("value", "array<struct<o_orderkey: bigint, o_orderpriority: string>>")).alias("r")).select("r.*")
+
+
+@query("s02_csv_scan", "SELECT p_partkey, p_name || chr(10) || '\"q\", ' || p_brand AS label FROM part")
+def s02(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit('\n"q", '), "p_brand").alias("label"))
+    path = new_dir(rows, "csv")
+    writers.write_postings_csv(rows, path, ["p_partkey", "label"])
+    return readers.read_csv(spark, path, rows.schema)
+
+
+@query("s03_text_scan", "SELECT count(*) AS files, sum(n)::BIGINT AS rows FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
+def s03(spark, d):
+    rows = table(spark, d, "part").select("p_brand", F.concat("p_name", F.lit(".")).alias("value")).repartition("p_brand")
+    path = new_dir(rows, "texts")
+    rows.write.partitionBy("p_brand").text(path)
+    texts = readers.read_texts(spark, path)
+    return texts.agg(F.count_distinct(F.regexp_extract("path", "p_brand=([^/]*)", 1)).alias("files"), F.sum(F.regexp_count("text", F.lit(r"\."))).alias("rows"))
+
+
+@query("s07_csv_sink", "SELECT p_partkey, replace(p_name, ' ', '|') AS tags FROM part")
+def s07(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    path = new_dir(rows, "postings")
+    writers.write_postings_csv(rows, path, ["p_partkey", "tags"])
+    return spark.read.schema("p_partkey bigint, tags string").csv(path, header=True)
+
+
+@query("s08_json_sink", "SELECT p_partkey, string_split(p_name, ' ')[2] AS second, p_brand FROM part")
+def s08(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"), F.struct("p_brand").alias("extra"))
+    path = new_dir(rows, "records")
+    writers.write_postings_json(rows, path)
+    back = spark.read.schema("p_partkey bigint, tags array<string>, extra struct<p_brand: string>").json(path)
+    return back.select("p_partkey", F.col("tags")[1].alias("second"), "extra.p_brand")

@@ -210,3 +210,78 @@ def t18(spark, d):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     rows = table(spark, d, "orders").withColumn("place", place).where("place <= 3").withColumnRenamed("o_custkey", "c_custkey")
     return O.result_lines(rows, "c_custkey", "place", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "(none)", table(spark, d, "customer"))
+
+
+COURSE_TYPES = {"전공기초": "전공선택", "전공필수": "전공필수", "전공선택": "전공선택"}
+
+
+def _part(spark, d):
+    return table(spark, d, "part")
+
+
+@query("p11_syllabus_fields", "SELECT p_partkey, p_name AS name, CASE WHEN p_size > 5 THEN p_size::VARCHAR END AS credits, NULL::VARCHAR AS mail FROM part")
+def p11(spark, d):
+    text = F.concat(F.lit("강의\n과목명:  "), "p_name", F.when(F.col("p_size") > 5, F.concat(F.lit("\n학점: "), F.col("p_size").cast("string"))).otherwise("\n학점:"), F.lit("\n끝"))
+    docs = _part(spark, d).select("p_partkey", text.alias("text"))
+    return O.syllabus_fields(docs, "p_partkey", "text", {"name": "과목명", "credits": "학점", "mail": "메일"})
+
+
+@query("p12_weekly_plan", "SELECT p_partkey, w AS week, CASE WHEN p_size % 2 = 0 THEN p_type || ' 계속' ELSE p_brand || ' 계속' END AS topic FROM part, (VALUES (1), (2)) v(w)")
+def p12(spark, d):
+    week = lambda k: F.concat(F.lit(f"\n{k}주차\n토론\n"), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\n주제:"), "p_type")).otherwise(""), F.lit("\n계속"))
+    docs = _part(spark, d).select("p_partkey", F.concat(F.lit("머리"), week(1), week(2)).alias("text"))
+    return O.weekly_plan(O.numbered_lines(docs, "p_partkey", "text"), "p_partkey", "주제:", ["토론"])
+
+
+@query("p13_course_lines", "SELECT p_partkey, ['전공선택', '전공필수'][p_size % 3 + 1] AS course_type, p_name AS name, 'C' || lpad(p_partkey::VARCHAR, 6, '0') AS code, p_size % 4 + 1 AS credits FROM part WHERE p_size % 3 < 2")
+def p13(spark, d):
+    line = F.expr("concat('  - [', element_at(array('전공기초', '전공필수', '교양필수'), p_size % 3 + 1), '] ', p_name, ' (C', lpad(cast(p_partkey as string), 6, '0'), ', ', p_size % 4 + 1, '학점)')")
+    parsed = _part(spark, d).select("p_partkey", X.parse_course_line(line, COURSE_TYPES).alias("c")).where("c is not null")
+    return parsed.select("p_partkey", "c.course_type", "c.name", "c.code", "c.credits")
+
+
+@query("p18_document_metadata", "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name END AS title, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand FROM part")
+def p18(spark, d):
+    name = F.concat(F.element_at(F.array(F.lit("course"), F.lit("track"), F.lit("other")), F.col("p_size") % 3 + 1), F.lit("_"), "p_brand")
+    text = F.concat(F.lit("title: "), "p_name", F.lit("\nbrand: "), "p_brand")
+    fields = X.document_metadata(name, text, {"course": {"title": "title", "brand": "brand"}, "track": {"title": "title"}})
+    return _part(spark, d).select("p_partkey", fields.alias("m")).select("p_partkey", F.try_element_at("m", F.lit("title")).alias("title"), F.try_element_at("m", F.lit("brand")).alias("brand"))
+
+
+@query("p19_file_codes", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'C' || lpad(p_partkey::VARCHAR, 6, '0') END AS code FROM part")
+def p19(spark, d):
+    name = F.concat(F.lit("plan_"), F.when(F.col("p_size") % 2 == 0, "12345678901").otherwise("123"), F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("A.txt"))
+    return _part(spark, d).select("p_partkey", X.file_code(name).alias("code"))
+
+
+@query("p20_normalised_requirement", "SELECT p_partkey, CASE WHEN p_size % 5 IN (0, 1, 4) THEN NULL WHEN p_size % 5 = 2 THEN p_name ELSE p_name || ', ' || repeat('x', 60) END AS needs FROM part")
+def p20(spark, d):
+    k = F.col("p_size") % 5
+    raw = F.when(k == 0, "해당 없음").when(k == 1, "없습니다 다만 (참고)").when(k == 2, F.concat("p_name", F.lit("（필수）."))).when(k == 3, F.concat("p_name", F.lit(", "), F.lit("x" * 60))).otherwise("x" * 61)
+    return _part(spark, d).select("p_partkey", X.normalise_requirement(raw, ["", "null", "없음", "해당없음", "무관", "n/a", "-"], ["없"]).alias("needs"))
+
+
+@query("p21_missing_field", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE 'null' END AS needs, p_size % 3 = 1 AS added FROM part")
+def p21(spark, d):
+    k = F.col("p_size") % 3
+    text = F.concat(F.lit("title: x\n"), F.when(k == 0, F.concat(F.lit("needs: "), "p_name")).when(k == 1, "none").otherwise("needs:"))
+    value, added = X.field_or_null_mark(text, "needs")
+    return _part(spark, d).select("p_partkey", value.alias("needs"), added.alias("added"))
+
+
+@query("p22_split_requirement", "SELECT p_partkey, replace(p_name, ' ', '|') || '|' || p_brand AS names FROM part")
+def p22(spark, d):
+    raw = F.concat(F.lit("필수: "), F.regexp_replace("p_name", " ", "(참고) 또는 "), F.lit(" / "), "p_brand", F.lit(". , ,"))
+    return _part(spark, d).select("p_partkey", F.array_join(X.split_requirement(raw), "|").alias("names"))
+
+
+@query("p23_embedding_document", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(replace(x, 'the ', ''), '^\\s+|\\s+$', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 2), chr(10))) AS digest FROM documents")
+def p23(spark, d):
+    built = X.embedding_document(F.split("text", "\n"), ["menu"], ["the "])
+    return table(spark, d, "documents").select("doc_id", F.md5(built.cast("binary")).alias("digest"))
+
+
+@query("p31_focus_sections", "SELECT p_partkey, '[goal]' || chr(10) || p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE chr(10) || '[content]' || chr(10) || p_type END AS focus FROM part")
+def p31(spark, d):
+    text = F.concat(F.lit("[other]\nx\n[goal]\n"), "p_name", F.when(F.col("p_size") % 2 == 0, "STOP").otherwise(""), F.lit("\n[content]\n"), "p_type")
+    return _part(spark, d).select("p_partkey", X.focus_sections(text, ["goal", "content"], ["STOP"]).alias("focus"))
