@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["r09_primary_pairs"](spark, sf_dir)
+    return QUERIES["r22_coverage_ratios"](spark, sf_dir)
 
 
 from pathmill.plans import q_aggregates, q_coverage, q_graphs, q_joins, q_pairs, q_planning, q_retrieval, q_sources, q_text, q_tokens  # noqa: E402, F401
