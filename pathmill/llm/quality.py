@@ -18,7 +18,7 @@ MAX_REPEAT_PERCENT = 50
 GAMMA = 1.05
 #: Features, as integers per thousand words (lines, for dup_lines; characters per word for word_length), and the least
 #: threshold of each, for groups whose quartiles coincide.
-FEATURES = {"symbols": 100, "dup_lines": 300, "repeats": 200, "word_length": 12000}
+FEATURES = {"symbols": 100, "dup_lines": 500, "repeats": 350, "word_length": 12000}
 #: A threshold is the median plus so many inter-quartile ranges.
 FENCE = 6
 
