@@ -91,15 +91,16 @@ class LanguageModel:
     transitions: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of distinct words, scaled to a greatest of 1."""
-        if not words:
-            return np.ones((0, len(self.labels)), np.float32)
-        buckets, starts = features(words)
-        scores = np.add.reduceat(self.weights[buckets], starts, axis=0)
-        return np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30)).astype(np.float32)
+        """Scores of words, scaled to a greatest of 1; in parts, as a word has dozens of features."""
+        out = np.ones((len(words), len(self.labels)), np.float32)
+        for a in range(0, len(words), 10_000):
+            buckets, starts = features(words[a : a + 10_000])
+            scores = np.add.reduceat(self.weights[buckets], starts, axis=0)
+            out[a : a + 10_000] = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
+        return out
 
 
-def train(texts: list[str], langs: list[str], sequences: int = 8000, steps: int = 40, rounds: int = 40, seed: int = 5) -> LanguageModel:
+def train(texts: list[str], langs: list[str], sequences: int = 5000, steps: int = 40, rounds: int = 40, seed: int = 5) -> LanguageModel:
     """Fit the field by gradient ascent on the conditional likelihood.
 
     Training sequences are code-switched: runs of words from different texts, so the transitions learn how long a
@@ -129,25 +130,31 @@ def train(texts: list[str], langs: list[str], sequences: int = 8000, steps: int
             run = doc[at : at + min(int(rng.geometric(0.06)), steps - t)]
             types[s, t : t + len(run)], truth[s, t : t + len(run)] = run, y
             t += len(run)
-    buckets, starts = features(list(vocabulary))
-    owner = np.repeat(np.arange(len(vocabulary)), np.diff([*starts, len(buckets)]))
+    used, types = np.unique(types, return_inverse=True)
+    types = types.reshape(sequences, steps)
+    every = list(vocabulary)
+    words = [every[i] for i in used.tolist()]
+    buckets, starts = features(words)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff([*starts, len(buckets)]))
     counts = np.full(sequences, steps)
-    gold = np.zeros((len(vocabulary), k))
+    gold = np.zeros((len(words), k))
     np.add.at(gold, (types.ravel(), truth.ravel()), 1)
     pairs = np.zeros((k, k))
     np.add.at(pairs, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
     total = sequences * steps
     seen_w, seen_t = np.full(model.weights.shape, 1e-8, np.float32), np.full((k, k), 1e-8)
     for _ in range(rounds):
-        emit = model.emissions(list(vocabulary))[types].astype(np.float64)
+        scores = np.stack([np.bincount(owner, model.weights[buckets, y], len(words)) for y in range(k)], 1)
+        emit = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))[types]
         link = np.exp(model.transitions)
         marginals, forward, backward = forward_backward(emit, counts, link)
-        expected = np.stack([np.bincount(types.ravel(), marginals[:, :, y].ravel(), len(vocabulary)) for y in range(k)], 1)
-        both = forward[:, :-1, :, None] * link * (emit * backward)[:, 1:, None, :]
-        both /= both.sum((2, 3), keepdims=True)
-        slope = ((gold - expected) / total)[owner]
-        slope = np.stack([np.bincount(buckets, slope[:, y], 2 << BITS) for y in range(k)], 1).astype(np.float32) - 1e-7 * model.weights
-        slope_t = (pairs - both.sum((0, 1))) / total - 1e-4 * model.transitions
+        expected = np.stack([np.bincount(types.ravel(), marginals[:, :, y].ravel(), len(words)) for y in range(k)], 1)
+        ahead = (emit * backward)[:, 1:]
+        behind = forward[:, :-1] / np.einsum("stk,kl,stl->st", forward[:, :-1], link, ahead)[:, :, None]
+        both = np.einsum("stk,stl->kl", behind, ahead) * link
+        error = (gold - expected) / total
+        slope = np.stack([np.bincount(buckets, error[owner, y], 2 << BITS) for y in range(k)], 1).astype(np.float32) - 1e-7 * model.weights
+        slope_t = (pairs - both) / total - 1e-4 * model.transitions
         seen_w += slope**2
         seen_t += slope_t**2
         model.weights += 0.3 * slope / np.sqrt(seen_w)
@@ -180,7 +187,7 @@ class _Words(dict):
         return self.table
 
 
-def classify(texts: list[str | None], model: LanguageModel, words: _Words | None = None, cells: int = 300_000) -> tuple[list[str], np.ndarray]:
+def classify(texts: list[str | None], model: LanguageModel, words: _Words | None = None, cells: int = 200_000) -> tuple[list[str], np.ndarray]:
     """The language of each text by its words' mean marginals, and that mean."""
     words = words if words is not None else _Words(model)
     names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
@@ -214,9 +221,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample_rows: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on `sample_rows` labelled rows that are not held out, the first by a hash of the id."""
+    """Train on the rows of `sample_rows` labelled ids that are not held out, the first by a hash of the id."""
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = usable.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "i", "t").limit(sample_rows).collect()
+    chosen = [r["i"] for r in usable.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).distinct().orderBy("h", "i").limit(sample_rows).collect()]
+    # the ids first, without their texts; then the texts of these alone
+    rows = usable.where(F.col(id_col).isin(chosen) if chosen else F.lit(False)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    rows.sort(key=lambda r: (r["h"], r["i"], r["t"], r["l"]))
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
@@ -236,11 +246,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None, id_c
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words(shared.value)
         for pdf in batches:
-            for part in range(0, len(pdf), 2000):
-                piece = pdf.iloc[part : part + 2000]
+            for part in range(0, len(pdf), 500):
+                piece = pdf.iloc[part : part + 500]
                 names, score = classify(piece["body"].tolist(), shared.value, words)
                 yield pd.DataFrame({"id": piece["id"], "held": piece["held"], "lang_pred": names, "score": score})
-                if len(words) > 600_000:
+                if len(words) > 300_000:
                     words = _Words(shared.value)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("body"))
