@@ -53,6 +53,17 @@ def unpack_arrays(blob: bytes, *kinds: str) -> list:
     return out
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Rising numbers as their differences, byte plane by byte plane, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -142,21 +153,36 @@ class Bundle:
         route = np.zeros(n, np.uint64)
         for a in range(0, max(0, n - width + 1), block):
             part = symbols[a : a + block + width - 1].astype(np.uint64)
-            least = window_minima(mixed(gram_hashes(part, gram)), width - gram + 1) & ~np.uint64(1)
+            least = _route(window_minima(mixed(gram_hashes(part, gram)), width - gram + 1))
             if whole is not None and len(whole) and (hot := np.isin(least, whole)).any():
-                least = np.where(hot, mixed(gram_hashes(part, width) ^ _MIX) & ~np.uint64(1), least)
+                least = np.where(hot, _route(mixed(gram_hashes(part, width) ^ _MIX)), least)
             route[a : a + len(least)] = least
-        valid = np.arange(n) + width <= np.repeat(self.docs[1:], self.counts)
+        valid = np.zeros(n, bool)
+        for a, b in zip(self.docs.tolist(), self.docs[1:].tolist()):
+            valid[a : max(a, b - width + 1)] = True
         return route, valid
 
-    def owners(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ids)), self.counts)
+    def runs(self, route: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each run of one route. Documents are apart, as width > 1."""
+        joined = np.zeros(len(valid) + 1, bool)
+        joined[1:-1] = valid[1:] & valid[:-1] & (route[1:] == route[:-1])
+        starts = np.flatnonzero(valid & ~joined[:-1])
+        return starts, np.flatnonzero(valid & ~joined[1:]) + 1 - starts
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """The documents of these symbols."""
+        return np.searchsorted(self.docs, at, side="right") - 1
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         """Byte range of the symbols a to b."""
         return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
+def _route(h: np.ndarray) -> np.ndarray:
+    """48 bits, the lowest of them free for a flag; routes only bring candidates together, the search is exact."""
+    return (h >> np.uint64(16)) & ~np.uint64(1)
+
+
 def bundles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """bundle, symbols, blob: documents in the order in which the scan meets them."""
 
@@ -197,8 +223,8 @@ def _announce(rule: Rule, shards: int) -> Callable:
             for key, blob in zip(pdf["bundle"], pdf["blob"], strict=True):
                 bundle = Bundle(rule, blob)
                 route, valid = bundle.routes()
-                change = valid & np.concatenate([[True], (route[1:] != route[:-1]) | ~valid[:-1]])[: len(valid)]
-                own, ids = route[change], bundle.ids[bundle.owners()[change]]
+                starts, _ = bundle.runs(route, valid)
+                own, ids = route[starts], bundle.ids[bundle.owner(starts)]
                 order = np.lexsort((ids, own))
                 own, ids = own[order], ids[order]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
@@ -207,7 +233,7 @@ def _announce(rule: Rule, shards: int) -> Callable:
                 shard = _by_shard(flagged, shards)
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(s, key, flagged[order[a:b]].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                rows = [(s, key, pack_sorted(flagged[order[a:b]])) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                 yield pd.DataFrame(rows, columns=["shard", "bundle", "blob"])
 
     return announce
@@ -215,7 +241,7 @@ def _announce(rule: Rule, shards: int) -> Callable:
 
 def _answer(rule: Rule) -> Callable:
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(b, np.uint64) for b in pdf["blob"]]
+        parts = [unpack_sorted(b) for b in pdf["blob"]]
         flagged, source = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         route = flagged & ~np.uint64(1)
         order = np.argsort(route, kind="stable")
@@ -227,7 +253,7 @@ def _answer(rule: Rule) -> Callable:
         route, source = route[keep] | np.repeat(sizes > rule.hot_bundles, sizes)[keep].astype(np.uint64), source[keep]
         order = np.argsort(source, kind="stable")
         edges = np.searchsorted(source[order], np.arange(len(parts) + 1))
-        rows = [(key, 0, int(s), route[order[a:b]].tobytes()) for key, s, a, b in zip(pdf["bundle"], pdf["shard"], edges, edges[1:], strict=False) if b > a]
+        rows = [(key, 0, int(s), pack_sorted(route[order[a:b]])) for key, s, a, b in zip(pdf["bundle"], pdf["shard"], edges, edges[1:], strict=False) if b > a]
         return pd.DataFrame(rows, columns=["bundle", "kind", "shard", "blob"])
 
     return answer
@@ -235,22 +261,23 @@ def _answer(rule: Rule) -> Callable:
 
 def _segments(bundle: Bundle, routes: list[bytes], shards: int) -> tuple[dict[int, dict[tuple[int, bytes], list[int]]], list[tuple[int, int]]]:
     """Per shard the bundle's distinct segments with the numbers of their occurrences; of these, start and windows."""
-    flagged = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in routes]))
-    hot = flagged[(flagged & np.uint64(1)) > 0] & ~np.uint64(1)
-    route, valid = bundle.routes(hot)
-    known = flagged[(flagged & np.uint64(1)) == 0]
-    if len(hot):
-        plain, _ = bundle.routes()
-        wanted = valid & (np.isin(plain, known) | np.isin(plain, hot))
+    flagged = np.sort(np.concatenate([unpack_sorted(b) for b in routes]))
+    known, is_hot = flagged & ~np.uint64(1), (flagged & np.uint64(1)) > 0
+    route, valid = bundle.routes()
+    starts, sizes = bundle.runs(route, valid)
+    at = np.minimum(np.searchsorted(known, route[starts]), len(known) - 1)
+    wanted = known[at] == route[starts]
+    hot = wanted & is_hot[at]
+    if hot.any():
+        # each window of a hot run is a segment of its own, routed by its hash
+        windows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[hot].tolist(), sizes[hot].tolist(), strict=True)])
+        by_window, _ = bundle.routes(known[is_hot])
+        starts, sizes = np.concatenate([starts[wanted & ~hot], windows]), np.concatenate([sizes[wanted & ~hot], np.ones(len(windows), np.int64)])
+        route = by_window
     else:
-        wanted = valid & np.isin(route, known)
-    owner = bundle.owners()
-    joined = np.zeros(len(wanted), bool)
-    joined[1:] = wanted[1:] & wanted[:-1] & (route[1:] == route[:-1]) & (owner[1:] == owner[:-1])
-    starts = np.flatnonzero(wanted & ~joined)
-    stops = np.flatnonzero(wanted & ~np.concatenate([joined[1:], [False]])) + 1
+        starts, sizes = starts[wanted], sizes[wanted]
     found: dict[int, dict[tuple[int, bytes], list[int]]] = {}
-    places = list(zip(starts.tolist(), (stops - starts).tolist(), strict=True))
+    places = list(zip(starts.tolist(), sizes.tolist(), strict=True))
     for k, ((a, n), r, s) in enumerate(zip(places, route[starts].tolist(), _by_shard(route[starts], shards).tolist(), strict=True)):
         x, y = bundle.place(a, a + n + bundle.rule.width - 1)
         found.setdefault(s, {}).setdefault((r, bundle.text[x:y]), []).append(k)
@@ -263,9 +290,9 @@ def _send(rule: Rule, shards: int) -> Callable:
         if len(left) and len(right):
             bundle = Bundle(rule, left["blob"].iloc[0])
             found, places = _segments(bundle, list(right["blob"]), shards)
-            owner = bundle.owners()
+            ids = bundle.ids[bundle.owner(np.array([a for a, _ in places], np.int64))].tolist()
             for s, segments in found.items():
-                least = [min(bundle.ids[owner[places[k][0]]] for k in at) for at in segments.values()]
+                least = [min([ids[k] for k in at]) for at in segments.values()]
                 texts = [t for _, t in segments]
                 rows.append((s, key[0], pack_arrays(np.array([r for r, _ in segments], np.uint64), np.array(least, np.int64), np.array([len(t) for t in texts], np.int64), b"".join(texts))))
         return pd.DataFrame(rows, columns=["shard", "bundle", "blob"])
@@ -313,7 +340,7 @@ def _search(rule: Rule) -> Callable:
         for key, own in zip(pdf["bundle"], wanted, strict=True):
             # one number for a segment that is answered alike throughout, else one per window
             flat = [answers[k] if k in answers else ids[k : k + 1] for k in own]
-            flat = [x[:1] if (x == x[0]).all() else x for x in flat]
+            flat = [x if len(x) == 1 or (x != x[0]).any() else x[:1] for x in flat]
             rows.append((key, 1, int(pdf["shard"].iloc[0]), pack_arrays(np.array([len(x) for x in flat], np.int64), np.concatenate(flat))))
         return pd.DataFrame(rows, columns=["bundle", "kind", "shard", "blob"])
 
@@ -330,18 +357,19 @@ def _erase(rule: Rule, shards: int) -> Callable:
         routes = right[right["kind"] == 0]
         if len(routes):
             found, places = _segments(bundle, list(routes["blob"]), shards)
-            owner = bundle.owners()
+            ids = bundle.ids[bundle.owner(np.array([a for a, _ in places], np.int64))].tolist()
             for s, blob in right.loc[right["kind"] == 1, ["shard", "blob"]].itertuples(index=False):
                 counts, values = unpack_arrays(blob, "<i8", "<i8")
                 at = 0
+                whole = values.tolist()
                 for occurrences, n in zip(found[s].values(), counts.tolist(), strict=True):
-                    answer = values[at : at + n]
+                    answer, least = values[at : at + n], whole[at]
                     at += n
                     for k in occurrences:
                         start, windows = places[k]
-                        own = bundle.ids[owner[start]]
+                        own = ids[k]
                         if n == 1:
-                            if answer[0] < own:
+                            if least < own:
                                 cover[start] += 1
                                 cover[start + windows + rule.width - 1] -= 1
                         else:
