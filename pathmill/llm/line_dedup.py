@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import SPACE
+from pathmill.llm.common import SPACE, cut
 
 
 def line_key(line: Column) -> Column:
@@ -32,7 +32,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     keys = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), _hashed))).alias("key")).select("id", "key.a", "key.b")
-    frequent = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    # kept as a table, so that both sides of the join below are shuffles of their own and a hot line's rows can be split
+    frequent = cut(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     drops = keys.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
     whole = docs.select(F.col(id_col).alias("id"), text.alias("body"))
     found = whole.join(drops, whole["id"].eqNullSafe(drops["id"]), "left").select(whole["id"], "body", "drops")
