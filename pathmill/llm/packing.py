@@ -114,66 +114,116 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until bins empty.
+    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until none is left.
 
-    Bins are taken as givers from the emptiest on; the takers are the other underfull bins, found by gap. A giver's
-    item moves into a gap that holds it; or it is exchanged for a smaller item of a taker, one for one, or for two of a
-    taker's items, so that the taker grows by at most its gap. All three raise the squared fill as long as the taker
-    ends fuller than the giver began. `rounds` bounds the passes; a pass without a gain ends the search.
+    A giver's item moves into a gap that holds it, or it is exchanged for one or for two smaller items of a taker, so
+    that the taker grows by at most its gap and ends fuller than the giver began. All underfull bins are givers, from
+    the emptiest on, and all others are takers. An index holds, for each size that a bin can give back (0, one item or
+    two) and each gap, the bins that have both; of the exchanges of a giver the one that raises the sum most is made.
+    The search ends when a pass over all bins finds no exchange, or when no packing could have fewer bins.
     """
 
-    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int = 8, tries: int = 64):
-        self.bins, self.sizes, self.capacity, self.rounds, self.tries = bins, sizes, capacity, rounds, tries
-        self.fill = [int(sizes[b].sum()) for b in bins]
-
-    def _takers(self, giver: int, order: list[int]) -> list[int]:
-        """The fullest of the underfull bins that are fuller than the giver."""
-        return [b for b in order if b != giver and self.bins[b] and self.fill[giver] <= self.fill[b] < self.capacity][: self.tries]
-
-    def _shift(self, giver: int, taker: int, give: list[int], back: list[int]) -> None:
-        for x in give:
-            self.bins[giver].remove(x)
-            self.bins[taker].append(x)
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes.tolist(), capacity
+        self.fill = [sum(self.sizes[x] for x in b) for b in bins]
+        self.left = sum(1 for b in bins if b)
+        self.least = -(-sum(self.fill) // capacity)
+        #: Bins by size given back and gap, their numbers, and per size the least gap from each gap on that is there.
+        self.found: dict[int, dict[int, None]] = {}
+        self.offers: list[list[int]] = [[] for _ in bins]
+        self.count = np.zeros((capacity + 1, capacity + 1), np.int32)
+        self.none = 4 * capacity
+        self.next_gap = np.full((capacity + 1, capacity + 1), self.none, np.int32)
+
+    def _refresh(self, rows: list[int]) -> None:
+        gaps = np.where(self.count[rows] > 0, np.arange(self.capacity + 1, dtype=np.int32), np.int32(self.none))
+        self.next_gap[rows] = np.minimum.accumulate(gaps[:, ::-1], axis=1)[:, ::-1]
+
+    def _enter(self, b: int) -> list[int]:
+        """Put an underfull bin into the index; the sizes whose rows have changed."""
+        gap = self.capacity - self.fill[b]
+        if not gap or not self.bins[b]:
+            return []
+        own = [self.sizes[x] for x in self.bins[b]]
+        distinct = sorted(set(own))
+        sums = {0, *distinct, *(u + v for i, u in enumerate(distinct) for v in distinct[i + 1 :])}
+        if len(distinct) < len(own):
+            seen: set[int] = set()
+            sums.update(2 * u for u in own if u in seen or seen.add(u))
+        self.offers[b] = list(sums)
+        for s in self.offers[b]:
+            self.found.setdefault(s * (self.capacity + 1) + gap, {})[b] = None
+        self.count[self.offers[b], gap] += 1
+        return self.offers[b]
+
+    def _leave(self, b: int) -> list[int]:
+        gap, rows = self.capacity - self.fill[b], self.offers[b]
+        if not rows:
+            return []
+        for s in rows:
+            del self.found[s * (self.capacity + 1) + gap][b]
+        self.count[rows, gap] -= 1
+        self.offers[b] = []
+        return rows
+
+    def _pick(self, b: int, total: int) -> list[int]:
+        """The items of a bin, at most two, whose sizes add up to `total`."""
+        if not total:
+            return []
+        at: dict[int, int] = {}
+        for x in self.bins[b]:
+            if self.sizes[x] == total:
+                return [x]
+        for x in self.bins[b]:
+            if total - self.sizes[x] in at:
+                return [at[total - self.sizes[x]], x]
+            at[self.sizes[x]] = x
+        raise AssertionError("the index names items that the bin does not have")
+
+    def _best(self, giver: int) -> tuple[int, int, int] | None:
+        """Item, size given back and taker's gap of the exchange that raises the sum of squares most."""
+        room = self.capacity - self.fill[giver]
+        items = {self.sizes[x]: x for x in self.bins[giver]}
+        sizes = np.fromiter(items, np.int64, len(items))[:, None]
+        back = np.arange(int(sizes.max()))[None, :]
+        grown = sizes - back
+        gaps = self.next_gap[back, np.maximum(grown, 0)]
+        # the taker's fill plus what it grows by, less the giver's fill
+        gain = np.where(grown > 0, grown * (room - gaps + grown), 0)
+        k, s = divmod(int(gain.argmax()), back.shape[1])
+        return (items[int(sizes[k, 0])], s, int(gaps[k, s])) if gain[k, s] > 0 else None
+
+    def _shift(self, giver: int, taker: int, item: int, back: list[int]) -> None:
+        self.bins[giver].remove(item)
         for x in back:
             self.bins[taker].remove(x)
-            self.bins[giver].append(x)
-        d = int(sum(self.sizes[x] for x in give) - sum(self.sizes[x] for x in back))
+        self.bins[giver] += back
+        self.bins[taker].append(item)
+        d = self.sizes[item] - sum(self.sizes[x] for x in back)
         self.fill[giver] -= d
         self.fill[taker] += d
-
-    def _improve(self, giver: int, takers: list[int]) -> bool:
-        for taker in takers:
-            gap = self.capacity - self.fill[taker]
-            best: tuple[int, list[int], list[int]] = (0, [], [])
-            own = {int(self.sizes[x]): x for x in self.bins[taker]}
-            sums = {}
-            for i, x in enumerate(self.bins[taker][:16]):
-                for y in self.bins[taker][i + 1 : 16]:
-                    sums.setdefault(int(self.sizes[x] + self.sizes[y]), [x, y])
-            for item in self.bins[giver]:
-                size = int(self.sizes[item])
-                if best[0] < size <= gap:
-                    best = (size, [item], [])
-                for options, pick in ((own, lambda v: [v]), (sums, lambda v: v)):
-                    for other, v in options.items():
-                        if best[0] < size - other <= gap:
-                            best = (size - other, [item], pick(v))
-            if best[0]:
-                self._shift(giver, taker, best[1], best[2])
-                return True
-        return False
+        self.left -= not self.bins[giver]
 
     def run(self) -> list[list[int]]:
-        for _ in range(self.rounds):
-            order = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
+        if self.left > self.least:
+            for b in range(len(self.bins)):
+                self._enter(b)
+            self._refresh(list(range(self.capacity + 1)))
+        gained = True
+        while gained and self.left > self.least:
             gained = False
-            for giver in order[::-1][: self.tries]:
-                for _ in range(4 * self.tries):
-                    if not self.bins[giver] or not self._improve(giver, self._takers(giver, order)):
-                        break
+            for giver in sorted((b for b in range(len(self.bins)) if self.offers[b]), key=lambda b: (self.fill[b], b)):
+                if self.left == self.least or not self.offers[giver]:
+                    continue
+                self._refresh(self._leave(giver))
+                while self.bins[giver] and (best := self._best(giver)):
+                    item, total, gap = best
+                    taker = next(iter(self.found[total * (self.capacity + 1) + gap]))
+                    changed = self._leave(taker)
+                    self._shift(giver, taker, item, self._pick(taker, total))
+                    self._refresh(list({*changed, *self._enter(taker)}))
                     gained = True
-            if not gained:
-                break
+                self._refresh(self._enter(giver))
         return [b for b in self.bins if b]
 
 

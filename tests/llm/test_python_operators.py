@@ -174,5 +174,22 @@ def test_local_search_empties_bins():
         assert len(better) <= len(bins) and sorted(x for b in better for x in b) == list(range(60)) and all(sizes[b].sum() <= 100 for b in better)
 
 
+def test_local_search_leaves_no_exchange():
+    """Where many bins are underfull all are tried: bins empty, and no move or exchange that fits raises the squares."""
+    sizes = np.random.default_rng(1).integers(300, 421, 3000)
+    bins = packing.best_fit(sizes, 1024)
+    search = packing.LocalSearch([list(b) for b in bins], sizes, 1024)
+    better = search.run()
+    assert len(better) <= 0.97 * len(bins) and sorted(x for b in better for x in b) == list(range(3000)) and all(sizes[b].sum() <= 1024 for b in better)
+    sizes = sizes[:200]
+    better = packing.LocalSearch(packing.best_fit(sizes, 1024), sizes, 1024).run()
+    for giver in better:
+        for taker in better:
+            if giver is not taker and sizes[taker].sum() < 1024:
+                fill, gap = sizes[giver].sum(), 1024 - sizes[taker].sum()
+                back = [0, *sizes[taker], *(sizes[x] + sizes[y] for k, x in enumerate(taker) for y in taker[k + 1 :])]
+                assert not any(0 < sizes[x] - y <= gap and sizes[taker].sum() + sizes[x] - y > fill for x in giver for y in back if fill < 1024)
+
+
 def test_packing_without_rows(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).collect() == []
