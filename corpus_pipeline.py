@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathmill.llm.common import new_dir
 from pathmill.llm.exact_dedup import exact_duplicates
-from pathmill.llm.language_id import identify_languages
+from pathmill.llm.language_id import fit, identify_languages
 from pathmill.llm.mixing import mix_sources
 from pathmill.llm.ngram_join import near_duplicates
 from pathmill.llm.packing import pack_documents
@@ -20,31 +20,54 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SHARE = 0.5
 
 
-def _matched(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The documents whose id is among the chosen ones; null ids match each other."""
-    return docs.join(chosen.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with `row`, a 64-bit hash of the values of all columns; ids may be null or repeated.
+
+    Only rows that are the same in every column share it, so whichever of them stays, the result is the same. That no
+    other two rows share it is checked by a second hash; where they do, the next seed is taken.
+    """
+    values = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]  # a hash passes over nulls
+    for seed in range(16):
+        rows = docs.select(*COLUMNS, F.xxhash64(F.lit(seed), *values).alias("row"))
+        second = rows.select("row", F.xxhash64(F.lit(-1 - seed), *values).alias("second"))
+        if second.groupBy("row").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi").isEmpty():
+            return rows
+    raise RuntimeError("no seed gives different rows different hashes")
+
+
+def _first(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group of groups (row, group) one document, the one with the smallest id, null last, ties by `row`."""
+    ids = rows.select("row", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = groups.distinct().join(ids, "row").groupBy(group).agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+    return rows.dropDuplicates(["row"]).join(least, "row", "left_semi").select(*COLUMNS)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those in no language for the most part."""
-    found = identify_languages(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
-    return _matched(docs, found.select("doc_id")).select(*COLUMNS)
+    rows = _keyed(docs)
+    found = identify_languages(rows, model=fit(rows), id_col="row").where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return rows.join(found.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the smallest id."""
-    return _matched(docs, exact_duplicates(docs, keep="min").where("kept").select("doc_id")).select(*COLUMNS)
+    rows = _keyed(docs)
+    return _first(rows, exact_duplicates(rows, keep="min", id_col="row").select("row", "keep_id"), "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return _matched(docs, near_duplicates(docs).where("kept").select("doc_id")).select(*COLUMNS)
+    rows = _keyed(docs)
+    return _first(rows, near_duplicates(rows, id_col="row").select("row", "class_id"), "class_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number: from none to three times."""
-    taken = mix_sources(docs).select("doc_id", F.expr("cast(floor(try_divide(taken, size) + 0.5) as int)").alias("copies")).where("copies > 0")
-    return _matched(docs, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    rows = _keyed(docs)
+    taken = mix_sources(rows, carry=("row",)).select("row", F.expr("cast(floor(try_divide(taken, size) + 0.5) as int)").alias("copies")).where("copies > 0")
+    copies = taken.groupBy("row").agg(F.sum("copies").alias("copies"))
+    return rows.dropDuplicates(["row"]).join(copies, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

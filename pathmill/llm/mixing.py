@@ -54,8 +54,8 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return free.select("source", "rank", "source_size", F.least(limit, F.col("weight") * F.coalesce("_free", F.lit(0.0))).cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id_col, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id_col, size, source_size, target, taken, and the columns that `carry` names.
 
     Words are dealt in blocks of `block_words`. Sainte-Lague gives each source its number of blocks from the targets,
     then each shard of a source (256 shards by a seeded MD5 of the id) its number of blocks from the shard's words.
@@ -63,9 +63,11 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int
     stream are taken, so a document's take is its words per full pass plus its overlap with the last, partial pass.
     No document exceeds `cap` times its size. Everything is a function of the rows, so reruns agree. Null ids and rows
     that repeat an id are documents of their own, ordered by size after the hash; a null source is a source, the last.
-    Texts without words take 0. An empty table gives an empty result; other columns are ignored.
+    Among those of one size the columns of `carry` decide, so that a caller who carries a row's identity has the take of
+    each row. Texts without words take 0. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    carried = [f"_carry{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(name) for c, name in zip(carry, carried)])
     rows = cut(rows.withColumn("hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
     rows = rows.withColumn("shard", F.substring("hash", 1, 2))
     targets = cut(source_targets(rows, float(cap)).withColumn("party", F.col("rank")))
@@ -77,10 +79,10 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int
     quotas = apportion(dealt, ["rank"], "shard_size", F.col("blocks"), "quota")
     quotas = quotas.withColumn("words", F.least(F.col("quota") * block_words, F.col("shard_size") * cap)).select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "source_size", "target", "words")
     all_rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    stream = Window.partitionBy("source", "shard").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("source", "shard").orderBy("hash", "id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(stream), F.lit(0))
     full = F.coalesce(F.floor(F.try_divide(F.col("words"), F.col("shard_size"))), F.lit(0))
     last = F.col("words") - F.col("full") * F.col("shard_size")
     placed = all_rows.withColumn("start", start).withColumn("full", full)
     taken = F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last - F.col("start")))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(name).alias(c) for c, name in zip(carry, carried)])

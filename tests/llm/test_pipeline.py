@@ -76,3 +76,27 @@ def test_stages(spark, corpus):
         assert stage(spark, docs, path).columns == docs.columns
         assert stage(spark, docs.limit(0), path).collect() == []
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def test_null_and_repeated_ids(spark, corpus):
+    """Rows without an id of their own are decided one by one and come back once."""
+    path, rows = corpus
+    words = rows[2][1].split()
+    words[5] = "changed"
+    lone = [(None, rows[k][1], rows[k][2], f"s{k % 4}", 0) for k in range(40)]
+    odd = lone + lone[:8] + [(None, " ".join(words), rows[2][2], "s1", 0), (None, "12 34 $$", None, None, 0)]
+    odd += [(7000, rows[50][1], rows[50][2], "s1", 0)] * 30 + [(7001, rows[51][1], "aa", "s1", 0), (7001, rows[52][1], "bb", "s2", 0), (None, rows[52][1], "bb", "s2", 0)]
+    docs = spark.createDataFrame(odd, SCHEMA).repartition(3)
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    whole = texts(docs)
+    languages = texts(corpus_pipeline.keep_languages(spark, spark.createDataFrame(rows + odd, SCHEMA), path))
+    assert languages[None, "12 34 $$"] == 0 and languages[7000, rows[50][1]] == 30 and languages[None, rows[0][1]] == whole[None, rows[0][1]] == 2
+    exact = texts(corpus_pipeline.drop_exact_copies(spark, docs, path))
+    assert Counter(t for _, t in exact.elements()) == Counter({r[1]: 1 for r in odd}) and exact[7001, rows[52][1]] == 1
+    near = texts(corpus_pipeline.drop_near_copies(spark, docs, path))
+    assert near[None, rows[2][1]] + near[None, " ".join(words)] == 1 and set(near.values()) == {1} and sum(near.values()) == len({r[1] for r in odd}) - 1
+    size = lambda t: len(t.split())
+    mixed = texts(corpus_pipeline.mix(spark, docs, path))
+    assert all(n <= 3 * whole[key] for key, n in mixed.items())
+    want = sum(int(r["taken"] / r["size"] + 0.5) * r["size"] for r in mixing.mix_sources(docs).collect())
+    assert sum(n * size(t) for (_, t), n in mixed.items()) == want
