@@ -31,12 +31,19 @@ LINES = f"""
 """
 
 
-def quality(features: dict[str, int], gamma: float, fence: int, symbols: str) -> str:
-    pulled = ", ".join(f"'{name}'" for name in features)
-    values = ", ".join(features)
-    limits = ", ".join(f"greatest({least}::DOUBLE, max(CASE WHEN feature = '{name}' THEN fence END)) AS max_{name}" for name, least in features.items())
-    within = " AND ".join(f"{name} <= max_{name}" for name in features)
-    quantile = lambda q: f"min(CASE WHEN share >= {q} THEN value END)"
+def quality(fences: dict[str, int], counts: dict[str, tuple[str, str]], gamma: float, min_rows: int, symbols: str) -> str:
+    pulled = ", ".join(f"'{name}'" for name in fences)
+    values = ", ".join(fences)
+    buckets = ", ".join(f"floor(ln(greatest(1, 1000000 * ({part} + 1) // ({whole} + 1))::DOUBLE) / ln({gamma}::DOUBLE))::INT AS {name}" for name, (part, whole) in counts.items())
+    factor = " ".join(f"WHEN '{name}' THEN {fence}" for name, fence in fences.items())
+    chosen = f"CASE WHEN o.n >= {min_rows} THEN o.top WHEN l.n >= {min_rows} THEN l.top ELSE a.top END"
+    limits = ", ".join(f"max(CASE WHEN feature = '{name}' THEN top END) AS max_{name}" for name in fences)
+    within = " AND ".join(f"{name} <= max_{name}" for name in fences)
+
+    def level(keys: str) -> str:
+        spread = "greatest(1, quantile_disc(b, 0.75) - quantile_disc(b, 0.25))"
+        return f"SELECT {keys} feature, count(*) AS n, quantile_disc(b, 0.5) + max(CASE feature {factor} END) * {spread} AS top FROM each GROUP BY ALL"
+
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, {WORDS} AS w FROM documents),
     triples AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 2], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 2)) AS t(k)),
@@ -45,12 +52,11 @@ def quality(features: dict[str, int], gamma: float, fence: int, symbols: str) ->
     counts AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '{symbols}', '')) AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
                       list_filter(string_split(text, chr(10)), lambda x: trim(x, {SPACE}) <> '') AS l FROM d LEFT JOIN covered c USING (doc_id)),
     base AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
-    rates AS (SELECT *, coalesce(1000 * n_symbols // nullif(n_words, 0), 0) AS symbols, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines, coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats, coalesce(1000 * word_chars // nullif(n_words, 0), 0) AS word_length FROM base),
-    each AS (SELECT lang, source, unnest([{pulled}]) AS feature, unnest([{values}]) AS v FROM rates WHERE NOT base_failed),
-    buckets AS (SELECT lang, source, feature, CASE WHEN v > 0 THEN floor(ln(v::DOUBLE) / ln({gamma}::DOUBLE))::INT + 1 ELSE 0 END AS bucket, count(*) AS n FROM each GROUP BY ALL),
-    ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bucket) / sum(n) OVER (PARTITION BY lang, source, feature)::DOUBLE AS share, CASE WHEN bucket > 0 THEN pow({gamma}::DOUBLE, bucket) ELSE 0 END AS value FROM buckets),
-    fences AS (SELECT lang, source, feature, {quantile(0.5)} + {fence} * ({quantile(0.75)} - {quantile(0.25)}) AS fence FROM ranked GROUP BY ALL),
-    limits AS (SELECT lang, source, {limits} FROM fences GROUP BY ALL)
+    rates AS (SELECT *, {buckets} FROM base),
+    each AS (SELECT lang, source, unnest([{pulled}]) AS feature, unnest([{values}]) AS b FROM rates WHERE NOT base_failed),
+    own AS ({level("lang, source,")}), by_lang AS ({level("lang,")}), everything AS ({level("")}),
+    tops AS (SELECT o.lang, o.source, o.feature, {chosen} AS top FROM own o JOIN by_lang l ON o.feature = l.feature AND o.lang IS NOT DISTINCT FROM l.lang JOIN everything a ON o.feature = a.feature),
+    limits AS (SELECT lang, source, {limits} FROM tops GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, false) AS kept
     FROM rates r LEFT JOIN limits t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source
 """

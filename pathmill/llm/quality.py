@@ -16,11 +16,13 @@ MAX_REPEAT_PERCENT = 50
 
 #: Relative width of a sketch bucket: a quantile is known to within this factor.
 GAMMA = 1.05
-#: Features, as integers per thousand words (lines, for dup_lines; characters per word for word_length), and the least
-#: threshold of each, for groups whose quartiles coincide.
-FEATURES = {"symbols": 100, "dup_lines": 500, "repeats": 350, "word_length": 12000}
-#: A threshold is the median plus so many inter-quartile ranges.
-FENCE = 6
+#: Features and the fence of each: a threshold stands so many inter-quartile ranges above the median, counted in buckets
+#: and so on a log scale. A feature is a rate, one event added to both of its counts: zeros then differ by the text's
+#: length, so quartiles of a rare event do not coincide, and one event in a short text is nothing unusual.
+FENCES = {"symbols": 3, "dup_lines": 5, "repeats": 5, "word_length": 4}
+COUNTS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+#: Groups of fewer rows take the merged sketch of their language; languages of fewer rows that of all rows.
+MIN_ROWS = 100
 
 
 def base_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -62,47 +64,74 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     return placed.withColumn("n_repeat_words", F.when(F.col("placed").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.filter(cover, lambda x: x.isNotNull()))))).cast("long")).drop("triples", "placed")
 
 
-def _bucket(value: Column) -> Column:
-    """Log bucket of a non-negative whole number; 0 has its own."""
-    return F.when(value > 0, F.floor(F.log(value.cast("double")) / F.lit(math.log(GAMMA))).cast("int") + 1).otherwise(F.lit(0))
+def bucket(part: str, whole: str) -> Column:
+    """Log bucket of the rate per million, one added to both counts."""
+    rate = F.floor(F.lit(1_000_000) * (F.col(part) + 1) / (F.col(whole) + 1))
+    return F.floor(F.log(F.greatest(rate, F.lit(1)).cast("double")) / F.lit(math.log(GAMMA))).cast("int")
 
 
 def sketches(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Bucket counts per group and feature. Two sketches merge by adding counts, so any partial sums give the same sketch."""
-    each = F.array(*[F.struct(F.lit(name).alias("feature"), _bucket(F.col(name)).alias("bucket")) for name in FEATURES])
+    each = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).alias("bucket")) for name in FENCES])
     return counts.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.feature", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group a column for each feature: median plus FENCE inter-quartile ranges, at least the feature's floor."""
+def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of coarser groups."""
+    return sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group `rows` and a struct `limits` with each feature's highest bucket that stays.
+
+    It is the median's bucket plus the fence times the distance of the quartiles, which is a bucket at least, as the
+    sketch knows no less. A quantile is the first bucket that has its share of the rows.
+    """
     group = Window.partitionBy(*keys, "feature")
-    ranked = sketch.withColumn("share", F.sum("n").over(group.orderBy("bucket")) / F.sum("n").over(group))
-    value = F.when(F.col("bucket") > 0, F.pow(F.lit(GAMMA), F.col("bucket"))).otherwise(F.lit(0.0))
-    at = {q: F.min(F.when(F.col("share") >= q, value)) for q in (0.25, 0.5, 0.75)}
-    fences = ranked.groupBy(*keys, "feature").agg((at[0.5] + FENCE * (at[0.75] - at[0.25])).alias("fence"))
-    return fences.groupBy(*keys).agg(*[F.greatest(F.lit(float(least)), F.max(F.when(F.col("feature") == name, F.col("fence")))).alias(f"max_{name}") for name, least in FEATURES.items()])
+    ranked = sketch.withColumn("below", F.sum("n").over(group.orderBy("bucket"))).withColumn("rows", F.sum("n").over(group))
+    quartile = {k: F.min(F.when(4 * F.col("below") >= k * F.col("rows"), F.col("bucket"))) for k in (1, 2, 3)}
+    stands = ranked.groupBy(*keys, "feature", "rows").agg(quartile[2].alias("mid"), F.greatest(F.lit(1), quartile[3] - quartile[1]).alias("spread"))
+    limits = F.struct(*[F.max(F.when(F.col("feature") == name, F.col("mid") + fence * F.col("spread"))).alias(name) for name, fence in FENCES.items()])
+    return stands.groupBy(*keys).agg(F.max("rows").alias("rows"), limits.alias("limits"))
+
+
+def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
+    """lang, source, limits, level (source, language or all): each group's limits, from the first sketch with MIN_ROWS."""
+    own = fences(sketch, [lang, source])
+    by_lang = fences(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_lang"), F.col("rows").alias("_rows"), F.col("limits").alias("_limits"))
+    first = fences(merged(sketch, []), []).select("limits.*").first()  # a number per feature
+    everything = F.struct(*[F.lit(first[name]).cast("int").alias(name) for name in FENCES])
+    joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")))
+    few, few_lang = F.col("rows") < MIN_ROWS, F.col("_rows") < MIN_ROWS
+    return joined.select(
+        lang,
+        source,
+        F.when(~few, F.col("limits")).when(~few_lang, F.col("_limits")).otherwise(everything).alias("limits"),
+        F.when(~few, "source").when(~few_lang, "language").otherwise("all").alias("level"),
+    )
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: fewer than 50 words, or over half of the words inside repeated 3-word windows. Of the others a row is
-    kept if its symbols per word, duplicate lines, repeated words and characters per word are all within its group's
-    thresholds; a group is a language and source, null being a group as any other. Thresholds come from the rows that
-    pass the base rules, by sketches whose size depends on the range of values and not on the rows. Rows that repeat
-    an id are judged each for itself; an empty table gives an empty result; other columns are ignored.
+    kept if its symbols, duplicate lines, repeated words and characters per word are all within its group's thresholds;
+    a row at a threshold stays. A group is a language and source, null being a group as any other. No cutoff is fixed:
+    each threshold comes from the sketch of the group's rows that pass the base rules, and where these are few, from the
+    merged sketch of the language or of all rows. Sketches grow with the range of values and not with the rows. Windows
+    and lines of a text are compared by 64-bit hash and by value. Null and empty texts have no words and fail; rows that
+    repeat an id are judged each for itself; an empty table gives an empty result; other columns are ignored.
     """
     named = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang_key"), F.col(source_col).alias("source_key"))
     keys = ["lang_key", "source_key"]
     counts = base_counts(named, "row_id", "body", *keys)
     counts = counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    rate = lambda part, whole: F.coalesce(F.floor(F.try_divide(1000 * F.col(part), F.col(whole))), F.lit(0)).cast("long")
-    counts = cut(counts.withColumns({"symbols": rate("n_symbols", "n_words"), "dup_lines": rate("n_dup_lines", "n_lines"), "repeats": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words")}))
-    limits = thresholds(sketches(counts.where(~F.col("base_failed")), keys), keys)
+    counts = cut(counts.withColumns({name: bucket(part, whole) for name, (part, whole) in COUNTS.items()}))
+    limits = thresholds(cut(sketches(counts.where(~F.col("base_failed")), keys)), *keys)
     on = counts["lang_key"].eqNullSafe(limits["lang_key"]) & counts["source_key"].eqNullSafe(limits["source_key"])
     within = F.lit(True)
-    for name in FEATURES:
-        within = within & (F.col(name) <= F.col(f"max_{name}"))
+    for name in FENCES:
+        within = within & (F.col(name) <= F.col(f"limits.{name}"))
     return counts.join(limits, on, "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept")
     )

@@ -1,6 +1,7 @@
 """Exact dedup, line dedup, quality rules and mixing against plain Python, with nulls, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -95,14 +96,54 @@ def test_quality_counts(frame, rows):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def prose(rng, n=120, tail=""):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) + tail for _ in range(rng.randint(n // 2, n)))
+
+
 def test_quality_thresholds(spark):
-    """Clean texts stay; in a source of much symbol use, what is usual there stays too."""
+    """Clean texts stay, odd ones of a source go, and what is usual in another source stays there."""
     rng = random.Random(6)
-    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(120))
-    rows = [(k, prose(), "en", "plain") for k in range(200)] + [(1000 + k, prose().replace(" ", "$$$ "), "en", "plain") for k in range(10)]
-    rows += [(2000 + k, prose().replace(" ", "$ "), "en", "symbols") for k in range(100)]
+    rows = [(k, prose(rng), "en", "plain") for k in range(300)] + [(1000 + k, prose(rng, tail="$$"), "en", "plain") for k in range(10)]
+    rows += [(2000 + k, prose(rng, tail="$$"), "en", "symbols") for k in range(150)]
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(docs_of(rows), SCHEMA)).collect()}
-    assert all(kept[k] for k in range(200)) and not any(kept[1000 + k] for k in range(10)) and all(kept[2000 + k] for k in range(100))
+    assert all(kept[k] for k in range(300)) and not any(kept[1000 + k] for k in range(10)) and all(kept[2000 + k] for k in range(150))
+
+
+def test_quality_sketches(spark):
+    """Thresholds are those of exact quantiles over the buckets; small groups take the language's, then everyone's."""
+    rng = random.Random(7)
+    sizes = {("en", "a"): 150, ("en", "b"): 20, ("de", None): 30, (None, "c"): 120}
+    rows = [(*g, *(rng.randint(0, 30) * k for k in range(1, 5))) for g, n in sizes.items() for _ in range(n)]
+    names = list(quality.FENCES)
+    frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} int" for n in names)).repartition(5)
+    got = {(r["lang"], r["source"]): (r["level"], *(r["limits"][n] for n in names)) for r in quality.thresholds(quality.sketches(frame, ["lang", "source"]), "lang", "source").collect()}
+
+    def plain(some):
+        out = []
+        for k, name in enumerate(names):
+            v = sorted(r[2 + k] for r in some)
+            at = lambda q, v=v: v[-(-q * len(v) // 4) - 1]
+            out.append(at(2) + quality.FENCES[name] * max(1, at(3) - at(1)))
+        return tuple(out)
+
+    assert got["en", "a"] == ("source", *plain([r for r in rows if r[:2] == ("en", "a")]))
+    assert got["en", "b"] == ("language", *plain([r for r in rows if r[0] == "en"]))
+    assert got["de", None] == ("all", *plain(rows)) and got[None, "c"][0] == "source"
+    halves = [quality.sketches(frame.where(f"symbols % 2 = {k}"), ["lang", "source"]) for k in (0, 1)]
+    parts = lambda s: sorted(map(str, s.collect()))
+    assert parts(quality.merged(halves[0].unionByName(halves[1]), ["lang", "source"])) == parts(quality.sketches(frame, ["lang", "source"]))
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_quality_on_given_tables(spark):
+    """Texts labelled clean stay, most labelled bad go, and each source has thresholds of its own."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    judged = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed")
+    left = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert left.get((1, False), 0) <= 0.001 * left[1, True] and left.get((0, True), 0) <= 0.1 * left[0, False]
 
 
 def test_mixing(frame, rows):
