@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +17,18 @@ from pathmill.llm.repeats import gram_hashes, mixed
 
 HASHES = 128
 TREES = 32
-DEEPEST = 12
-#: Pairs whose sketches agree less than this share are not followed up; 0.8 is more than five deviations away.
-SKETCH_FLOOR = 0.6
-BLOCK = 256
+#: Lengths of the prefixes that a text may match, from the whole path to the shortest.
+DEPTHS = (12, 10, 8, 6)
+#: Bits of each MinHash value on a path: six values are one 64-bit number, and a path is two of them.
+BITS = 10
+HALF = 6
+#: Texts per block of the exact verification.
+BLOCK = 64
 
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_PATHS = np.stack([_RNG.permutation(HASHES)[:DEEPEST] for _ in range(TREES)])
-
-
-def depths(similarity: float, target: float) -> list[int]:
-    """Prefix lengths to match: the deepest, then shortened until pairs at `similarity` meet with probability `target`."""
-    depth = DEEPEST
-    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < target:
-        depth -= 1
-    return sorted({DEEPEST, depth}, reverse=True)
+_PATHS = np.stack([_RNG.permutation(HASHES)[: DEPTHS[0]] for _ in range(TREES)])
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +69,15 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_keys(signature: np.ndarray, wanted: list[int]) -> dict[int, np.ndarray]:
-    """For each wanted depth the trees' prefixes of that length, hashed: (texts, TREES)."""
-    key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(signature), TREES)).copy()
-    found = {}
-    for d in range(DEEPEST):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, _PATHS[:, d]])
-        if d + 1 in wanted:
-            found[d + 1] = key.view(np.int64)
-    return found
+def paths(signature: np.ndarray) -> np.ndarray:
+    """The trees' paths, (texts, 2 * TREES): the first six values of each tree as one number, then the next six."""
+    out = np.zeros((len(signature), TREES, 2), np.int64)
+    for d in range(DEPTHS[0]):
+        out[:, :, d // HALF] = (out[:, :, d // HALF] << BITS) | (signature[:, _PATHS[:, d]] & ((1 << BITS) - 1)).astype(np.int64)
+    return out.reshape(len(signature), 2 * TREES)
 
 
-def _sign(n: int, levels: list[int]):
+def _sign(n: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 500):
@@ -91,24 +85,114 @@ def _sign(n: int, levels: list[int]):
                 hashes, counts = shingles([(t or "").encode() for t in pdf["body"]], n)
                 some = counts > 0
                 out = pd.DataFrame({"id": pdf["id"].astype("Int64"), "digest": pdf["digest"]})
-                signature = signatures(hashes, counts[some]) if some.any() else np.zeros((0, HASHES), np.uint32)
-                keys = prefix_keys(signature, levels)
+                found = paths(signatures(hashes, counts[some])) if some.any() else np.zeros((0, 2 * TREES), np.int64)
                 row = np.cumsum(some) - 1
-                low = signature.astype(np.uint8)
-                out["sketch"] = [low[r].tobytes() if s else None for r, s in zip(row, some)]
-                for d in levels:
-                    out[f"keys{d}"] = [keys[d][r] if s else None for r, s in zip(row, some)]
+                ends = np.cumsum(counts).tolist()
+                out["shingles"] = [len(np.unique(hashes[e - c : e])) for e, c in zip(ends, counts.tolist())]
+                out["paths"] = [found[r] if s else None for r, s in zip(row, some)]
                 yield out
 
     return sign
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _longest_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of the sorted tries that share a prefix with a neighbour, and the longest such prefix.
+
+    In sorted order the longest match of a path is one of its two neighbours. The first and the last entry of a task do
+    not see one of theirs and are kept with the whole path; that costs two rows a task, and counting settles them.
+    """
+    columns = ["tree", "high", "low", "node"]
+
+    def matches(held: np.ndarray, before: int) -> np.ndarray:
+        """Between entries; at the first place what is before them, at the last nothing yet."""
+        match = np.zeros(len(held) + 1, np.int64)
+        match[0] = before
+        same = held[1:, 0] == held[:-1, 0]
+        high, low = held[1:, 1] == held[:-1, 1], held[1:, 2] ^ held[:-1, 2]
+        for d in DEPTHS:
+            shared = same & high & ((low >> (BITS * (DEPTHS[0] - d))) == 0 if d > HALF else True)
+            match[1:-1] = np.maximum(match[1:-1], np.where(shared, d, 0))
+        return match
+
+    carried, before = None, DEPTHS[0]
     for pdf in batches:
-        if len(pdf):
-            a = np.frombuffer(b"".join(pdf["sketch_a"]), np.uint8).reshape(len(pdf), HASHES)
-            b = np.frombuffer(b"".join(pdf["sketch_b"]), np.uint8).reshape(len(pdf), HASHES)
-            yield pdf.loc[(a == b).mean(1) >= SKETCH_FLOOR, ["a", "b"]]
+        if not len(pdf):
+            continue
+        held = pdf[columns].to_numpy(np.int64)
+        if carried is not None:
+            held = np.concatenate([carried, held])
+        match = matches(held, before)
+        longest = np.maximum(match[:-1], match[1:])
+        # the last entry waits for its next neighbour
+        keep = longest[:-1] > 0
+        yield pd.DataFrame(held[:-1][keep], columns=columns).assign(longest=longest[:-1][keep])
+        carried, before = held[-1:], int(match[-2])
+    if carried is not None:
+        yield pd.DataFrame(carried, columns=columns).assign(longest=DEPTHS[0])
+
+
+def shorten(tree: np.ndarray, depth: np.ndarray, texts: np.ndarray, group: np.ndarray, similarity: float, target: float) -> np.ndarray:
+    """Which of the entries are to be opened: for each text (`group`, from 0 on) its prefixes, shortened to the target.
+
+    Entries are a text's prefixes in each tree with the number of texts that share them; others are shared by nobody. A
+    text accepts crowds of 64 texts, which are one block to verify, then of 128, 256, ...: in each tree it takes the
+    shortest prefix with no more. A text at `similarity` shares a prefix of d values with probability similarity ** d,
+    so it stops as soon as a partner at the threshold would have shown itself with probability `target`. Texts in
+    crowded tries thus use long prefixes there and short ones elsewhere; no crowd is cut. (To accept less at first would
+    bend the choice towards prefixes without the partner: a crowd must be many for one more not to matter.)
+    """
+    total = int(group.max()) + 1 if len(group) else 0
+    crowd = np.ones((total, TREES, len(DEPTHS)))
+    place = np.searchsorted(-np.array(DEPTHS), -depth)
+    crowd[group, tree, place] = texts
+    meets = 1 - similarity ** np.array(DEPTHS, float)
+    opened = np.zeros(crowd.shape, bool)
+    todo, allowed = np.arange(total), float(BLOCK)
+    while len(todo):
+        fits = crowd[todo] <= allowed
+        # DEPTHS fall, so the last that fits is the shortest; crowds only grow as prefixes shorten
+        number = fits.sum(2)
+        shortest = np.maximum(number - 1, 0)
+        missed = np.where(number > 0, meets[shortest], 1.0).prod(1)
+        done = (missed <= 1 - target) | (allowed >= crowd[todo].max((1, 2)))
+        chosen = np.zeros(fits.shape, bool)
+        np.put_along_axis(chosen, shortest[:, :, None], (number > 0)[:, :, None], 2)
+        opened[todo[done]] = chosen[done]
+        todo, allowed = todo[~done], allowed * 2
+    return opened[group, tree, place]
+
+
+def _shorten_sorted(similarity: float, target: float):
+    """Keys of the prefixes that the texts open; entries come sorted by text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None:
+                if not len(pdf):
+                    continue
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                ready = held[held["node"] != held["node"].iloc[-1]]
+                held = held[held["node"] == held["node"].iloc[-1]]
+            else:
+                ready = held if held is not None else pd.DataFrame()
+            for a, b in _whole_groups(ready["node"].to_numpy() if len(ready) else np.zeros(0, np.int64)):
+                part = ready.iloc[a:b]
+                group = np.unique(part["node"].to_numpy(), return_inverse=True)[1]
+                opened = shorten(part["tree"].to_numpy(), part["depth"].to_numpy(), part["texts"].to_numpy(), group, similarity, target)
+                yield part.loc[opened & (part["texts"].to_numpy() > 1), ["key"]].drop_duplicates()
+
+    return run
+
+
+def _whole_groups(sorted_keys: np.ndarray, size: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of about `size` rows that end with the last row of a key."""
+    at = 0
+    while at < len(sorted_keys):
+        end = min(at + size, len(sorted_keys))
+        end = int(np.searchsorted(sorted_keys, sorted_keys[end - 1], side="right"))
+        yield at, end
+        at = end
 
 
 def _sets(n: int):
@@ -116,7 +200,7 @@ def _sets(n: int):
         for pdf in batches:
             hashes, counts = shingles([(t or "").encode() for t in pdf["body"]], n)
             ends = np.cumsum(counts)
-            out = pdf[["node", "root", "copies", "blocks"]].copy()
+            out = pdf[["node", "root", "copies", "block", "own", "next", "last"]].copy()
             out["shingles"] = [np.unique(hashes[e - c : e]).tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
             yield out
 
@@ -178,60 +262,73 @@ def _verify_groups(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target_recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidate_families(texts: DataFrame, similarity: float, target_recall: float) -> DataFrame:
+    """node, root: what hangs together by the prefixes that texts open in the forest; texts have node and paths."""
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("paths", 2 * t).alias("high"), F.get("paths", 2 * t + 1).alias("low"))))
+    entries = texts.where("paths is not null").select("node", tree.alias("tree", "path")).select("tree", "path.high", "path.low", "node")
+    order = ["tree", "high", "low", "node"]
+    matched = entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_longest_matches, "tree int, high long, low long, node long, longest int")
+    prefixes = matched.withColumn("depth", F.explode(F.filter(F.array(*map(F.lit, DEPTHS)), lambda d: d <= F.col("longest"))))
+    rest = F.when(F.col("depth") > HALF, F.expr(f"shiftright(low, {BITS} * ({DEPTHS[0]} - depth))")).otherwise(F.lit(0).cast("long"))
+    prefixes = cut(prefixes.select("node", "tree", "depth", F.xxhash64("tree", "depth", "high", rest).alias("key")))
+    crowds = cut(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("least")).where("texts > 1"))
+    counted = prefixes.join(crowds.select("key", "texts"), "key").repartition("node").sortWithinPartitions("node")
+    opened = cut(counted.mapInPandas(_shorten_sorted(similarity, target_recall), "key long").distinct().join(crowds.select("key", "least"), "key"))
+    edges = prefixes.join(opened, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return components(edges)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target_recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, class_id, n_links, kept.
 
     Two texts are linked when the Jaccard similarity of their sets of n-word shingles is at least `similarity`; n_links
     counts the rows a row is linked with, class_id is the least id of its connected component, and the row with that id
     is kept. Words are runs of anything but ASCII white space, as they stand.
 
-    Equal texts are one class from the start, with their number of rows. Each distinct text has 32 paths of its MinHash
-    signature; prefixes are matched from the deepest on and shortened until texts at the threshold meet with the target
-    probability. A prefix links its texts to its least one, so a crowded prefix gives as many pairs as texts; pairs whose
-    128-byte sketches disagree are left. What hangs together by them is a family, and in a family all pairs of texts are
-    verified on their exact shingle sets, in blocks of 256 by 256 texts, so no link inside a family depends on hashing.
+    Equal texts are one class from the start, with their number of rows. Each distinct text has 32 paths of 12 values of
+    its MinHash signature. The paths are range-sorted, a trie each, and neighbours in it give the longest prefix that a
+    text shares. From there each text shortens its prefixes until the target recall (see shorten), and what shares an
+    opened prefix is one family, without a filter between. In a family all pairs of texts are verified on their exact
+    shingle sets, in blocks of 64 by 64 texts; only blocks whose set sizes are so far apart that no pair can be similar
+    are not met. So no link inside a family depends on signatures.
 
     A text of fewer than n words has all its words as its one shingle; a text without words, or null, has none and is
     linked to equal texts only (null counts as empty). Null ids and rows that repeat an id are rows of their own; a
-    null id is kept only where its class has no other. An empty table gives an empty result.
+    null id is kept only where its class has no other. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    levels = depths(similarity, target_recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.col(text_col).alias("body"))
-    signed = rows.mapInPandas(_sign(n, levels), "id long, digest string, sketch binary, " + ", ".join(f"keys{d} array<long>" for d in levels))
+    signed = rows.mapInPandas(_sign(n), "id long, digest string, shingles long, paths array<long>")
     texts = cut(
         signed.groupBy("digest")
-        .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), *[F.first(f"keys{d}").alias(f"keys{d}") for d in levels])
+        .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("paths").alias("paths"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    pairs = None
-    for d in levels:
-        paths = texts.select("node", F.explode(f"keys{d}").alias("key"))
-        crowds = paths.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("key", "b")
-        found = paths.join(crowds, "key").where("node <> b").select(F.col("node").alias("a"), "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.distinct()
-    sketch = texts.select("node", "sketch")
-    pairs = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-    families = components(pairs.mapInPandas(_alike, "a long, b long"))
-
-    sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = cut(families.join(sizes, "root").join(texts.select("node", "digest", "least_id", "copies"), "node"))
-    wanted = members.select(F.col("digest").alias("wanted_digest"), F.col("least_id").alias("wanted_id"), "node", "root", "copies", "blocks")
-    bodies = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))).select("body", "node", "root", "copies", "blocks")
-    sets = bodies.mapInPandas(_sets(n), "node long, root long, copies long, blocks int, shingles binary").dropDuplicates(["node"])
-    block = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    families = candidate_families(texts, similarity, target_recall)
+
+    # sets whose sizes are two classes apart cannot be similar
+    step = F.floor(F.log(F.col("shingles").cast("double")) / F.lit(math.log(1 / similarity)) + F.lit(1e-9)).cast("int") if similarity < 1 else F.col("shingles").cast("int")
+    members = cut(families.join(texts.select("node", "digest", "least_id", "copies", step.alias("step")), "node"))
+    sizes = cut(members.groupBy("root", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    near = lambda d, name: sizes.select("root", (F.col("step") - d).alias("step"), F.col("blocks").alias(name))
+    placed = members.join(near(0, "own"), ["root", "step"]).join(near(1, "next"), ["root", "step"], "left").join(near(-1, "last"), ["root", "step"], "left")
+    block = F.col("step").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("own"))
+    wanted = placed.select(F.col("digest").alias("wanted_digest"), F.col("least_id").alias("wanted_id"), "node", "root", "copies", block.alias("block"), "own", F.coalesce("next", F.lit(0)).alias("next"), F.coalesce("last", F.lit(0)).alias("last"))
+    bodies = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))).select("body", "node", "root", "copies", "block", "own", "next", "last")
+    sets = bodies.mapInPandas(_sets(n), "node long, root long, copies long, block long, own int, next int, last int, shingles binary").dropDuplicates(["node"])
+    first = F.col("block") - F.pmod(F.col("block"), F.lit(1 << 32))
+    others = lambda count, d: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: first + k + F.lit(d << 32))).otherwise(F.array().cast("array<long>"))
+    dealt = sets.withColumn("other", F.explode(F.concat(others("own", 0), others("next", 1), others("last", -1)))).select(
         "node", "root", "copies", "shingles", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
     grouped = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     checked = cut(grouped.mapInPandas(_verify_groups(similarity), "node long, links long, least long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(checked.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    placed = members.select("node", "digest", "least_id", "copies").join(links, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    linked = placed.join(least, "root").select("digest", "class_id", "links")
+    found = members.select("node", "digest", "least_id", "copies").join(links, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = found.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    linked = found.join(least, "root").select("digest", "class_id", "links")
     classes = texts.select("digest", "least_id", "copies").join(linked, "digest", "left").select("digest", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     classes = cut(classes)  # so that the join's sides are shuffles of their own and the rows of one text can be split
     return rows.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))

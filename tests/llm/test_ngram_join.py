@@ -1,7 +1,12 @@
 """The join against all pairs of exact shingle sets."""
 
+import itertools
+import os
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from pathmill.llm import ngram_join
@@ -55,9 +60,69 @@ def test_no_rows(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_depths():
-    assert ngram_join.depths(0.8, 0.995) == [12, 8]
-    assert ngram_join.depths(1.0, 0.99) == [12]
+def test_shorten():
+    """Small crowds are opened at once; in crowded trees prefixes are long, elsewhere short."""
+    shortest = ngram_join.DEPTHS[-1]
+    each = [(t, d) for t in range(ngram_join.TREES) for d in ngram_join.DEPTHS]
+    tree, depth = np.array([t for t, _ in each]), np.array([d for _, d in each])
+    opened = lambda texts: ngram_join.shorten(tree, depth, np.array(texts), np.zeros(len(each), int), 0.8, 0.999)
+    assert set(depth[opened([2] * len(each))]) == {shortest}
+    crowded = opened([(50_000 if d < 12 else 3) if t < 8 else 2 for t, d in each])
+    assert set(depth[crowded & (tree >= 8)]) == {shortest} and set(depth[crowded & (tree < 8)]) <= {12}
+    everywhere = opened([1_000_000] * len(each))
+    assert everywhere.any()  # nothing is cut, however large the crowd
+    miss = np.prod([1 - 0.8 ** int(depth[everywhere & (tree == t)].min()) for t in range(ngram_join.TREES)])
+    assert miss <= 0.001
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_longest_matches(size):
+    rng = random.Random(1)
+    rows = sorted((rng.randint(0, 2), rng.choice([5, 6]), rng.choice([0, 1, 1 << 20, 1 << 59, 7 << 40]), k) for k in range(60))
+    rows += [(9, 1, 1, 100)]
+    value = lambda r: [(r[1] >> (10 * k)) & 1023 for k in range(5, -1, -1)] + [(r[2] >> (10 * k)) & 1023 for k in range(5, -1, -1)]
+
+    def shared(a, b):
+        n = next((k for k, (x, y) in enumerate(zip(value(a), value(b), strict=True)) if x != y), 12) if a[0] == b[0] else 0
+        return max([d for d in ngram_join.DEPTHS if d <= n], default=0)
+
+    frames = [pd.DataFrame(rows[a : a + size], columns=["tree", "high", "low", "node"]) for a in range(0, len(rows), size)]
+    got = {int(r.node): int(r.longest) for f in ngram_join._longest_matches(iter(frames)) for r in f.itertuples()}
+    for k in range(1, len(rows) - 1):
+        want = max(shared(rows[k], rows[k - 1]), shared(rows[k], rows[k + 1]))
+        assert got.get(rows[k][3], 0) == want
+    assert got[100] == 12
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_recall_on_given_texts(spark):
+    """Copies of given texts planted at similarities just over the threshold: nearly all links of all pairs are found."""
+    rng = random.Random(4)
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 1500 and text is not null").collect()]
+    docs = list(given)
+    for d, t in rng.sample([x for x in given if len(x[1].split()) >= 120], 500):
+        words = t.split()
+        # c separate changes alter 5c of n shingles: similarity (n - 5c) / (n + 5c)
+        n = len(words) - 4
+        c = int(n / 9 / 5)
+        for at in rng.sample(range(2, len(words) - 2, 5), min(c, len(range(2, len(words) - 2, 5)))):
+            words[at] = f"x{rng.random()}"
+        docs.append((100_000 + d, " ".join(words)))
+    grams = [{hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    holders = defaultdict(list)
+    for k, g in enumerate(grams):
+        for x in g:
+            holders[x].append(k)
+    both = Counter(p for h in holders.values() if 1 < len(h) for p in itertools.combinations(h, 2))
+    true = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(grams[a]) + len(grams[b]) - n)]
+    near = sum(both[p] < 0.85 * (len(grams[p[0]]) + len(grams[p[1]]) - both[p]) for p in true)
+    found = {r["doc_id"]: r["class_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    recall = sum(found[docs[a][0]] == found[docs[b][0]] for a, b in true) / len(true)
+    print("recall", recall, "of", len(true), "links,", near, "of them under 0.85")
+    assert near >= 300 and recall >= 0.99
 
 
 def test_components(spark):
