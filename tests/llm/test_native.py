@@ -60,15 +60,36 @@ def test_digest_collision(spark, monkeypatch):
 
 
 def test_index_levels(spark):
-    """Compaction keeps the least identifiers over runs of several levels."""
-    index = exact_dedup.DigestIndex(spark, fan_in=2)
+    """Compaction keeps the least identifiers over runs of several levels; each batch tells what it repeats."""
+    index, told = exact_dedup.DigestIndex(spark, 20, fan_in=2), []
     for k in range(5):
-        index.ingest(spark.createDataFrame([(10 - k, "a"), (k, f"b{k % 2}")], "id long, digest string"))
+        told.append({r[0] for r in index.ingest(spark.createDataFrame([(10 - k, "a"), (k, f"b{k % 2}")], "id long, digest string")).collect()})
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    index.compact()
+    assert told == [set(), {"a"}, {"a", "b0"}, {"a", "b1"}, {"a", "b0"}]
     assert {tuple(r) for r in index.entries().select("digest", "keep_id", "n").collect()} == {("a", 6, 5), ("b0", 0, 3), ("b1", 1, 2)}
 
 
+def test_index_skips_runs(spark):
+    """A lookup reads the runs that may hold a digest and skips the others by their filters."""
+    index = exact_dedup.DigestIndex(spark, 1000, fan_in=10)
+    digests = lambda k: spark.createDataFrame([(i, hashlib.sha256(f"{k}-{i}".encode()).hexdigest()) for i in range(300)], "id long, digest string")
+    for k in range(3):
+        index.ingest(digests(k))
+    index.read, index.skipped = [], []
+    assert index.lookup(digests(1).where("id = 7").select("digest")).count() == 1
+    assert 1 in index.read and len(index.skipped) >= 1 and set(index.read) | set(index.skipped) == {0, 1, 2}
+    index.read, index.skipped = [], []
+    assert index.lookup(digests(9).where("id < 2").select("digest")).count() == 0 and len(index.skipped) >= 2
+    assert index.lookup(digests(2).select("digest")).count() == 300
+
+
+def test_hot_group(spark):
+    """A group with a third of all rows, all of one id, is dealt into parts and comes out whole."""
+    rows = [(1 if k % 3 == 0 else k, "same" if k % 3 == 0 else f"t{k % 1000}", None, None) for k in range(3000)]
+    got = Counter((r["group_size"], r["keep_id"] == r["doc_id"]) for r in exact_dedup.exact_duplicates(spark.createDataFrame(docs_of(rows), SCHEMA).repartition(5)).collect())
+    assert got[1000, True] == 1000 and sum(got.values()) == 3000
+
+
 def test_lines(frame, rows):
     space = "\x20\x09\x0a\x0b\x0c\x0d"
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(space))
