@@ -37,8 +37,11 @@ def canonical_token(tag: Column, aliases: Column) -> Column:
 
 
 def atomise(tag: Column) -> Column:
-    """Parts of a compound label: parentheses go, then it is split on / or + between white space."""
-    return F.filter(F.split(F.regexp_replace(tag, r"\s*\([^)]*\)", ""), r"\s+[/+]\s+"), lambda p: strip(p) != "")
+    """Parts of a compound label: words in parentheses go, and a / or + that stands alone parts what is left."""
+    pieces = F.split(tag, r"(?=\()|(?<=\))", -1)
+    outside = F.array_join(F.filter(pieces, lambda p: ~(F.startswith(p, F.lit("(")) & F.endswith(p, F.lit(")")))), "")
+    words = F.filter(F.split(outside, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.replace(F.array_join(words, " "), F.lit(" + "), F.lit(" / ")), " / "), lambda p: p != "")
 
 
 def canonical_keys(tags: Column, aliases: Column) -> Column:

@@ -180,7 +180,7 @@ def test_label_clusters(spark):
     key = lambda n: n.replace(" ", "")
     clusters, want = [], {}
     for n in sorted(names, key=lambda n: (len(n), n)):
-        scores = [O.label_similarity(key(n), c[0]) for c in clusters]
+        scores = O.key_scores(key(n), [c[0] for c in clusters])
         best = max(range(len(scores)), key=scores.__getitem__) if scores else -1
         if best >= 0 and scores[best] >= 0.86:
             if len(key(n)) < len(clusters[best][0]):
