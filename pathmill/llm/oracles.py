@@ -75,21 +75,22 @@ def _apportion(name: str, table: str, key: str, votes: str, seats: str) -> str:
     {name} AS (SELECT x.*, b + coalesce(extra, 0) AS quota FROM {name}_d x LEFT JOIN {name}_f f ON f.g = {key} AND f.party = x.party)"""
 
 
-def mixing(seed: int, block: int, cap: int) -> str:
+def mixing(seed: int, block: int, cap: int, shard_rows: int, most_digits: int) -> str:
+    digits = "CASE " + " ".join(f"WHEN source_rows <= {shard_rows * 16**d} THEN {d}" for d in range(1, most_digits)) + f" ELSE {most_digits} END"
     return f"""
     WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('{seed}:' || doc_id) AS hash FROM documents),
-    src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS party FROM src),
     w AS (SELECT *, party % 3 + 1 AS weight, source_size * {cap}::DOUBLE AS most FROM r),
     u AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
           FROM w WINDOW before AS (ORDER BY most / weight, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     v AS (SELECT *, (SELECT arg_min(level, (most / weight, party)) FROM u WHERE level * weight <= most) AS free FROM u),
-    t AS (SELECT source, party, source_size, least(most, weight * coalesce(free, 0))::DOUBLE AS target, (SELECT sum(source_size) FROM src) // {block} AS seats, 0 AS everything FROM v),
+    t AS (SELECT source, party, source_size, source_rows, least(most, weight * coalesce(free, 0))::DOUBLE AS target, (SELECT sum(source_size) FROM src) // {block} AS seats, 0 AS everything FROM v),
     {_apportion("q1", "t", "everything", "target", "seats")},
-    sh AS (SELECT q.party AS rank, substr(hash, 1, 2) AS party, sum(size)::BIGINT AS shard_size, any_value(q.source) AS source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(quota)::BIGINT AS blocks
-           FROM d JOIN q1 q ON d.source IS NOT DISTINCT FROM q.source GROUP BY q.party, substr(hash, 1, 2)),
+    sh AS (SELECT q.party AS rank, substr(hash, 1, {digits}) AS party, sum(size)::BIGINT AS shard_size, any_value(q.source) AS source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(quota)::BIGINT AS blocks
+           FROM d JOIN q1 q ON d.source IS NOT DISTINCT FROM q.source GROUP BY q.party, substr(hash, 1, {digits})),
     {_apportion("q2", "sh", "rank", "shard_size", "blocks")},
     p AS (SELECT doc_id, size, source_size, target, shard_size, least(quota * {block}, shard_size * {cap})::BIGINT AS words, coalesce(sum(size) OVER (PARTITION BY rank, party ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-          FROM d JOIN q2 ON d.source IS NOT DISTINCT FROM q2.source AND substr(hash, 1, 2) = party)
+          FROM d JOIN q2 ON d.source IS NOT DISTINCT FROM q2.source AND starts_with(hash, party))
     SELECT doc_id, size, source_size, target, (coalesce(words // nullif(shard_size, 0), 0) * size + greatest(0, least(size, coalesce(words % nullif(shard_size, 0), 0) - start)))::BIGINT AS taken FROM p
 """

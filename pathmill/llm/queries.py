@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm import oracles, quality
+from pathmill.llm import mixing, oracles, quality
 from pathmill.llm.exact_dedup import exact_duplicates
 from pathmill.llm.fm_index import erase_repeated_words
 from pathmill.llm.language_id import identify_languages
@@ -84,6 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING,
     "op3_exact_dedup": oracles.EXACT,
     "op6_quality_rules": oracles.quality(quality.FENCES, quality.COUNTS, quality.GAMMA, quality.MIN_ROWS, quality.SYMBOLS),
-    "op9_source_mixing": oracles.mixing(17, 32, 3),
+    "op9_source_mixing": oracles.mixing(17, 32, 3, mixing.SHARD_ROWS, mixing.MOST_DIGITS),
     "op10_line_dedup": oracles.LINES,
 }
