@@ -25,28 +25,29 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
 
     A key of at least `min_chars` code points found in at least `min_docs` rows loses its lines everywhere; a key
     counts once per row. Null and empty texts are one empty line. Keys are exploded, hashed to 128 bits and counted
-    with partial aggregation, so a line that every document holds costs one row per task; only occurrences of frequent
-    keys go on to be collected per document, and lines are put together again in their order inside the row. Rows that
-    repeat an id are separate documents. An empty table gives an empty result; other columns are ignored.
+    with partial aggregation, so a line that every document holds costs one row per task; only the positions of frequent
+    keys go on to be collected per document, and a document is put together again from what stands between them. Rows
+    that repeat an id are separate documents. An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    keys = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), _hashed))).alias("key")).select("id", "key.a", "key.b")
+    # the text's hash tells rows apart that repeat an id; rows that are the same throughout have the same positions
+    named = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text).alias("hash"))
+    hashed = F.transform(F.split("body", "\n", -1), lambda x: F.when(F.length(line_key(x)) >= min_chars, _hashed(line_key(x))))
+    keys = named.select(F.explode(F.array_distinct(F.filter(hashed, lambda k: k.isNotNull()))).alias("key")).select("key.a", "key.b")
     # kept as a table, so that both sides of the join below are shuffles of their own and a hot line's rows can be split
     frequent = cut(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    drops = keys.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
-    whole = docs.select(F.col(id_col).alias("id"), text.alias("body"))
-    found = whole.join(drops, whole["id"].eqNullSafe(drops["id"]), "left").select(whole["id"], "body", "drops")
-    kept = found.select(
+    lines = named.select("id", "hash", F.posexplode(hashed).alias("pos", "key")).where("key is not null").select("id", "hash", "pos", "key.a", "key.b")
+    drops = lines.join(frequent, ["a", "b"], "left_semi").groupBy("id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    found = named.join(drops.toDF("_id", "_hash", "drops"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    # lines from after each dropped one up to the next; positions are from 0, slices from 1
+    none = F.array().cast("array<int>")
+    dropped = F.coalesce("drops", none)
+    begins = F.concat(F.array(F.lit(1)), F.transform(dropped, lambda p: p + 2))
+    ends = F.concat(dropped, F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(F.col("lines"), b, F.greatest(e - b + 1, F.lit(0)))))
+    return found.withColumn("lines", F.split("body", "\n", -1)).select(
         F.col("id").alias(id_col),
-        F.split("body", "\n", -1).alias("lines"),
-        F.when(F.col("drops").isNull(), F.split("body", "\n", -1))
-        .otherwise(F.filter(F.split("body", "\n", -1), lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("drops"), _hashed(line_key(x)))))
-        .alias("kept"),
-    )
-    return kept.select(
-        id_col,
         F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"),
+        F.size(dropped).cast("long").alias("n_dropped"),
+        F.array_join(kept, "\n").alias("kept_text"),
     )
