@@ -274,8 +274,11 @@ def candidate_families(texts: DataFrame, similarity: float, target_recall: float
     crowds = cut(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("least")).where("texts > 1"))
     counted = prefixes.join(crowds.select("key", "texts"), "key").repartition("node").sortWithinPartitions("node")
     opened = cut(counted.mapInPandas(_shorten_sorted(similarity, target_recall), "key long").distinct().join(crowds.select("key", "least"), "key"))
-    edges = prefixes.join(opened, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return components(edges)
+    # a text hangs on the least of its prefixes' least texts, and this one on the others: in a large family few pairs differ
+    hubs = prefixes.join(opened, "key").groupBy("node").agg(F.collect_set("least").alias("hubs"))  # a few per tree
+    own = hubs.select(F.col("node").alias("a"), F.array_min("hubs").alias("b"))
+    between = hubs.select(F.array_min("hubs").alias("a"), F.explode("hubs").alias("b"))
+    return components(own.unionByName(between).where("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target_recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
