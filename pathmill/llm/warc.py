@@ -5,21 +5,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import new_dir, ship
+from pathmill.llm.common import new_dir, running, ship
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard long, part long, temporary string, name string, bytes long, sha256 string, records long"
-CELLS = 4096
+#: Shards grow with the input beyond so many, so that their bounds stay a small array.
+MOST_SHARDS = 20_000
 
 
 def open_store(uri: str):
@@ -31,20 +32,27 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int | None, turn: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page_id}:{turn}'.encode(), usedforsecurity=False).hexdigest())}>"
+def fs_selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
+def record_id(page_id: int | None, digest: str, turn: int) -> str:
+    """Of the `turn`-th record of this page and payload."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page_id}:{digest}:{turn}'.encode(), usedforsecurity=False).hexdigest())}>"
 
 
 def record(page_id: int | None, turn: int, url: str | None, payload: bytes, digest: str, original: int | None, date: str) -> bytes:
     """One record as a gzip member of its own. A revisit has the HTTP head alone and names the record it repeats."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if original is not None else head + payload
-    fields = [("WARC-Type", "response" if original is None else "revisit"), ("WARC-Record-ID", record_id(page_id, turn)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "response" if original is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest, turn)), ("WARC-Date", date)]
     fields += [("WARC-Target-URI", quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~-._"))]
     if page_id is not None:
         fields += [("WARC-Page-ID", str(page_id))]
     if original is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(original, 0)), ("WARC-Refers-To-Page-ID", str(original))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(original, digest, 0)), ("WARC-Refers-To-Page-ID", str(original))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -82,67 +90,81 @@ class _Roller:
         return self.shard, self.part, self.temporary, self.name, self.size, self.sha.hexdigest(), self.records
 
 
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Least id, cell width and the first cell of each shard, from exact byte sums over CELLS cells of the id range."""
-    low, high = pages.agg(F.min("id"), F.max("id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    cell = F.floor((F.col("id") - low) / width)
-    sums: Counter[int] = Counter()
-    for r in pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 400).alias("n")).collect():
-        sums[r["cell"] or 0] += r["n"]
-    first, filled = [0], 0
-    for c in range(CELLS):
-        if filled and filled + sums[c] > shard_bytes:
-            first.append(c)
-            filled = 0
-        filled += sums[c]
-    return low, width, first
+def shard_bounds(pages: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first record of each shard, as null mark (0 for null ids), id and tie, from running totals of the bytes in record order."""
+    sizes = pages.groupBy("id", "tie").agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 400).alias("n"))
+    placed = running(sizes, [F.col("id").isNotNull(), F.coalesce("id", F.lit(0)), F.col("tie")], "before", F.col("n"))
+    total = pages.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 400)).first()[0] or 0
+    shard = F.floor(F.col("before") / max(shard_bytes, -(-total // MOST_SHARDS)))
+    least = F.min(F.struct(F.col("id").isNotNull().cast("int").alias("known"), F.coalesce("id", F.lit(0)).alias("id"), F.col("tie").alias("tie")))
+    first = sorted(tuple(r["least"]) for r in placed.groupBy(shard.alias("shard")).agg(least.alias("least")).collect()) or [(0, 0, 0)]  # MOST_SHARDS at most
+    return tuple(np.array(x, np.int64) for x in zip(*first, strict=True))
+
+
+def shard_of(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pd.Series, ties: np.ndarray) -> np.ndarray:
+    """The last shard whose first record is not after the record; what is before the first belongs to it."""
+    known, values = ids.notna().to_numpy().astype(np.int64), ids.fillna(0).to_numpy(np.int64)
+    # one binary search per record, all at once: how many bounds are not after it
+    low, high = np.zeros(len(values), np.int64), np.full(len(values), len(bounds[0]))
+    while (open_ := low < high).any():
+        middle = np.minimum((low + high) // 2, len(bounds[0]) - 1)
+        b0, b1, b2 = (b[middle] for b in bounds)
+        upto = (b0 < known) | (b0 == known) & ((b1 < values) | (b1 == values) & (b2 <= ties))
+        low, high = np.where(open_ & upto, middle + 1, low), np.where(open_ & ~upto, middle, high)
+    return np.maximum(low - 1, 0)
 
 
 def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8 << 20, roll_bytes: int = 4 << 20, min_revisit: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write one record per row below `uri` and return the committed manifest.
 
-    Shards are ranges of the id with about `shard_bytes` of payload, cut at bounds that depend on the rows alone, and
-    records stand in id order, so the archives are the same bytes whatever the partitioning. Of equal payloads of at
+    Shards are ranges of the records in order of id (null first), then of a hash of payload and address, with about
+    `shard_bytes` each, cut by running totals of the rows' bytes, so the archives are the same bytes whatever the
+    partitioning; rows that are equal throughout share a shard. Of equal payloads of at
     least `min_revisit` bytes, the rows with the smallest id are responses and the others revisit it. First the few
     columns that decide this are aggregated; the revisits found travel as marker rows of the same range sort, so the
     payloads are shuffled once. Tasks write temporary names that carry the attempt; the manifest of the successful
-    attempts is written, then a second job renames what it names, which may be repeated, and the final manifest follows.
+    attempts is written, then a second job renames what it names, which may be repeated, and the final manifest follows;
+    temporary files of failed attempts are removed last.
     A null payload is empty; rows with a null id come first and never are the first of their payload unless all are;
     rows that repeat an id get records of their own. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     ship(spark)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("body"))
-    low, width, first = _shards(rows, shard_bytes)
-    bounds = F.array(*[F.lit(c) for c in first])
-    shard = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.floor((F.col("id") - low) / width))) - 1, F.lit(0)).cast("long")
-    light = rows.select("id", F.octet_length("body").alias("n"), F.sha2(F.col("body").cast("binary"), 256).alias("digest")).where(F.col("n") >= min_revisit)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("body")).withColumn("tie", F.xxhash64("body", "url"))
+    bounds = shard_bounds(rows, shard_bytes)
+    shared = spark.sparkContext.broadcast(bounds)  # MOST_SHARDS rows of three numbers at most
+
+    @F.pandas_udf("long")
+    def shard(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(shard_of(shared.value, ids, ties.to_numpy(np.int64)))
+
+    light = rows.select("id", "tie", F.octet_length("body").alias("n"), F.sha2(F.col("body").cast("binary"), 256).alias("digest")).where(F.col("n") >= min_revisit)
     repeated = light.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null")
-    markers = light.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first")
+    markers = light.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "tie", "digest", "first")
     nothing = F.lit(None)
-    merged = markers.select("id", F.lit(0).alias("kind"), nothing.cast("string").alias("url"), nothing.cast("string").alias("body"), "digest", "first").unionByName(
-        rows.select("id", F.lit(1).alias("kind"), "url", "body", nothing.cast("string").alias("digest"), nothing.cast("long").alias("first"))
+    merged = markers.select("id", "tie", F.lit(0).alias("kind"), nothing.cast("string").alias("url"), nothing.cast("string").alias("body"), "digest", "first").unionByName(
+        rows.select("id", "tie", F.lit(1).alias("kind"), "url", "body", nothing.cast("string").alias("digest"), nothing.cast("long").alias("first"))
     )
-    ordered = merged.withColumn("shard", shard).repartitionByRange(len(first), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "kind", "digest", "url", "body")
+    ordered = merged.withColumn("shard", shard("id", "tie")).repartitionByRange(len(bounds[0]), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "tie", "kind", "digest", "url", "body")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roller, last, turn, revisits = _Roller(uri, roll_bytes), object(), 0, {}
+        # a page's records of one payload are numbered; the marker of a payload stands before its records
+        roller, last, turns, revisits = _Roller(uri, roll_bytes), object(), {}, {}
         columns = [c.split()[0] for c in MANIFEST.split(", ")]
         for pdf in batches:
             done: list[tuple] = []
             for key, kind, url, body, digest, original, at in zip(*(pdf[c] for c in ("id", "kind", "url", "body", "digest", "first", "shard")), strict=True):
                 page_id = None if pd.isna(key) else int(key)
                 if page_id != last:
-                    last, turn, revisits = page_id, 0, {}
+                    last, turns, revisits = page_id, {}, {}
                 if kind == 0:
                     revisits[digest] = int(original)
                     continue
                 payload = (body or "").encode("utf-8", "surrogatepass")
                 found = hashlib.sha256(payload).hexdigest()
+                turn = turns.get(found, 0)
+                turns[found] = turn + 1
                 done += roller.write(int(at), record(page_id, turn, url, payload, found, revisits.get(found), date))
-                turn += 1
             if done:
                 yield pd.DataFrame(done, columns=columns)
         if roller.out is not None:
@@ -160,6 +182,10 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     open_store(uri)[0].create_dir(open_store(uri)[1], recursive=True)
     ordered.mapInPandas(write, MANIFEST).write.parquet(f"{uri}/_pending")
     spark.read.parquet(f"{uri}/_pending").mapInPandas(commit, MANIFEST).write.parquet(f"{uri}/_manifest")
+    store, path = open_store(uri)
+    for left in store.get_file_info(fs_selector(path)):
+        if left.base_name.endswith(".tmp"):
+            store.delete_file(left.path)
     return spark.read.parquet(f"{uri}/_manifest")
 
 
