@@ -23,28 +23,25 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
-    """Token ids of byte_bpe_50k, as little-endian 32-bit bytes per pre-token, remembered between texts.
+    """Token ids of a tokenizers file, as little-endian 32-bit bytes per pre-token, remembered between texts.
 
-    The vocabulary and merges are those of the tokenizers file, read as ranks; a text's ids are the ids of its
-    pre-tokens, one after the other. At most LIMIT pre-tokens are remembered; then it starts anew.
+    A text's ids are the ids of its pre-tokens, one after the other; those of a pre-token come from the file's own
+    encoder. At most LIMIT pre-tokens are remembered; then it starts anew.
     """
 
     LIMIT = 400_000
 
-    def __init__(self, ranks_file: str):
-        import base64
-
+    def __init__(self, name: str):
         import public_tokenizers
         import regex
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(ranks_file), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.core = tiktoken.Encoding("pathmill", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.core = Tokenizer.from_file(public_tokenizers.path(name))
+        self.core.encode_special_tokens = True  # marks in a text are text
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.core.encode_ordinary(piece), dtype="<u4").tobytes()
+        found = np.array(self.core.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) >= self.LIMIT:
             self.clear()
         self[piece] = found
@@ -55,38 +52,35 @@ class Encoder(dict):
         return b"".join([self[p] for p in pieces])
 
 
-def encoder(ranks_file: str) -> Encoder:
-    if ranks_file not in _ENCODERS:
-        _ENCODERS[ranks_file] = Encoder(ranks_file)
-    return _ENCODERS[ranks_file]
+def encoder(name: str = "byte_bpe_50k.json") -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    return _ENCODERS[name]
 
 
-def tokenised_pieces(docs: DataFrame, length: int = 1024, end_id: int = 2, ranks_file: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Rows id, row, piece, start, length, ids_crc32 (and ids, little-endian bytes, on request) of every document.
+def tokenised_pieces(docs: DataFrame, length: int = 1024, end_id: int = 2, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Rows id, piece, start, length, ids_crc32 (and ids, little-endian bytes, on request) of every document.
 
     Only documents of more than `length` ids are cut: the first piece takes the remainder, the others are full.
-    `row` tells rows apart that repeat an id.
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(ranks_file).ids, np.uint32(end_id).tobytes()
+        encode, end = encoder(tokenizer).ids, np.uint32(end_id).tobytes()
+        columns = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
         for pdf in batches:
             out: list[tuple] = []
-            for key, row, text in zip(pdf["id"], pdf["row"], pdf["body"], strict=True):
+            for key, text in zip(pdf["id"], pdf["body"], strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 at = [0, *range(n % length or length, n, length), n] if n > length else [0, n]
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     part = ids[4 * a : 4 * b]
-                    out.append((key, row, k, a, b - a, zlib.crc32(part), *([part] if with_ids else [])))
-            columns = ["id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            made = pd.DataFrame(out, columns=columns)
-            made["id"] = made["id"].astype("Int64")
-            yield made
+                    out.append((key, k, a, b - a, zlib.crc32(part), *([part] if with_ids else [])))
+            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("body"))
-    return rows.mapInPandas(cut_up, "id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    return rows.mapInPandas(cut_up, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -227,29 +221,36 @@ class LocalSearch:
         return [b for b in self.bins if b]
 
 
-def pack_documents(docs: DataFrame, length: int = 1024, end_id: int = 2, ranks_file: str = "byte_bpe_50k.tiktoken", shard_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = 1024, end_id: int = 2, tokenizer: str = "byte_bpe_50k.json", shard_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Documents are tokenised once and the table of piece lengths is kept. Pieces are dealt by a hash of the row into
-    shards of about `shard_items` documents, so a shard fits one task at any input size, and each shard is packed for
-    itself: best-fit decreasing, then the local search; it leaves at most a few underfull sequences per shard. Full
-    pieces are sequences of their own. A null text is empty and has the end id alone; rows that repeat an id are
-    packed each; an empty table gives an empty result; other columns are ignored.
+    Documents are tokenised once, whole and however long, and the table of piece lengths is kept. Full pieces are
+    sequences of their own. The others, one per document at most, are dealt by a hash of their values into shards of
+    about `shard_items`, so a shard fits one task at any input size, and each shard is packed for itself: best-fit
+    decreasing, then the local search; it leaves at most a few underfull sequences per shard. Pieces that are the same
+    throughout are counted and numbered, so that the packing does not depend on partitioning and reruns agree. A null
+    text is empty and has the end id alone; rows that repeat an id are packed each; an empty table gives an empty
+    result; other columns are ignored.
     """
-    pieces = cut(tokenised_pieces(docs, length, end_id, ranks_file, id_col, text_col))
-    shards = max(1, -(-pieces.where("piece = 0").count() // shard_items))
+    columns = ["id", "piece", "start", "length", "ids_crc32"]
+    pieces = tokenised_pieces(docs, length, end_id, tokenizer, id_col, text_col)
+    pieces = cut(pieces.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")))
+    each = pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    open_ = each.where(F.col("length") < length)
+    shards = max(1, -(-(pieces.where(F.col("length") < length).agg(F.sum("copies")).first()[0] or 0) // shard_items))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "row", "piece"], ignore_index=True)
-        bins = LocalSearch(best_fit(pdf["length"].to_numpy(), length), pdf["length"].to_numpy(), length).run()
-        sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+        pdf = pdf.sort_values([*columns, "copy"], ignore_index=True)
         sizes = pdf["length"].to_numpy()
+        bins = LocalSearch(best_fit(sizes, length), sizes, length).run()
+        sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
         for k, items in enumerate(bins):
             sequence[items] = k
             offset[items] = np.cumsum([0, *sizes[items][:-1]])
         shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
-        return pdf.assign(sequence_id=(shard << 36) + sequence, offset=offset).drop(columns=["row", "shard"])
+        return pdf.assign(sequence_id=(shard << 32) + sequence, offset=offset).drop(columns=["copy", "shard"])
 
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "id"), F.lit(shards)))
+    sharded = open_.withColumn("shard", F.pmod(F.xxhash64(*columns, "copy"), F.lit(shards)))
     packed = sharded.groupBy("shard").applyInPandas(pack, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return packed.withColumnRenamed("id", id_col)
+    full = each.where(F.col("length") == length).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full).withColumnRenamed("id", id_col)

@@ -1,6 +1,7 @@
 """Archives, language identification, packing and the pipeline: exact round trips, held-out accuracy, plain versions."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -44,10 +45,34 @@ def test_archives(spark, pages):
     warc.write_archives(frame.repartition(5), again, shard_bytes=20_000, roll_bytes=3_000)
     named = lambda rows: sorted((r["name"], r["sha256"]) for r in rows)
     assert named(spark.read.parquet(f"{again}/_manifest").collect()) == named(manifest)  # the same bytes
+    store, path = warc.open_store(uri)
+    heads = []
+    for r in manifest:
+        with store.open_input_stream(f"{path}/{r['name']}", compression=None) as stream:
+            heads += [raw.partition(b"\r\n\r\n")[0].decode() for raw in warc._members(stream)]
+    field = lambda h, name: next((x.split(": ", 1)[1] for x in h.split("\r\n") if x.startswith(f"{name}: ")), None)
+    ids = {field(h, "WARC-Record-ID"): h for h in heads}
+    assert len(ids) == len(pages)
+    for h in heads:
+        if field(h, "WARC-Refers-To"):
+            named_one = ids[field(h, "WARC-Refers-To")]
+            assert field(named_one, "WARC-Type") == "response" and field(named_one, "WARC-Payload-Digest") == field(h, "WARC-Payload-Digest")
+    assert not [x for x in store.get_file_info(warc.fs_selector(path)) if x.base_name.endswith(".tmp")]
     payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, uri, with_payload=True).where("record_type = 'response' and page_id is not null").collect()}
     assert all((dict((p, h) for p, _, h, *_ in pages)[k] or "") == v for k, v in payloads.items())
 
 
+def test_shards_of_skewed_ids(spark):
+    """One far id, many null ids and repeated ids are dealt into shards by their bytes."""
+    rows = [(k, f"u{k}", "x" * 500, "s", 1, "d") for k in range(200)] + [(10**15, "far", "y", "s", 1, "d")] + [(None, f"n{k}", f"z{k}" * 100, "s", 1, "d") for k in range(200)] + [(7, f"again{k}", f"w{k}" * 100, "s", 1, "d") for k in range(100)]
+    uri = new_dir(spark, "warc-skew")
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES), uri, shard_bytes=20_000, roll_bytes=1 << 20).collect()
+    per_shard = Counter()
+    for r in manifest:
+        per_shard[r["shard"]] += r["records"]
+    assert len(per_shard) >= 15 and max(per_shard.values()) <= 60 and sum(per_shard.values()) == len(rows)
+
+
 def test_archives_without_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
@@ -128,17 +153,40 @@ def test_ids_equal_the_tokenizers():
     rng = random.Random(2)
     alphabet = "ab éÄ'stre  \n\t12½²_.,$&\x1c\x85\xa0ª日 "
     texts = TEXTS + ["<|endoftext|> x"] + ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(1500)]
-    encode = packing.encoder("byte_bpe_50k.tiktoken").ids
+    encode = packing.encoder().ids
     for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_ids_equal_the_tokenizers_on_given_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    encode = packing.encoder().ids
+    assert all(np.frombuffer(encode(t), "<u4").tolist() == e.ids for t, e in zip(texts, reference.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(10)
+    rows = [(k % 150, "word " * rng.randint(1, 1500), "en", "s", 0, 1, "i", "p") for k in range(200)] + [(9, "same " * 300, "en", "s", 0, 1, "i", "p")] * 40
+    frame = spark.createDataFrame(rows, DOCS)
+    packed = [Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "offset")) + (r["sequence_id"] if r["sequence_id"] >= 0 else None,) for r in packing.pack_documents(frame.repartition(n)).collect()) for n in (2, 7)]
+    assert packed[0] == packed[1]
+
+
 def test_packing(spark):
     rng = random.Random(9)
     rows = [(k, rng.choice(TEXTS) * rng.randint(1, 3) + " word" * rng.randint(0, 900), "en", "s", 0, 1, "i", "p") for k in range(300)]
     rows += [(500, None, "en", "s", 0, 1, "i", "p"), (501, "long one " * 4000, "en", "s", 0, 1, "i", "p"), (3, "again", "en", "s", 0, 1, "i", "p"), (3, "again", "en", "s", 0, 1, "i", "p"), (None, "no id", "en", "s", 0, 1, "i", "p")]
     got = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
-    encode = packing.encoder("byte_bpe_50k.tiktoken").ids
+    encode = packing.encoder().ids
     want = Counter()
     total = 0
     for d, t, *_ in rows:
