@@ -109,6 +109,8 @@ class Rule:
     shard_bytes: int = 24 << 20
     hot_bundles: int = 2000
     search_bytes: int = 4 << 20  # a shard is searched in parts of about this size, whole routes each
+    windows: int = 64  # a segment has at most so many windows, so that long runs of one route are equal pieces
+    lone: bool = True  # whether segments that are alone on their route are searched too, or answered as their least id
 
 
 class Bundle:
@@ -167,7 +169,13 @@ class Bundle:
         joined = np.zeros(len(valid) + 1, bool)
         joined[1:-1] = valid[1:] & valid[:-1] & (route[1:] == route[:-1])
         starts = np.flatnonzero(valid & ~joined[:-1])
-        return starts, np.flatnonzero(valid & ~joined[1:]) + 1 - starts
+        sizes = np.flatnonzero(valid & ~joined[1:]) + 1 - starts
+        if len(sizes) and int(sizes.max()) > self.rule.windows:
+            pieces = -(-sizes // self.rule.windows)
+            nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            starts, left = np.repeat(starts, pieces) + nth * self.rule.windows, np.repeat(sizes, pieces) - nth * self.rule.windows
+            sizes = np.minimum(left, self.rule.windows)
+        return starts, sizes
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         """The documents of these symbols."""
@@ -321,10 +329,11 @@ def _search(rule: Rule) -> Callable:
                 own.append(k)
             wanted.append(own)
         texts, ids = list(numbers), np.array(least, np.int64)
-        # a segment alone on its route equals no other; the others are searched, the routes' segments together
+        # the segments of a route are searched together
         _, group, sizes = np.unique(np.array(route_of, np.uint64), return_inverse=True, return_counts=True)
         order = np.argsort(group, kind="stable")
-        order = order[sizes[group[order]] > 1]
+        if not rule.lone:
+            order = order[sizes[group[order]] > 1]
         answers: dict[int, np.ndarray] = {}
         part: list[int] = []
         held = 0

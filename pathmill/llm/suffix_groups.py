@@ -153,4 +153,4 @@ def erase_repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id
 
     Returns id_col, n, removed, spans, kept (bytes) per row; see erase_repeats for nulls, ties and repeated ids.
     """
-    return erase_repeats(docs, Rule("bytes", width, min(20, width), smallest_owners, bundle_bytes=2 << 20, search_bytes=1 << 19), id_col, text_col)
+    return erase_repeats(docs, Rule("bytes", width, min(20, width), smallest_owners, bundle_bytes=2 << 20, search_bytes=1 << 19, lone=False), id_col, text_col)

@@ -84,17 +84,48 @@ def test_suffix_array():
 
 def test_wavelet_rank():
     rng = np.random.default_rng(4)
-    symbols = rng.integers(0, 37, 500)
-    tree = fm_index.WaveletTree(symbols, 6)
-    ask, at = rng.integers(0, 37, 200), rng.integers(0, 501, 200)
-    assert tree.rank(ask, at).tolist() == [int((symbols[:i] == s).sum()) for s, i in zip(ask, at, strict=True)]
+    for symbols in (rng.integers(0, 37, 500), np.sort(rng.integers(0, 37, 3000))):
+        tree = fm_index.WaveletTree(symbols, 6)
+        ask, at = rng.integers(0, 37, 200), rng.integers(0, len(symbols) + 1, 200)
+        assert tree.rank(ask, at).tolist() == [int((symbols[:i] == s).sum()) for s, i in zip(ask, at, strict=True)]
 
 
 def test_matching_statistics():
-    text = np.array([1, 2, 3, 1, 2, 4, 0])
-    index = fm_index.FMIndex(text, 4)
-    length, low, high = index.matching_statistics(np.array([9, 1, 2, 3]) % 5, np.array([0]), 4)
-    assert length.tolist() == [3] and (high - low).tolist() == [1]
+    """Of foreign patterns too: the longest match from each place on, and an interval with its occurrences."""
+    rng = random.Random(9)
+    for _ in range(60):
+        text = [rng.randint(1, 3) for _ in range(rng.randint(1, 60))] + [0]
+        depth = rng.choice([1, 3, 5, 13])
+        owners = np.array([rng.randint(0, 9) for _ in text])
+        index = fm_index.FMIndex(np.array(text), depth, owners)
+        patterns = [[rng.randint(1, 4) for _ in range(rng.randint(1, 20))] for _ in range(5)]
+        length, place = index.matching_statistics(np.concatenate(patterns), np.cumsum([len(p) for p in patterns]))
+        want, least, k = [], [], 0
+        for p in patterns:
+            for i in range(len(p)):
+                n = max(n for n in range(min(depth, len(p) - i) + 1) if any(text[j : j + n] == p[i : i + n] for j in range(len(text))))
+                want.append(n)
+                if n == depth:
+                    assert index.least_owner(place[k : k + 1])[0] == min(owners[j] for j in range(len(text)) if text[j : j + n] == p[i : i + n])
+                k += 1
+        assert length.tolist() == want
+
+
+def test_index_is_smaller_than_its_text():
+    """Over text with repeats the index, without text and order, takes less than both."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 5000, 400)
+    text = np.concatenate([x for _ in range(100) for x in (passage, rng.integers(1, 5000, 40), [0])])
+    assert fm_index.FMIndex(text, 13, np.zeros(len(text), np.uint32)).nbytes() < 0.5 * 2 * 8 * len(text)
+
+
+def test_nothing_is_removed_without_the_index(spark):
+    """What the index does not report stays: with an index that reports nobody, no word goes."""
+    docs = random_docs(1)
+    nobody = lambda segments, ids, width: [np.full(len(s.split(b" ")) - width + 1, np.iinfo(np.int64).max) for s in segments]
+    got = erase_repeats(frame(spark, docs), Rule("words", 13, 6, nobody, bundle_bytes=1500)).collect()
+    assert sum(r["removed"] for r in got) == 0
+    assert sum(r["removed"] for r in erase_repeats(frame(spark, docs), Rule("words", 13, 6, fm_index.smallest_owners, bundle_bytes=1500)).collect()) > 0
 
 
 def test_gram_hashes_by_value():
