@@ -16,18 +16,20 @@ def coded(letter: str, width: int, column: str):
 
 
 def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (track_id, course_id, brand, strong): which courses a track lists, and with which tokens."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.09").select("l_suppkey", "l_partkey", "l_quantity")
+    """Rows (track_id, course_id, brand), one per order line: which courses a track lists, and with which tokens."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(coded("T", 6, "l_suppkey").alias("track_id"), coded("P", 7, "l_partkey").alias("course_id"), F.lower("p_brand").alias("brand"), (F.col("l_quantity") >= 40).alias("strong"))
+    return joined.select(coded("T", 6, "l_suppkey").alias("track_id"), coded("P", 7, "l_partkey").alias("course_id"), F.lower("p_brand").alias("brand"))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track_id, college_id, department_id, course_ids, tech: supplier, region, nation, parts sold, brands sold most."""
-    lists = taught(spark, sf_dir).groupBy("track_id").agg(
-        F.array_sort(F.collect_set("course_id")).alias("course_ids"), F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("brand")))).alias("tech")
-    )
+    """track_id, college_id, department_id, course_ids, tech: supplier, region, nation, parts sold, brands of over a twentieth of its lines."""
+    rows = taught(spark, sf_dir)
+    courses_of = rows.groupBy("track_id").agg(F.array_sort(F.collect_set("course_id")).alias("course_ids"), F.count(F.lit(1)).alias("total"))
+    brands = rows.groupBy("track_id", "brand").agg(F.count(F.lit(1)).alias("n")).groupBy("track_id").agg(F.collect_list(F.struct("brand", "n")).alias("brands"))
+    tech = F.array_sort(F.transform(F.filter("brands", lambda b: 20 * b["n"] > F.col("total")), lambda b: b["brand"]))
+    lists = courses_of.join(brands, "track_id").select("track_id", "course_ids", tech.alias("tech"))
     base = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     base = base.select(coded("T", 6, "s_suppkey").alias("track_id"), F.concat(F.lit("C"), "n_regionkey").alias("college_id"), coded("D", 2, "n_nationkey").alias("department_id"))
     empty = F.array().cast("array<string>")
@@ -36,19 +38,18 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAUGHT_SQL = f"""
     taught AS (
-        SELECT {TRACK_ID.format("l_suppkey")} AS track_id, {COURSE_ID.format("l_partkey")} AS course_id,
-               lower(p_brand) AS brand, l_quantity >= 40 AS strong
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_discount >= 0.09
+        SELECT {TRACK_ID.format("l_suppkey")} AS track_id, {COURSE_ID.format("l_partkey")} AS course_id, lower(p_brand) AS brand
+        FROM lineitem JOIN part ON l_partkey = p_partkey
     )"""
 TRACKS_SQL = f"""{TAUGHT_SQL},
+    sold AS (SELECT track_id, brand, count(*) AS n FROM taught GROUP BY ALL),
     tracks AS (
         SELECT b.*, coalesce(course_ids, CAST([] AS VARCHAR[])) AS course_ids, coalesce(tech, CAST([] AS VARCHAR[])) AS tech
         FROM (SELECT {TRACK_ID.format("s_suppkey")} AS track_id, 'C' || n_regionkey AS college_id,
                      'D' || lpad(cast(n_nationkey AS varchar), 2, '0') AS department_id
               FROM supplier JOIN nation ON s_nationkey = n_nationkey) b
-        LEFT JOIN (SELECT track_id, list_sort(list(DISTINCT course_id)) AS course_ids,
-                          list_sort(coalesce(list(DISTINCT brand) FILTER (WHERE strong), [])) AS tech
-                   FROM taught GROUP BY track_id) USING (track_id)
+        LEFT JOIN (SELECT track_id, list_sort(list(DISTINCT course_id)) AS course_ids FROM taught GROUP BY track_id) USING (track_id)
+        LEFT JOIN (SELECT track_id, list_sort(list(brand)) AS tech FROM sold JOIN (SELECT track_id, sum(n) AS total FROM sold GROUP BY 1) USING (track_id) WHERE 20 * n > total GROUP BY track_id) USING (track_id)
     )"""
 
 

@@ -93,12 +93,12 @@ HITS_SQL = """
         SELECT o_orderkey AS hit_ord, o_orderpriority AS job_id, round(o_totalprice / 1000, 0) AS score, o_orderstatus AS name, o_orderdate::VARCHAR AS text,
                CASE o_orderstatus WHEN 'F' THEN ['brand#1', 'brand#2'] WHEN 'O' THEN ['brand#2', 'brand#3'] ELSE [] END AS main,
                CASE o_orderstatus WHEN 'F' THEN ['brand#1', 'x1', 'x2'] ELSE ['x3'] END AS fallback, tags
-        FROM orders JOIN (SELECT l_orderkey, list(p_brand ORDER BY l_linenumber, p_brand) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 2 GROUP BY 1) ON l_orderkey = o_orderkey
+        FROM orders JOIN (SELECT l_orderkey, list(p_brand ORDER BY l_linenumber, p_brand) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey
     )"""
 
 
 def _hits(spark, d):
-    lines = table(spark, d, "lineitem").join(table(spark, d, "part").where("p_size <= 2"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     tags = lines.groupBy("l_orderkey").agg(A.ordered_list(F.col("p_brand"), "l_linenumber", "p_brand").alias("tags"))
     orders = table(spark, d, "orders").join(tags, F.col("o_orderkey") == F.col("l_orderkey"))
     status = F.col("o_orderstatus")
@@ -151,8 +151,8 @@ def a12(spark, d):
 
 
 @query("a13_merge_courses", """
-    WITH r AS (SELECT l_partkey AS course_id, l_suppkey AS track_id, l_orderkey * 10 + l_linenumber AS ord, p_name AS course_name, 2 + p_size % 2 AS credits, p_type AS course_type,
-                      CASE WHEN l_returnflag = 'R' THEN l_linenumber % 5 END AS grade, CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS semester FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount >= 0.09),
+    WITH r AS (SELECT l_partkey AS course_id, l_suppkey AS track_id, (l_orderkey * 100 + l_linenumber) * 1000000 + l_suppkey AS ord, p_name AS course_name, 2 + p_size % 2 AS credits, p_type AS course_type,
+                      CASE WHEN l_returnflag = 'R' THEN l_linenumber % 5 END AS grade, CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS semester FROM lineitem JOIN part ON l_partkey = p_partkey),
     t AS (SELECT course_id, track_id, min(ord) AS ord FROM r GROUP BY ALL), tl AS (SELECT course_id, string_agg(track_id::VARCHAR, '|' ORDER BY ord) AS track_ids FROM t GROUP BY 1),
     g AS (SELECT course_id, any_value(course_name) AS course_name, any_value(credits) AS credits, any_value(course_type) AS course_type,
                  coalesce(list_sort(list(DISTINCT grade) FILTER (WHERE grade IS NOT NULL)), [1, 2, 3, 4]) AS grades, coalesce(list_sort(list(DISTINCT semester) FILTER (WHERE semester IS NOT NULL)), [1, 2, 3, 4, 5, 6, 7, 8]) AS semesters FROM r GROUP BY 1)
@@ -160,9 +160,9 @@ def a12(spark, d):
            ['foundation', 'core', 'application', 'industry'][greatest(1, least(4, grades[1]))] AS stage FROM g JOIN tl USING (course_id)
 """)
 def a13(spark, d):
-    rows = table(spark, d, "lineitem").where("l_discount >= 0.09").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.select(
-        F.col("l_partkey").alias("course_id"), F.col("l_suppkey").alias("track_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("p_name").alias("course_name"), (2 + F.col("p_size") % 2).alias("credits"),
+        F.col("l_partkey").alias("course_id"), F.col("l_suppkey").alias("track_id"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000 + F.col("l_suppkey")).alias("ord"), F.col("p_name").alias("course_name"), (2 + F.col("p_size") % 2).alias("credits"),
         F.col("p_type").alias("course_type"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber") % 5).alias("grade"), F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("semester"),
     )
     text = lambda c: joined(F.transform(c, lambda x: x.cast("string")))
@@ -179,11 +179,11 @@ def a15(spark, d):
 
 
 @query("a16_union_per_item", f"""
-    WITH {COURSES_SQL}, f AS (SELECT 'P' || lpad(l_partkey::VARCHAR, 7, '0') AS course_id, lower(l_shipmode) AS token FROM (SELECT l_partkey, l_linestatus || l_returnflag AS l_shipmode FROM lineitem WHERE l_discount >= 0.1))
+    WITH {COURSES_SQL}, f AS (SELECT 'P' || lpad(l_partkey::VARCHAR, 7, '0') AS course_id, lower(l_shipmode) AS token FROM (SELECT l_partkey, l_linestatus || l_returnflag AS l_shipmode FROM lineitem))
     SELECT course_id, coalesce(string_agg(DISTINCT token, '|' ORDER BY token), '') AS tokens FROM courses LEFT JOIN f USING (course_id) GROUP BY course_id
 """)
 def a16(spark, d):
-    found = table(spark, d, "lineitem").where("l_discount >= 0.1").select(F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("course_id"), F.lower(F.concat("l_linestatus", "l_returnflag")).alias("token"))
+    found = table(spark, d, "lineitem").select(F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("course_id"), F.lower(F.concat("l_linestatus", "l_returnflag")).alias("token"))
     return A.union_per_item(courses(spark, d).select("course_id"), found, "course_id", "token").withColumn("tokens", joined("tokens"))
 
 
@@ -215,17 +215,18 @@ def a20(spark, d):
 
 
 @query("a21_unique_names", """
-    WITH r AS (SELECT p_partkey, p_name AS name, lower(p_type) AS suffix, count(*) OVER (PARTITION BY p_name) AS n, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS k FROM part WHERE p_size = 7),
+    WITH r AS (SELECT p_partkey, p_name AS name, lower(p_type) AS suffix, count(*) OVER (PARTITION BY p_name) AS n, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS k FROM part),
     c AS (SELECT name, count(DISTINCT suffix) AS nd FROM r GROUP BY 1)
     SELECT p_partkey, CASE WHEN n = 1 THEN name WHEN n = nd OR k = 1 THEN name || '_' || suffix ELSE name || '_' || suffix || k END AS new_name FROM r JOIN c USING (name)
 """)
 def a21(spark, d):
-    rows = table(spark, d, "part").where("p_size = 7").select("p_partkey", F.col("p_name").alias("name"), F.lower("p_type").alias("suffix"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.lower("p_type").alias("suffix"))
     return A.unique_names(rows, "name", "suffix", "p_partkey").select("p_partkey", "new_name")
 
 
 @query("a22_catalog_gaps", "SELECT s_suppkey, CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 45) THEN 'not sold' ELSE 'college left out' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 45)")
 def a22(spark, d):
+    """The filter sets up the case: suppliers without a line of a rare kind count as not sold."""
     listed = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     sold = table(spark, d, "lineitem").where("l_discount >= 0.1 and l_tax >= 0.08 and l_quantity >= 45").select(F.col("l_suppkey").alias("s_suppkey"), F.lit(True).alias("sold")).distinct()
     rows = listed.join(sold, "s_suppkey", "left").where("n_regionkey = 0 or sold is null")

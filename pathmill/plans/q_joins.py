@@ -116,29 +116,29 @@ def j14(spark, d):
     return J.token_overlap(left, jobs(spark, d).select("job_id", F.explode("job_keys").alias("token")), "track_id", "job_id", "token")
 
 
-@query("j15_merged_membership", "WITH r AS (SELECT p_partkey AS key, lower(p_type) AS tag FROM part WHERE p_size <= 20 UNION SELECT l_partkey, l_returnflag FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 40) SELECT key, string_agg(tag, '|' ORDER BY tag) AS tags FROM r GROUP BY 1")
+@query("j15_merged_membership", "WITH r AS (SELECT p_partkey AS key, lower(p_type) AS tag FROM part UNION SELECT l_partkey, l_returnflag FROM lineitem) SELECT key, string_agg(tag, '|' ORDER BY tag) AS tags FROM r GROUP BY 1")
 def j15(spark, d):
-    rows = table(spark, d, "part").where("p_size <= 20").select(F.col("p_partkey").alias("key"), F.array(F.lower("p_type")).alias("tags"))
-    members = table(spark, d, "lineitem").where("l_discount >= 0.1 and l_quantity >= 40").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("tag"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.array(F.lower("p_type")).alias("tags"))
+    members = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("tag"))
     return J.merge_membership(rows, members, "key", "tag")
 
 
-@query("j16_bound_texts", "WITH f AS (SELECT l_partkey, arg_min(l_shipdate::VARCHAR, (l_orderkey, l_linenumber)) AS text FROM lineitem WHERE l_discount >= 0.1 GROUP BY 1) SELECT p_partkey, coalesce(text, p_name || ' of ' || p_brand) AS text FROM part LEFT JOIN f ON l_partkey = p_partkey")
+@query("j16_bound_texts", "WITH f AS (SELECT l_partkey, arg_min(l_shipdate::VARCHAR, (l_orderkey, l_linenumber)) AS text FROM lineitem GROUP BY 1) SELECT p_partkey, coalesce(text, p_name || ' of ' || p_brand) AS text FROM part LEFT JOIN f ON l_partkey = p_partkey")
 def j16(spark, d):
-    texts = table(spark, d, "lineitem").where("l_discount >= 0.1").select(F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("text"))
+    texts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("text"))
     return J.bind_texts(table(spark, d, "part"), texts, "p_partkey", F.concat("p_name", F.lit(" of "), "p_brand")).select("p_partkey", "text")
 
 
 @query("j17_tokens_of_names", """
-    WITH i AS (SELECT lower(p_name) AS key, list_sort(list(DISTINCT lower(p_brand))) AS tokens FROM part WHERE p_size < 30 GROUP BY 1),
-    r AS (SELECT l_orderkey, l_linenumber * 1000000 + p_partkey AS seq, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey JOIN i ON key = lower(p_name) WHERE l_quantity >= 48),
+    WITH i AS (SELECT lower(p_name) AS key, list_sort(list(DISTINCT lower(p_brand))) AS tokens FROM part GROUP BY 1),
+    r AS (SELECT l_orderkey, l_linenumber * 1000000 + p_partkey AS seq, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey JOIN i ON key = lower(p_name)),
     f AS (SELECT l_orderkey, t, min((seq, pos)) AS seen FROM r GROUP BY ALL)
     SELECT l_orderkey, string_agg(t, '|' ORDER BY seen) AS tokens FROM f GROUP BY 1
 """)
 def j17(spark, d):
     part = table(spark, d, "part")
-    index = part.where("p_size < 30").groupBy(F.lower("p_name").alias("key")).agg(F.array_sort(F.collect_set(F.lower("p_brand"))).alias("tokens"))
-    rows = table(spark, d, "lineitem").where("l_quantity >= 48").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("p_partkey")).alias("seq"), F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t")).alias("name"))
+    index = part.groupBy(F.lower("p_name").alias("key")).agg(F.array_sort(F.collect_set(F.lower("p_brand"))).alias("tokens"))
+    rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("p_partkey")).alias("seq"), F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t")).alias("name"))
     return J.tokens_of_names(rows, index, "l_orderkey", "name", "seq").withColumn("tokens", F.array_join("tokens", "|")).where("tokens <> ''")
 
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pathmill.functions import text as X
 from pathmill.lineage import new_dir
-from pathmill.operators.aggregates import latest_per_key
 from pathmill.operators.joins import not_collected
 from pathmill.plans.bindings import TRACKS_SQL, tracks
 from pathmill.registry import query
 from pathmill.session import table
 from pathmill.sources import readers, writers
-from pathmill.streaming.ingest import progress
+from pathmill.streaming import ingest
 
 
 @query("s06_latest_snapshot", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
@@ -34,31 +34,67 @@ def s11(spark, d):
 
 @query("s12_vector_side_table", f"WITH {TRACKS_SQL} SELECT track_id, coalesce(len(embedding), 0) AS dims, round(coalesce(embedding[1], 0)::DOUBLE, 6) AS first FROM tracks LEFT JOIN embeddings ON CAST(substr(track_id, 2) AS BIGINT) * 7 = vec_id")
 def s12(spark, d):
-    vectors = table(spark, d, "embeddings").where("vec_id % 7 = 0").select(F.concat(F.lit("T"), F.lpad((F.col("vec_id") / 7).cast("long").cast("string"), 6, "0")).alias("track_id"), F.col("embedding").cast("array<double>").alias("meta_vector"))
+    """Every seventh vector is a track's; the others have no track."""
+    number = F.when(F.col("vec_id") % 7 == 0, F.lpad((F.col("vec_id") / 7).cast("long").cast("string"), 6, "0")).otherwise(F.col("vec_id").cast("string"))
+    vectors = table(spark, d, "embeddings").select(F.concat(F.when(F.col("vec_id") % 7 == 0, "T").otherwise("V"), number).alias("track_id"), F.col("embedding").cast("array<double>").alias("meta_vector"))
     rows = readers.with_vectors(tracks(spark, d).select("track_id"), vectors, "track_id")
     return rows.select("track_id", F.size("meta_vector").cast("long").alias("dims"), F.round(F.coalesce(F.get("meta_vector", 0), F.lit(0.0)), 6).alias("first"))
 
 
-@query("i01_incremental_dedupe", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def i01(spark, d):
-    """The batch twin of the streaming dedupe: each key once, by its first row."""
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+#: Events come in four deliveries by their number; each is a file of the stream's folder.
+DELIVERY_SQL = "(event_id * 4) // (SELECT max(event_id) + 1 FROM events)"
+EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string"
+
 
+def _deliveries(spark, d):
+    """A stream over the events, delivery by delivery."""
+    events = table(spark, d, "events").select(F.col("event_id").cast("long"), F.col("ts").cast("timestamp"), F.col("user_id").cast("long"), "event_type")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    path = new_dir(events, "deliveries")
+    for k in range(4):
+        events.where(F.floor(F.col("event_id") * 4 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
 
-@query("i02_progress", "SELECT event_type, count(*) AS collected, 2000 AS target, CASE WHEN count(*) >= 2000 THEN 'done' ELSE 'open' END AS status FROM events GROUP BY 1")
+
+@query("i01_incremental_dedupe", "SELECT DISTINCT user_id::BIGINT AS user_id, event_type FROM events")
+def i01(spark, d):
+    """Keys of a stream, each the first time it comes."""
+    stream = ingest.new_rows(_deliveries(spark, d), ["user_id", "event_type"])
+    out = new_dir(table(spark, d, "region"), "unseen")
+    stream.select("user_id", "event_type").writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("i02_progress", f"""
+    WITH n AS (SELECT event_type, {DELIVERY_SQL} AS b, count(*) AS n FROM events GROUP BY ALL),
+    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+    SELECT event_type, sum(n)::BIGINT AS collected, 1200 AS target, CASE WHEN sum(n) >= 1200 THEN 'done' ELSE 'open' END AS status FROM c WHERE before < 1200 GROUP BY 1
+""")
 def i02(spark, d):
-    return progress(table(spark, d, "events"), "event_type", 2000)
+    """Deliveries are appended until a type is done; a second run over the same deliveries finds nothing new."""
+    stream = _deliveries(spark, d)
+    base = new_dir(table(spark, d, "region"), "collected")
+    for k in range(2):
+        ingest.append_unseen(stream, f"{base}/rows", f"{base}/progress-{k}", f"{base}/checkpoint-{k}", ["event_id"], "event_type", 1200).awaitTermination()
+    return ingest.latest_version(spark, f"{base}/progress-1")
 
 
-@query("i03_newest_version", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+@query("i03_newest_version", "SELECT user_id::BIGINT AS user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
 def i03(spark, d):
-    return latest_per_key(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id")
+    stream = _deliveries(spark, d).select("user_id", "event_id", "ts")
+    base = new_dir(table(spark, d, "region"), "newest")
+    ingest.upsert_newest(stream, f"{base}/rows", f"{base}/checkpoint", "user_id", "ts", "event_id").awaitTermination()
+    return ingest.latest_version(spark, f"{base}/rows")
 
 
-@query("s10_document_table", "SELECT lang AS doc_type, lang || '_' || source || '.txt' AS doc_path, count(*) AS n FROM documents GROUP BY ALL")
+@query("s10_document_table", "SELECT lang AS doc_type, lang || '_' || source || '_' || doc_id || '.txt' AS doc_path, md5(text) AS digest FROM documents WHERE lang IS NOT NULL")
 def s10(spark, d):
-    rows = table(spark, d, "documents").select(F.col("lang").alias("doc_type"), F.concat(F.col("lang"), F.lit("_"), X.safe_name(F.col("source")), F.lit(".txt")).alias("doc_path"))
-    return rows.groupBy("doc_type", "doc_path").agg(F.count(F.lit(1)).alias("n"))
+    """Documents written as a table by type and read back."""
+    path_of = F.concat(F.col("lang"), F.lit("_"), X.safe_name(F.col("source")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = table(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("doc_type"), path_of.alias("doc_path"), "text")
+    path = new_dir(rows, "documents")
+    writers.write_documents(rows, path)
+    return spark.read.parquet(path).select("doc_type", "doc_path", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("j01_against_earlier_batch", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-10')")
@@ -68,16 +104,50 @@ def j01_batch(spark, d):
     return not_collected(events.where(F.col("ts") >= cut), events.where(F.col("ts") < cut), ["user_id"]).select("event_id")
 
 
-@query("s01_json_arrays", "SELECT o_orderkey, o_orderpriority FROM orders")
-def s01(spark, d):
-    """Orders written as files that each hold one array of objects, and read back."""
+def _order_arrays(spark, d):
+    """Folder of files that hold an array of orders each, one folder per block, and one file that holds none."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     path = new_dir(orders, "arrays")
-    block = (F.col("o_orderkey") / 500).cast("long")
+    block = F.floor(F.col("o_orderkey") / 5000)
     arrays = orders.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("value"))
-    arrays.repartitionByRange(16, "block").select("value").write.text(path, lineSep="\n")
-    lines = spark.read.text(path)
-    return lines.select(F.explode(F.from_json("value", "array<struct<o_orderkey: bigint, o_orderpriority: string>>")).alias("r")).select("r.*")
+    arrays.unionByName(spark.createDataFrame([(-1, '{"not": "an array"}')], "block bigint, value string")).write.partitionBy("block").text(path)
+    return path
+
+
+ORDER = StructType().add("o_orderkey", "long").add("o_orderpriority", "string")
+
+
+@query("s01_json_arrays", "SELECT o_orderkey, o_orderpriority FROM orders")
+def s01(spark, d):
+    """Orders written as files that each hold one array of objects, and read back."""
+    return readers.read_json_arrays(spark, _order_arrays(spark, d), ORDER)[0]
+
+
+@query("s04_job_feed", """
+    SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'J' || o_orderkey ELSE o_orderkey::VARCHAR END AS source_id, CASE WHEN o_orderkey % 4 = 0 THEN 'any' ELSE o_orderpriority END AS category, o_clerk AS title
+    FROM (SELECT *, 'order ' || o_custkey AS o_clerk FROM orders) WHERE o_orderkey % 5 <> 0
+""")
+def s04(spark, d):
+    """Orders written as an XML feed; each fifth has no id, each third a job code, each fourth the category "other"."""
+    k = F.col("o_orderkey")
+    field = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    number, code = F.when(k % 5 != 0, k.cast("string")).otherwise(" "), F.when((k % 5 != 0) & (k % 3 == 0), F.concat(F.lit("J"), k.cast("string"))).otherwise("")
+    category = F.when(k % 4 == 0, "기타").otherwise(F.col("o_orderpriority"))
+    xml = F.concat(F.lit("<job>"), field("id", number), field("job_code", code), field("category", category), field("title", F.concat(F.lit("order "), F.col("o_custkey").cast("string"))), F.lit("</job>"))
+    orders = table(spark, d, "orders")
+    path = new_dir(orders, "feed")
+    feeds = orders.groupBy(F.floor(k / 5000).alias("block")).agg(F.concat(F.lit("<jobs>"), F.array_join(F.collect_list(xml), "\n"), F.lit("</jobs>")).alias("value"))
+    feeds.write.partitionBy("block").text(path)
+    feed = StructType().add("id", "string").add("job_code", "string").add("category", "string").add("title", "string")
+    return readers.read_job_feed(spark, path, feed, "any").select("source_id", "category", "title")
+
+
+@query("s05_overlapping_patterns", "SELECT o_orderkey, o_orderpriority FROM orders")
+def s05(spark, d):
+    """Patterns that overlap, a folder and one that matches nothing: each file is read once."""
+    path = _order_arrays(spark, d)
+    files = readers.matching_files(spark, [f"{path}/block=[0-4]*", f"{path}/block=*", path, f"{path}/none-*"])
+    return readers.read_json_arrays(spark, files, ORDER)[0]
 
 
 @query("s02_csv_scan", "SELECT p_partkey, p_name || chr(10) || '\"q\", ' || p_brand AS label FROM part")

@@ -14,7 +14,13 @@ _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _html_text = lambda x: _TRIM.format(f"regexp_replace(regexp_replace({x}, '<[^>]+>', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
-@query("p01_clean_bullets")
+@query("p01_clean_bullets", r"""
+    WITH r AS (SELECT conv_id, turn, replace('ㆍ' || role || '• 1. ' || text, 'ㆍ', '•') AS x FROM conversations),
+    a AS (SELECT conv_id, turn, replace(replace(x, '•', chr(10) || '•'), chr(10) || chr(10) || '•', chr(10) || '•') AS x FROM r),
+    b AS (SELECT conv_id, turn, regexp_replace(x, '(^|\n)•\s*', '\1- ', 'g') AS x FROM a),
+    c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(x, '([^\n0-9])(\d+\. )', '\1' || chr(10) || '\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS x FROM b)
+    SELECT conv_id, turn, regexp_replace(x, '^\s+|\s+$', '', 'g') AS text FROM c
+""")
 def p01(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.clean_bullets(F.concat(F.lit("ㆍ"), "role", F.lit("• 1. "), "text")).alias("text"))
 

@@ -17,6 +17,20 @@ def read_json_arrays(spark: SparkSession, paths: str | Sequence[str], schema: St
     return good, parsed.where("records is null").select("path", "text")
 
 
+def matching_files(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """The files that patterns and plain paths name, each once, sorted; patterns may overlap, and one may match nothing."""
+    from pyspark.errors import AnalysisException
+
+    found: set[str] = set()
+    for pattern in patterns:
+        try:
+            found.update(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).inputFiles())
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return sorted(found)
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
     """CSV with a header, quoted line ends allowed; a byte order mark before the first name does not matter."""
     return spark.read.schema(schema).csv(paths, header=True, multiLine=True, escape='"', enforceSchema=True)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathmill.operators.aggregates import latest_per_key
 
 
-def new_rows(stream: DataFrame, keys: list[str], at: str, delay: str = "1 day") -> DataFrame:
-    """Rows of a stream whose keys have not come before; state is kept for the watermark's delay."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+def new_rows(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a stream whose keys have never come before. The state keeps every key, on disk where the session's state
+    store is RocksDB."""
+    return stream.dropDuplicates(keys)
 
 
 def progress(rows: DataFrame, category: str, target: int) -> DataFrame:
@@ -19,21 +21,25 @@ def progress(rows: DataFrame, category: str, target: int) -> DataFrame:
     return counts.withColumn("target", F.lit(target)).withColumn("status", F.when(F.col("collected") >= target, "done").otherwise("open"))
 
 
-def append_unseen(stream: DataFrame, sink: str, progress_path: str, checkpoint: str, keys: list[str], category: str, target: int):
-    """A query that appends rows not in the sink and rewrites the progress table, batch by batch.
+def append_unseen(stream: DataFrame, sink: str, progress_path: str, checkpoint: str, keys: list[str], category: str, target: int, order: list[str] | None = None):
+    """A query that appends rows whose keys are not in the sink and writes a new version of the progress table, batch by
+    batch; categories that have reached the target are passed over.
 
-    A batch that is run again after a failure appends nothing twice, since its rows are then in the sink.
+    Of rows with the same keys in a batch the first by `order` is taken. A batch that is run again after a failure
+    appends nothing twice, since its rows are then in the sink; a version of the progress table is whole or not named by
+    `latest_version`. Of the sink only the keys and categories are read.
     """
+    first = Window.partitionBy(*keys).orderBy(*(order or keys))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        old = _existing(spark, sink)
+        fresh = batch.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+        old = existing(spark, sink)
         if old is not None:
             done = progress(old, category, target).where("status = 'done'").select(category)
             fresh = fresh.join(old.select(*keys), keys, "left_anti").join(done, category, "left_anti")
         fresh.write.mode("append").parquet(sink)
-        progress(spark.read.parquet(sink), category, target).write.mode("overwrite").parquet(progress_path)
+        write_version(progress(spark.read.parquet(sink), category, target), progress_path, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -43,17 +49,30 @@ def upsert_newest(stream: DataFrame, sink: str, checkpoint: str, key: str, at: s
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = _existing(spark, f"{sink}/v{batch_id - 1:06d}")
+        old = existing(spark, f"{sink}/v{batch_id - 1:09d}")
         rows = batch if old is None else old.unionByName(batch)
-        latest_per_key(rows, key, at, ordinal).write.mode("overwrite").parquet(f"{sink}/v{batch_id:06d}")
+        write_version(latest_per_key(rows, key, at, ordinal), sink, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+def write_version(rows: DataFrame, path: str, version: int) -> None:
+    """Write a version's folder, then name it in the list of versions that are whole."""
+    rows.write.mode("overwrite").parquet(f"{path}/v{version:09d}")
+    rows.sparkSession.range(version, version + 1).write.mode("append").parquet(f"{path}/versions")
 
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that is whole."""
+    newest = spark.read.parquet(f"{path}/versions").agg(F.max("id")).first()[0]
+    return spark.read.parquet(f"{path}/v{newest:09d}")
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where there is none yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None

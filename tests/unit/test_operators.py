@@ -228,10 +228,9 @@ def test_streams(spark, tmp_path):
         ingest.append_unseen(stream, str(tmp_path / "sink"), str(tmp_path / "progress"), str(tmp_path / "ck1"), ["source_id"], "category", 9).awaitTermination(60)
         ingest.upsert_newest(stream, str(tmp_path / "newest"), str(tmp_path / "ck2"), "source_id", "at", "ord").awaitTermination(60)
     assert sorted(r["source_id"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == ["1", "2", "3"]
-    assert {r["category"]: r["collected"] for r in spark.read.parquet(str(tmp_path / "progress")).collect()} == {"a": 2, "b": 1}
-    versions = sorted(p.name for p in (tmp_path / "newest").iterdir())
-    assert {r["source_id"]: r["ord"] for r in spark.read.parquet(str(tmp_path / "newest" / versions[-1])).collect()} == {"1": 2, "2": 3, "3": 4}
-    seen = ingest.new_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["source_id"], "at").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
+    assert {r["category"]: r["collected"] for r in ingest.latest_version(spark, str(tmp_path / "progress")).collect()} == {"a": 2, "b": 1}
+    assert {r["source_id"]: r["ord"] for r in ingest.latest_version(spark, str(tmp_path / "newest")).collect()} == {"1": 2, "2": 3, "3": 4}
+    seen = ingest.new_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["source_id"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     seen.awaitTermination(60)
     assert sorted(r["source_id"] for r in spark.table("seen").collect()) == ["1", "2", "3"]
 
