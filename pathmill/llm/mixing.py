@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathmill.llm.common import cut, n_words, running
 
 #: A source's documents are dealt into 16 shards, 256, ... so that a shard has about so many documents at most.
-SHARD_ROWS = 65_536
+SHARD_ROWS = 1024
 MOST_DIGITS = 8
 
 
@@ -46,11 +46,12 @@ def apportion(parties: DataFrame, keys: list[str], votes: str, seats: Column, na
     rest = cut(with_rest(based, "_base", "_rest"))
     open_seats = rest.where(F.col(votes) > 0).select(*keys, "party", "_rest", votes, F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("_reach"))).alias("_k"))
     open_seats = open_seats.withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
+    placed = running(open_seats, [*map(F.col, keys), -F.col("_q"), F.col("party"), F.col("_k")], "_place")
     if keys:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_q"), "party")) - 1
-        won = open_seats.withColumn("_place", place)
-    else:
-        won = running(open_seats, [-F.col("_q"), F.col("party"), F.col("_k")], "_place")
+        # places are counted over all groups; a group's begin with its least
+        placed = cut(placed)
+        placed = placed.join(placed.groupBy(*keys).agg(F.min("_place").alias("_first")), keys).withColumn("_place", F.col("_place") - F.col("_first"))
+    won = placed
     names = [*keys, "party"]
     extra = won.where(F.col("_place") < F.col("_rest")).groupBy(*names).agg(F.count(F.lit(1)).alias("_extra"))
     return rest.join(extra, names, "left").select(*parties.columns, (F.col("_base") + F.coalesce("_extra", F.lit(0))).alias(name))
