@@ -40,23 +40,37 @@ def single_member_groups(tracks: DataFrame, group: str = "department_id") -> Dat
     return tracks.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(group)
 
 
-def generate_pairs(users: DataFrame, tracks: DataFrame) -> DataFrame:
-    """user_id, combo_key, track_a, track_b: each user's candidate pairs.
+def members(users: DataFrame, tracks: DataFrame) -> DataFrame:
+    """user_id, track_id, ord: each user's catalog; ord is the place of the tracks that may come first in a pair, else null.
 
-    The first track comes from the user's current tracks, or from the own college where there are none; the second from
-    all tracks. Departments with one track are left out on both sides, and users of one get no pairs. A pair counts once;
-    the role of the two tracks is that of the first way it is met, by catalog order.
+    These are the user's current tracks in their order, or the own college's by id where there are none. Departments with
+    one track are left out, and users of one have no catalog.
     """
     singles = single_member_groups(tracks)
     catalog = tracks.join(singles, "department_id", "left_anti").select("track_id", "college_id")
-    asking = users.join(singles, "department_id", "left_anti").select("user_id", "college_id", "current_tracks")
-    chosen = asking.select("user_id", F.posexplode("current_tracks").alias("ord", "track_id")).join(catalog.select("track_id"), "track_id").select("user_id", F.col("track_id").alias("track_a"), F.lpad(F.col("ord").cast("string"), 9, "0").alias("ord"))
-    own = asking.where(F.size("current_tracks") == 0).join(catalog, "college_id").select("user_id", F.col("track_id").alias("track_a"), F.col("track_id").alias("ord"))
-    pool = chosen.unionByName(own)
-    met = pool.join(catalog.select(F.col("track_id").alias("track_b")), F.col("track_a") != F.col("track_b"))
-    key = F.concat_ws("::", F.array_sort(F.array("track_a", "track_b")))
-    first = met.withColumn("combo_key", key).groupBy("user_id", "combo_key").agg(F.min(F.struct("ord", "track_b", "track_a")).alias("first"))
-    return first.select("user_id", "combo_key", "first.track_a", "first.track_b")
+    asking = users.join(singles, "department_id", "left_anti").select("user_id", F.col("college_id").alias("own"), "current_tracks")
+    each = asking.join(catalog)  # a row per user and track, which the pairs' number exceeds
+    place = F.array_position("current_tracks", F.col("track_id"))
+    listed = F.when(place > 0, F.lpad((place - 1).cast("string"), 9, "0"))
+    return each.select("user_id", "track_id", F.when(F.size("current_tracks") > 0, listed).when(F.col("college_id") == F.col("own"), F.col("track_id")).alias("ord"))
+
+
+def generate_pairs(users: DataFrame, tracks: DataFrame) -> DataFrame:
+    """user_id, combo_key, track_a, track_b: each user's candidate pairs.
+
+    The first track is one that may come first (see members), the second any other. A pair counts once; the role of the
+    two tracks is that of the first way it is met, by catalog order, so of two that may come first the earlier does.
+    """
+    return _paired(members(users, tracks), [])
+
+
+def _paired(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Pairs of a user's members, with the carried columns of both under _a and _b: one join on the user."""
+    a = rows.where("ord is not null").select("user_id", *[F.col(c).alias(f"{c}_a") for c in ("track_id", "ord", *carried)])
+    b = rows.select("user_id", *[F.col(c).alias(f"{c}_b") for c in ("track_id", "ord", *carried)])
+    met = a.join(b, "user_id").where("track_id_a <> track_id_b and (ord_b is null or ord_a < ord_b)")
+    key = F.concat_ws("::", F.least("track_id_a", "track_id_b"), F.greatest("track_id_a", "track_id_b"))
+    return met.select("user_id", key.alias("combo_key"), F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"), *[f"{c}_{side}" for c in carried for side in "ab"])
 
 
 def redundancy(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,38 +82,41 @@ def redundancy(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("track_a", "track_b", share(both, F.size("courses_a") + F.size("courses_b") - both).alias("redundancy"))
 
 
-def score_pairs(pairs: DataFrame, tracks: DataFrame, wanted: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
-    """pairs with complementarity, coverage, redundancy, score.
+def score_pairs(users: DataFrame, tracks: DataFrame, wanted: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
+    """The users' pairs with complementarity, coverage, redundancy, score, and both tracks' colleges and departments.
 
     `wanted` has user_id and job_keys (and job_tech where coverage counts other tokens). Complementarity is the share of
     the wanted tokens that exactly one track brings, 0 where a track brings none; coverage the share that they bring
-    together; the score is their weighted sum less the weighted redundancy, cut to 0 and 1.
+    together; the score is their weighted sum less the weighted redundancy, cut to 0 and 1. What a track brings a user is
+    worked out once per user and track; a pair then compares two short lists.
     """
     if "job_tech" not in wanted.columns:
         wanted = wanted.withColumn("job_tech", F.col("job_keys"))
     competencies = F.col("competencies") if "competencies" in tracks.columns else F.array().cast("array<string>")
-    known = tracks.select("track_id", F.array_union("tech", competencies).alias("keys"), "tech")
-    a = known.toDF("track_a", "keys_a", "tech_a")
-    b = known.toDF("track_b", "keys_b", "tech_b")
-    rows = pairs.join(wanted.select("user_id", "job_keys", "job_tech"), "user_id").join(a, "track_a").join(b, "track_b")
-    of_a, of_b = F.array_intersect("keys_a", "job_keys"), F.array_intersect("keys_b", "job_keys")
-    shared = F.size(F.array_intersect(of_a, of_b))
-    apart = F.size(of_a) + F.size(of_b) - 2 * shared
-    complementarity = F.when((F.size(of_a) == 0) | (F.size(of_b) == 0), F.lit(0.0)).otherwise(share(apart, F.size("job_keys")))
-    coverage = share(F.size(F.array_intersect("job_tech", F.array_union("tech_a", "tech_b"))), F.size("job_tech"))
-    scored = rows.select("user_id", "combo_key", "track_a", "track_b", complementarity.alias("complementarity"), coverage.alias("coverage"))
-    scored = scored.join(redundancy(tracks, pairs), ["track_a", "track_b"])
+    known = tracks.select("track_id", F.array_union("tech", competencies).alias("keys"), "tech", F.col("college_id").alias("college"), F.col("department_id").alias("department"))
+    rows = members(users, tracks).join(known, "track_id").join(wanted.select("user_id", "job_keys", "job_tech"), "user_id")
+    brought = rows.select(
+        "user_id", "track_id", "ord", "college", "department",
+        F.array_intersect("job_keys", "keys").alias("of"), F.array_intersect("job_tech", "tech").alias("tech"), F.size("job_keys").alias("keys"), F.size("job_tech").alias("techs"),
+    )
+    pairs = _paired(brought, ["college", "department", "of", "tech", "keys", "techs"])
+    apart = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
+    complementarity = F.when((F.size("of_a") == 0) | (F.size("of_b") == 0), F.lit(0.0)).otherwise(share(apart, F.col("keys_a")))
+    coverage = share(F.size(F.array_union("tech_a", "tech_b")), F.col("techs_a"))
+    scored = pairs.select("user_id", "combo_key", "track_a", "track_b", "college_a", "college_b", "department_a", "department_b", complementarity.alias("complementarity"), coverage.alias("coverage"))
+    # the courses of two tracks are compared once, for whichever users they are a pair
+    met = members(users, tracks).groupBy("track_id").agg(F.max(F.col("ord").isNotNull()).alias("first"))
+    listed = met.join(tracks.select("track_id", "course_ids"), "track_id")
+    x, y = listed.where("first").toDF("x", "first_x", "courses_x"), listed.toDF("y", "first_y", "courses_y")
+    both = F.size(F.array_intersect("courses_x", "courses_y"))
+    alike = x.join(y, (F.col("x") != F.col("y")) & (~F.col("first_y") | (F.col("x") < F.col("y")))).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), share(both, F.size("courses_x") + F.size("courses_y") - both).alias("redundancy")
+    )
+    scored = scored.join(alike, (F.least("track_a", "track_b") == F.col("x")) & (F.greatest("track_a", "track_b") == F.col("y"))).drop("x", "y")
     raw = config.w_complementarity * F.col("complementarity") + config.w_coverage * F.col("coverage") - config.w_redundancy * F.col("redundancy")
     return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
-def with_groups(scored: DataFrame, tracks: DataFrame) -> DataFrame:
-    """scored with the colleges and departments of both tracks."""
-    for side in "ab":
-        scored = scored.join(tracks.select(F.col("track_id").alias(f"track_{side}"), F.col("college_id").alias(f"college_{side}"), F.col("department_id").alias(f"department_{side}")), f"track_{side}")
-    return scored
-
-
 def top_per_user(scored: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("user_id").orderBy(F.desc("score"), "combo_key")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -202,7 +219,7 @@ def assemble_slots(primaries: DataFrame, cross: DataFrame, rest: DataFrame, conf
 
 def recommend_pairs(users: DataFrame, tracks: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
     """All steps for users with user_id, college_id, department_id, current_tracks, job_keys."""
-    scored = cut(with_groups(score_pairs(generate_pairs(users, tracks), tracks, users, config), tracks))
+    scored = cut(score_pairs(users, tracks, users, config))
     primaries = cut(pinned_primary(scored, users, config))
     cross = cut(cross_group_slot(scored, primaries, config))
     selected = primaries.select("user_id", "combo_key", "track_a", "track_b").unionByName(cross.select("user_id", "combo_key", "track_a", "track_b"))

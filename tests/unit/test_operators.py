@@ -25,7 +25,7 @@ USER = "user_id string, college_id string, department_id string, current_tracks
 def scored(spark, a, b, jobs, courses=([], [])):
     tracks = spark.createDataFrame([("A", "C1", "D1", courses[0], a), ("B", "C1", "D1", courses[1], b)], TRACK)
     users = spark.createDataFrame([("u", "C1", "", [], jobs)], USER)
-    return P.score_pairs(P.generate_pairs(users, tracks), tracks, users).first()
+    return P.score_pairs(users, tracks, users).first()
 
 
 @pytest.mark.parametrize("a, b, jobs, want", [(["py"], ["sql"], ["py", "sql"], 1.0), (["py", "sql"], ["sql", "go"], ["py", "sql", "go", "rust"], 0.5), (["x"], ["sql"], ["sql"], 0.0), (["sql"], ["sql"], ["sql"], 0.0), (["a"], ["b"], [], 0.0)])
@@ -64,7 +64,7 @@ def test_recommended_pairs(spark, catalog):
     assert [r[0] for r in got["own"]] == list(range(1, 8)) and got["pinned"][0][1:] == ("T0::T5", "primary") and [s for _, _, s in got["pinned"]].count("primary") == 1
     assert not any("T99" in k for u in got.values() for _, k, _ in u)
     rows = {r["track_id"]: r for r in catalog.collect()}
-    all_scored = {r["combo_key"]: r["score"] for r in P.score_pairs(P.generate_pairs(users, catalog), catalog, users).where("user_id = 'own'").collect()}
+    all_scored = {r["combo_key"]: r["score"] for r in P.score_pairs(users, catalog, users).where("user_id = 'own'").collect()}
 
     def sim(x, y):
         (a, b), (c, d) = ([rows[t] for t in k.split("::")] for k in (x, y))
