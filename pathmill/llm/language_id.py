@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pathmill.llm.common import ship
 
 BITS = 18
+#: Weights of a model at most: with many languages, features share buckets instead (2 ** 24 four-byte weights are 64 MB).
+MOST_WEIGHTS = 1 << 24
+#: A text of more words is labelled in windows of so many, each seen with some words around it.
+LONGEST = 50_000
+AROUND = 200
 NGRAMS = (1, 2, 3, 4, 5)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -25,7 +30,14 @@ def letters(token: str) -> str:
     return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bucket_bits(labels: int) -> int:
+    bits = BITS
+    while bits > 8 and (2 << bits) * labels > MOST_WEIGHTS:
+        bits -= 1
+    return bits
+
+
+def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all words' features, one after the other, and where each word's begin.
 
     A word is framed by marks, so its n-grams at the frame are its prefixes and suffixes; the word as a whole is its
@@ -46,11 +58,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolling ^= rolling >> np.uint64(29)
         if n in NGRAMS:
             ok = inside + n <= lengths[owner]
-            buckets.append((rolling[ok] >> np.uint64(64 - BITS)).astype(np.int32))
+            buckets.append((rolling[ok] >> np.uint64(64 - bits)).astype(np.int32))
             owners.append(owner[ok])
     position = np.uint64(31) ** np.minimum(inside, 63).astype(np.uint64)
     whole = np.add.reduceat((raw.astype(np.uint64) + np.uint64(7)) * position, starts) * _MULTIPLIER
-    buckets.append(((whole >> np.uint64(64 - BITS)).astype(np.int32)) + (1 << BITS))
+    buckets.append(((whole >> np.uint64(64 - bits)).astype(np.int32)) + (1 << bits))
     owners.append(np.arange(len(words)))
     every, of = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(of, kind="stable")
@@ -94,7 +106,7 @@ class LanguageModel:
         """Scores of words, scaled to a greatest of 1; in parts, as a word has dozens of features."""
         out = np.ones((len(words), len(self.labels)), np.float32)
         for a in range(0, len(words), 10_000):
-            buckets, starts = features(words[a : a + 10_000])
+            buckets, starts = features(words[a : a + 10_000], (len(self.weights) // 2).bit_length() - 1)
             scores = np.add.reduceat(self.weights[buckets], starts, axis=0)
             out[a : a + 10_000] = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30))
         return out
@@ -115,7 +127,8 @@ def train(texts: list[str], langs: list[str], sequences: int = 5000, steps: int
         if words:
             docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]), labels.index(lang)))
     k = len(labels)
-    model = LanguageModel(labels, np.zeros((2 << BITS, k), np.float32), np.zeros((k, k)))
+    bits = bucket_bits(k)
+    model = LanguageModel(labels, np.zeros((2 << bits, k), np.float32), np.zeros((k, k)))
     if not docs:
         return model
     by_label = [[d for d, x in docs if x == y] for y in range(k)]
@@ -134,7 +147,7 @@ def train(texts: list[str], langs: list[str], sequences: int = 5000, steps: int
     types = types.reshape(sequences, steps)
     every = list(vocabulary)
     words = [every[i] for i in used.tolist()]
-    buckets, starts = features(words)
+    buckets, starts = features(words, bits)
     owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff([*starts, len(buckets)]))
     counts = np.full(sequences, steps)
     gold = np.zeros((len(words), k))
@@ -153,7 +166,7 @@ def train(texts: list[str], langs: list[str], sequences: int = 5000, steps: int
         behind = forward[:, :-1] / np.einsum("stk,kl,stl->st", forward[:, :-1], link, ahead)[:, :, None]
         both = np.einsum("stk,stl->kl", behind, ahead) * link
         error = (gold - expected) / total
-        slope = np.stack([np.bincount(buckets, error[owner, y], 2 << BITS) for y in range(k)], 1).astype(np.float32) - 1e-7 * model.weights
+        slope = np.stack([np.bincount(buckets, error[owner, y], 2 << bits) for y in range(k)], 1).astype(np.float32) - 1e-7 * model.weights
         slope_t = (pairs - both) / total - 1e-4 * model.transitions
         seen_w += slope**2
         seen_t += slope_t**2
@@ -197,21 +210,29 @@ def classify(texts: list[str | None], model: LanguageModel, words: _Words | None
     numbers = [np.fromiter(map(words.__getitem__, (t or "").split()), np.int32) for t in texts]
     numbers = [x[x > 0] for x in numbers]
     table = words.scores()
-    counts = np.array([len(x) for x in numbers])
+    # pieces: text, words, and which of them count; a text is one piece unless it is very long
+    pieces = [(i, x[max(0, a - AROUND) : a + LONGEST + AROUND], min(a, AROUND), min(LONGEST, len(x) - a)) for i, x in enumerate(numbers) for a in range(0, len(x), LONGEST)]
+    counts = np.array([len(x) for _, x, _, _ in pieces], np.int64)
     order = np.argsort(-counts, kind="stable")
-    order = order[: np.count_nonzero(counts)]
+    sums = np.zeros((len(texts), len(model.labels)))
     at = 0
     while at < len(order):
         size = max(1, min(cells // counts[order[at]], len(order) - at))
         group = order[at : at + size]
         at += size
         padded = np.zeros((size, counts[group[0]]), np.int32)
-        padded[np.arange(padded.shape[1]) < counts[group][:, None]] = np.concatenate([numbers[i] for i in group])
+        padded[np.arange(padded.shape[1]) < counts[group][:, None]] = np.concatenate([pieces[i][1] for i in group])
         marginals, _, _ = forward_backward(table[padded], counts[group], link)
-        mean = marginals.sum(1) / counts[group][:, None]
-        best = mean.argmax(1)
-        names[group] = np.array(model.labels, object)[best]
-        score[group] = np.minimum(mean[np.arange(size), best], 1.0)
+        inside = marginals.sum(1)
+        for k, p in enumerate(group.tolist()):
+            i, x, first, n = pieces[p]
+            sums[i] += inside[k] if n == len(x) else marginals[k, first : first + n].sum(0)
+    words_of = np.array([len(x) for x in numbers])
+    some = np.flatnonzero(words_of)
+    mean = sums[some] / words_of[some][:, None]
+    best = mean.argmax(1)
+    names[some] = np.array(model.labels, object)[best]
+    score[some] = np.minimum(mean[np.arange(len(some)), best], 1.0)
     return names.tolist(), score
 
 
@@ -220,28 +241,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on the rows of `sample_rows` labelled ids that are not held out, the first by a hash of the id."""
+def fit(docs: DataFrame, sample_rows: int = 1200, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Train on `sample_rows` labelled rows that are not held out, the first by a hash of id and text, and of each at most
+    `sample_chars` characters from a place that the hash gives; rows that are the same count once."""
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = [r["i"] for r in usable.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).distinct().orderBy("h", "i").limit(sample_rows).collect()]
-    # the ids first, without their texts; then the texts of these alone
-    rows = usable.where(F.col(id_col).isin(chosen) if chosen else F.lit(False)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
-    rows.sort(key=lambda r: (r["h"], r["i"], r["t"], r["l"]))
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    hashed = usable.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
+    # the hashes first, without the texts; then the texts of these alone
+    start = F.pmod("h", F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    picked = hashed.where(F.col("h").isin(chosen) if chosen else F.lit(False)).select("h", F.substring("t", start, F.lit(sample_chars)).alias("t"), "l")
+    rows = sorted(picked.groupBy("h").agg(F.min(F.struct("l", "t")).alias("r")).collect(), key=lambda r: r["h"])
+    return train([r["r"]["t"] for r in rows], [r["r"]["l"] for r in rows])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: id_col, held_out, lang_pred, score.
 
     The model is fitted on a bounded sample of labelled rows unless one is given; prediction reads the text alone and
-    all of it. A text that is null or has no letter is `und` with score 0, as is every text where no row has a label.
+    all of it; a text of more than 50,000 words is labelled in windows with 200 words around each, which changes no score
+    beyond rounding, so that memory stays bounded. A text that is null or has no letter is `und` with score 0, as is every text where no row has a label.
     Rows that repeat an id are judged each; a null id is not held out; an empty table gives an empty result; other
     columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     model = model or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    shared = spark.sparkContext.broadcast(model)  # fixed size: buckets times labels
+    shared = spark.sparkContext.broadcast(model)  # MOST_WEIGHTS bounds it
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words(shared.value)

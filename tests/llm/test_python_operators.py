@@ -121,6 +121,23 @@ def test_words_of_mixed_text(labelled):
     assert np.mean([x == "aa" for x in labels[:30]]) > 0.9 and np.mean([x == "cc" for x in labels[30:]]) > 0.9
 
 
+def test_very_long_text(labelled, monkeypatch):
+    """In windows the scores are those of the whole text."""
+    model = language_id.train([t for _, t, *_ in labelled], [x[2] for x in labelled], sequences=800)
+    rng = random.Random(6)
+    texts = [" ".join(made_text(rng, rng.choice(["aa", "bb"]), 40) for _ in range(60)), "ing", None]
+    names, whole = language_id.classify(texts, model)
+    monkeypatch.setattr(language_id, "LONGEST", 500)
+    again, parts = language_id.classify(texts, model)
+    assert names == again and np.allclose(whole, parts, atol=1e-4)
+
+
+def test_many_languages_share_buckets():
+    assert language_id.bucket_bits(4) == 18 and (2 << language_id.bucket_bits(300)) * 300 <= language_id.MOST_WEIGHTS
+    model = language_id.train(["thing er"] * 3 + ["eau oui"] * 3, ["aa"] * 3 + ["bb"] * 3, sequences=50)
+    assert language_id.classify(["er thing", "oui"], model)[0] == ["aa", "bb"]
+
+
 def test_forward_backward_by_enumeration():
     import itertools
 
