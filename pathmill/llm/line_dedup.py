@@ -32,7 +32,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     text = F.coalesce(F.col(text_col), F.lit(""))
     # the text's hash tells rows apart that repeat an id; rows that are the same throughout have the same positions
     named = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text).alias("hash"))
-    hashed = F.transform(F.split("body", "\n", -1), lambda x: F.when(F.length(line_key(x)) >= min_chars, _hashed(line_key(x))))
+    hashed = F.transform(F.transform(F.split("body", "\n", -1), line_key), lambda k: F.when(F.length(k) >= min_chars, _hashed(k)))
     keys = named.select(F.explode(F.array_distinct(F.filter(hashed, lambda k: k.isNotNull()))).alias("key")).select("key.a", "key.b")
     # kept as a table, so that both sides of the join below are shuffles of their own and a hot line's rows can be split
     frequent = cut(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
