@@ -100,3 +100,29 @@ def test_null_and_repeated_ids(spark, corpus):
     assert all(n <= 3 * whole[key] for key, n in mixed.items())
     want = sum(int(r["taken"] / r["size"] + 0.5) * r["size"] for r in mixing.mix_sources(docs).collect())
     assert sum(n * size(t) for (_, t), n in mixed.items()) == want
+
+
+def test_odd_rows_in_each_stage(spark, corpus):
+    """Clashing names, nulls in any column, empty and very long texts, ties: every stage runs and returns documents."""
+    path, rows = corpus
+    odd = rows[:30] + [(None, None, None, None, None), (1, None, None, "s1", None), (2, "", "aa", None, 0), (3, rows[3][1] + " " + "thing er " * 60_000, "aa", "s0", 1), (3, rows[3][1], "aa", "s0", 1), (3, rows[3][1], "aa", "s0", 1), (8000, rows[4][1], rows[4][2], None, None)]
+    extra = "_id string, row int, id string, digest string, keep_id int, copies int, _copy int, least string, piece int, start int, source_size int, target int, seconds int, class_id int, hash int, size int"
+    clashing = spark.createDataFrame([(*x, *["x" if "string" in c else 1 for c in extra.split(", ")]) for x in odd], f"{SCHEMA}, {extra}").repartition(3)
+    plain = clashing.select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, clashing, path), stage(spark, plain, path)
+        found = Counter(map(tuple, got.collect()))
+        assert got.columns == corpus_pipeline.COLUMNS and found == Counter(map(tuple, want.collect())), name
+        assert {x[:2] for x in found} <= {x[:2] for x in odd}
+    packed = corpus_pipeline.pack(spark, clashing, path).collect()
+    encode = packing.encoder().ids
+    assert sum(r["length"] for r in packed) == sum(len(encode(x[1] or "")) // 4 + 1 for x in odd)
+    assert corpus_pipeline.pack(spark, clashing.limit(0), path).collect() == []
+
+
+def test_mix_against_plain_rounding(spark, tmp_path):
+    """Without the operator: two sources of equal documents, targets 1 and 2 thirds; each row as often as due, to a block."""
+    docs = [(k, f"w{k} " * 64, "aa", "ab"[k % 2], 0) for k in range(400)]
+    got = Counter(r["source"] for r in corpus_pipeline.mix(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path)).collect())
+    # 400 documents of equal size: a third for a, two thirds for b
+    assert abs(got["a"] - 400 / 3) <= 16 and abs(got["b"] - 800 / 3) <= 16
