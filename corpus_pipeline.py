@@ -1,4 +1,9 @@
-"""From documents to packed training sequences: five stages, each a table that the next one reads."""
+"""From documents to packed training sequences: five stages, each a table that the next one reads.
+
+All stages decide row by row, whatever the ids are: null ids, repeated ids and rows that are the same throughout. They read
+the columns of documents alone, so other columns, whatever their names, are ignored. An empty table gives an empty result.
+Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -44,26 +49,40 @@ def _first(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those in no language for the most part."""
+    """Drop documents without a letter (null texts too) and those in no language for the most part.
+
+    A share of exactly MIN_LANGUAGE_SHARE stays; rows that are the same stay or go together; labels are only trained on,
+    and where no row has one all documents go.
+    """
     rows = _keyed(docs)
     found = identify_languages(rows, model=fit(rows), id_col="row").where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return rows.join(found.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the one with the smallest id."""
+    """One document of each group of equal texts stays, the one with the smallest id.
+
+    A null id counts as the largest; ties of one id go by a hash of the row; null and empty texts are equal.
+    """
     rows = _keyed(docs)
     return _first(rows, exact_duplicates(rows, keep="min", id_col="row").select("row", "keep_id"), "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Ids and ties as in drop_exact_copies; texts without words are near copies of nothing but equal texts.
+    """
     rows = _keyed(docs)
     return _first(rows, near_duplicates(rows, id_col="row").select("row", "class_id"), "class_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number: from none to three times."""
+    """Each document as often as the mix takes it, to the nearest whole number: from none to three times.
+
+    Halves are rounded up. Rows that are the same come as often as they are due together; a null source is a source;
+    texts without words are never taken.
+    """
     rows = _keyed(docs)
     taken = mix_sources(rows, carry=("row",)).select("row", F.expr("cast(floor(try_divide(taken, size) + 0.5) as int)").alias("copies")).where("copies > 0")
     copies = taken.groupBy("row").agg(F.sum("copies").alias("copies"))
@@ -71,7 +90,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed training sequences: one row per piece of a document."""
+    """Packed training sequences: one row per piece of a document, and of each of its copies; a null text is its end mark."""
     return pack_documents(docs)
 
 
