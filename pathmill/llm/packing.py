@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _BLANK = "\\t-\\r \u0085 "
 _FAST = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_FOUR_BYTES = struct.Struct("<I").pack
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -41,7 +43,7 @@ class Encoder(dict):
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.core.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        found = b"".join(map(_FOUR_BYTES, self.core.encode(piece, add_special_tokens=False).ids))
         if len(self) >= self.LIMIT:
             self.clear()
         self[piece] = found
