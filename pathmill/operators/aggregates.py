@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathmill.lineage import cut
+
 
 def top_tokens(rows: DataFrame, group: str, item: str, token: str, main: int, more: int) -> DataFrame:
     """group, token, n, rn, slot: tokens by the number of items that hold them; the first `main`, then `more` as fallback."""
@@ -56,8 +58,8 @@ def any_of_count(rows: DataFrame, parts: DataFrame, job: str, posting: str, tag:
 
 def merge_curated(curated: DataFrame, parts: DataFrame, rows: DataFrame, job: str, posting: str, tag: str, importance: dict[str, int]) -> DataFrame:
     """job, name, type, importance, n, rate, place: curated skills with their counts, then other observed tags as extra."""
-    low = rows.withColumn("_low", F.lower(tag))
-    totals = rows.groupBy(job).agg(F.count_distinct(posting).alias("postings"))
+    low = cut(rows.select(job, posting, tag).withColumn("_low", F.lower(tag)))  # read four times
+    totals = low.groupBy(job).agg(F.count_distinct(posting).alias("postings"))
     plain = curated.join(parts.select("name").distinct(), "name", "left_anti").select("name", F.lower("name").alias("part")).distinct()
     one = low.join(plain, F.col("_low") == F.col("part")).groupBy(job, "name").agg(F.count(F.lit(1)).alias("n"))
     several = any_of_count(low, parts.select("name", F.lower("part").alias("part")), job, posting, "_low")
