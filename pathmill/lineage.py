@@ -1,24 +1,32 @@
-"""Lineage cuts in the folder that the cluster names in spark.checkpoint.dir."""
+"""Lineage cuts and tables in the folder that the cluster names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, reliably; where no checkpoint folder is set (tests), a temporary one is used."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session (tests) may leave it unset and gets a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="pathmill-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and keep it in the shared folder, so that lost executors cost no recomputation of what is above."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def new_dir(df: DataFrame, name: str) -> str:
+def new_dir(where: DataFrame | SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathmill-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(where.sparkSession if isinstance(where, DataFrame) else where)}/{name}-{uuid.uuid4().hex}"
