@@ -4,36 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathmill.lineage import cut, new_dir  # noqa: F401
+
 #: Fixed values of the contracts: ASCII white space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathmill-"))
-    return context.getCheckpointDir()
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the shared folder, so that lost executors cost no recomputation of what is above."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that tasks can import it wherever they run."""
     context = spark.sparkContext
