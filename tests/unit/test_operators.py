@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pathmill.operators import aggregates as A
 from pathmill.operators import coverage as C
@@ -122,6 +123,15 @@ def test_aliases(spark, pairs, text, depth, want):
     assert (got["target"], got["status"]) == want
 
 
+def test_long_alias_cycles(spark):
+    """Chains and cycles of any length: one of 150 with a tail of 90 into it, one of two, and a chain that ends."""
+    ring = [(f"{k:04d}", f"{(k + 7) % 150:04d}") for k in range(150)]
+    tail = [(f"t{k:03d}", f"t{k + 1:03d}" if k < 89 else "0042") for k in range(90)]
+    rows = ring + tail + [("x", "y"), ("y", "x"), ("a", "b"), ("b", None)]
+    got = sorted(r["cycle"] for r in G.alias_cycles(spark.createDataFrame(rows, "alias string, target string")).collect())
+    assert got == [[f"{7 * k % 150:04d}" for k in range(150)], ["x", "y"]]
+
+
 @pytest.mark.parametrize("pairs, want", [([("A", "A")], [["A"]]), ([("B", "A"), ("A", "B")], [["A", "B"]]), ([("X", "A"), ("A", "B"), ("B", "A")], [["A", "B"]]), ([("A", "B")], [])])
 def test_alias_cycles(spark, pairs, want):
     assert [r["cycle"] for r in G.alias_cycles(spark.createDataFrame(pairs, "alias string, target string")).collect()] == want
@@ -259,3 +269,14 @@ def test_recommendation(spark):
     row = out["coverage"].first()
     assert (row["required"], row["current"], row["current_ratio"]) == (2, 1, 0.5)
     assert list(itertools.islice(out, 6)) == ["errors", "profiles", "jobs", "pairs", "plan", "coverage"]
+
+
+def test_matching_files(spark, tmp_path):
+    """Overlapping patterns name a file once, and one that matches nothing names none."""
+    for name in ("a1.json", "a2.json", "b.json"):
+        (tmp_path / name).write_text('[{"k": "%s"}]' % name)
+    (tmp_path / "c.json").write_text('{"k": "no array"}')
+    files = readers.matching_files(spark, [f"{tmp_path}/a*.json", f"{tmp_path}/*1.json", f"{tmp_path}/b.json", f"{tmp_path}/none*", f"{tmp_path}/c.json"])
+    assert [f.rsplit("/", 1)[1] for f in files] == ["a1.json", "a2.json", "b.json", "c.json"]
+    good, bad = readers.read_json_arrays(spark, files, StructType().add("k", "string"))
+    assert sorted(r["k"] for r in good.collect()) == ["a1.json", "a2.json", "b.json"] and bad.count() == 1
