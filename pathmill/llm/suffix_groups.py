@@ -151,6 +151,8 @@ def smallest_owners(segments: list[bytes], ids: np.ndarray, width: int) -> list[
 def erase_repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a `width`-byte string that also starts in a document with a smaller id.
 
-    Returns id_col, n, removed, spans, kept (bytes) per row; see erase_repeats for nulls, ties and repeated ids.
+    Returns id_col, n, removed, spans, kept (bytes) per row. Null texts are empty; null ids count as the largest; rows
+    with one id never remove from each other; ties and repeated rows are judged each; very long texts are searched in
+    segments of at most 64 windows; an empty table gives an empty result; other columns are ignored (see erase_repeats).
     """
     return erase_repeats(docs, Rule("bytes", width, min(20, width), smallest_owners, bundle_bytes=2 << 20, search_bytes=1 << 19, lone=False), id_col, text_col)
