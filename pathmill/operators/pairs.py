@@ -184,27 +184,33 @@ def diversify(scored: DataFrame, selected: DataFrame, tracks: DataFrame, n: Data
     """user_id, combo_key, score, step: rounds of the best trade-off between score and likeness to what is selected.
 
     `n` is the number of rounds, or a table (user_id, n). Candidates keep a running greatest similarity, so a round
-    compares them with the last pick alone; each round's state is cut from its lineage.
+    compares them with the last pick alone; each round's state, names and numbers without the tracks' lists, is cut from
+    its lineage, and the lists are joined to it when they are compared.
     """
     features = ["f_colleges", "f_departments", "f_courses", "f_vector"]
-    state = pair_features(scored.select("user_id", "combo_key", "track_a", "track_b", "score").join(selected.select("user_id", "combo_key"), ["user_id", "combo_key"], "left_anti"), tracks)
-    chosen = pair_features(selected.select("user_id", "combo_key", "track_a", "track_b"), tracks).select("user_id", *[F.col(c).alias(f"s_{c}") for c in features])
-    start = state.join(chosen, "user_id", "left").groupBy("user_id", "combo_key").agg(F.max(F.when(F.col("s_f_colleges").isNotNull(), pair_similarity("", "s_", config))).alias("near"))
+    names = ["user_id", "combo_key", "track_a", "track_b"]
+    candidates = scored.select(*names, "score").join(selected.select("user_id", "combo_key"), ["user_id", "combo_key"], "left_anti")
+
+    def compared(rows: DataFrame, picks: DataFrame) -> DataFrame:
+        """Each of the rows with each of its user's picks, the features of these under s_."""
+        other = pair_features(picks.select(*names), tracks).select("user_id", F.col("combo_key").alias("picked"), *[F.col(c).alias(f"s_{c}") for c in features])
+        return pair_features(rows, tracks).join(other, "user_id", "left")
+
+    start = compared(candidates, selected).groupBy("user_id", "combo_key").agg(F.max(F.when(F.col("s_f_colleges").isNotNull(), pair_similarity("", "s_", config))).alias("near"))
     rounds = n if isinstance(n, int) else (n.agg(F.max("n")).first()[0] or 0)
     limit = scored.select("user_id").distinct().withColumn("n", F.lit(n)) if isinstance(n, int) else n
-    state = cut(state.join(start, ["user_id", "combo_key"]).join(limit, "user_id"))
+    state = cut(candidates.join(start, ["user_id", "combo_key"]).join(limit, "user_id"))
     picks = None
     for step in range(1, rounds + 1):
         value = config.trade_off * F.col("score") - F.coalesce((1 - config.trade_off) * F.col("near"), F.lit(0.0))
         best = state.where(F.col("n") >= step).groupBy("user_id").agg(F.min(F.struct((-value).alias("v"), "combo_key")).alias("best"))
         pick = cut(state.join(best.select("user_id", F.col("best.combo_key").alias("picked")), "user_id").where("combo_key = picked").drop("picked"))
-        mine = pick.select("user_id", "combo_key", "track_a", "track_b", "score", F.lit(step).alias("step"))
+        mine = pick.select(*names, "score", F.lit(step).alias("step"))
         picks = mine if picks is None else picks.unionByName(mine)
         if step < rounds:
-            last = pick.select("user_id", F.col("combo_key").alias("picked"), *[F.col(c).alias(f"s_{c}") for c in features])
             near = F.greatest(F.coalesce("near", F.lit(-1.0)), pair_similarity("", "s_", config))
-            state = cut(state.join(last, "user_id").where("combo_key <> picked").withColumn("near", near).select(*state.columns))
-    return picks
+            state = cut(compared(state, pick).where("combo_key <> picked").withColumn("near", near).select(*state.columns))
+    return picks if picks is not None else candidates.withColumn("step", F.lit(0)).limit(0)
 
 
 def assemble_slots(primaries: DataFrame, cross: DataFrame, rest: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
