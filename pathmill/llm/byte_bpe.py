@@ -9,7 +9,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Merges(dict):
     """Ids of pre-tokens as little-endian bytes, remembered in two generations of KEPT each; the older one is dropped."""
 
-    KEPT = 300_000
+    KEPT = 150_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.older = ranks, {}
@@ -179,8 +180,8 @@ class Merges(dict):
 class Vocabulary:
     """Encoder and decoder of a rank file; one for each file and task process."""
 
-    #: Code points that are scanned at once; a longer text is scanned alone.
-    BLOCK = 2_000_000
+    #: Code points (or bytes of ids) that a task takes at once; a longer text goes alone.
+    BLOCK = 400_000
     _known: dict[str, "Vocabulary"] = {}
 
     def __init__(self, path: str):
@@ -203,20 +204,8 @@ class Vocabulary:
             cls._known[name] = cls(public_tokenizers.path(name))
         return cls._known[name]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order."""
-        block: list[str] = []
-        held = 0
-        for text in texts:
-            if block and held + len(text) > self.BLOCK:
-                yield from self._encode(block)
-                block, held = [], 0
-            block.append(text)
-            held += len(text)
-        if block:
-            yield from self._encode(block)
-
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, in order; all texts are scanned at once."""
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         at = np.cumsum([0, *map(len, texts)])
@@ -225,9 +214,11 @@ class Vocabulary:
         starts = np.flatnonzero(self.scanner.boundaries(points, first))
         cuts = np.searchsorted(starts, at).tolist()
         edges = [*starts.tolist(), len(joined)]
+        found = []
         for a, b in zip(cuts, cuts[1:]):
             pieces = [self.merges[joined[i:j]] for i, j in zip(edges[a:b], edges[a + 1 : b + 1])]
-            yield np.frombuffer(b"".join(pieces), "<u4")
+            found.append(np.frombuffer(b"".join(pieces), "<u4"))
+        return found
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The byte at which each id's token ends in its text."""
@@ -248,33 +239,52 @@ class Vocabulary:
         return found[start - begin : stop - begin].tobytes()
 
 
+def _in_blocks(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring rows of `most` together, or a row alone."""
+    at = held = 0
+    for k, size in enumerate(sizes):
+        if k > at and held + size > most:
+            yield slice(at, k)
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, ids and ends, both little-endian (unsigned 32-bit and signed 64-bit) in binary.
+    """One row per document: id_col, ids and ends, both unsigned 32-bit little-endian numbers in binary.
 
     `ends` has the byte at which each token ends in the text's UTF-8. Whole texts, however long; null counts as empty and
     has no ids; rows are encoded each, whatever their ids are; an empty table gives an empty result; other columns are
-    ignored. There is no shuffle.
+    ignored. There is no shuffle; a task holds the rows of an Arrow batch and the arrays of a block of texts.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(vocabulary)
         for batch in batches:
-            ids = list(vocab.encode(["" if t is None else t for t in batch["body"]]))
-            yield pd.DataFrame({"id": batch["id"], "ids": [x.tobytes() for x in ids], "ends": [vocab.offsets(x).astype("<i8").tobytes() for x in ids]})
+            key, body = batch.column(0), batch.column(1)
+            for k in _in_blocks(pc.fill_null(pc.utf8_length(body), 0).to_pylist(), Vocabulary.BLOCK):
+                ids = vocab.encode(pc.fill_null(body[k], "").to_pylist())
+                ends = [vocab.offsets(x).astype("<u4").tobytes() for x in ids]
+                yield pa.record_batch([key[k], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(ends, pa.binary())], names=["id", "ids", "ends"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInPandas(encode, f"id {kind}, ids binary, ends binary").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(encode, f"id {kind}, ids binary, ends binary").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", start: int = 0, stop: int | None = None) -> DataFrame:
     """The rows of encode_documents with `decoded`: the bytes of each text, or those from start to stop."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(vocabulary)
         for batch in batches:
-            yield batch.assign(decoded=[vocab.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<i8"), start, stop) for i, e in zip(batch["ids"], batch["ends"])])
+            for k in _in_blocks(pc.binary_length(batch.column("ids")).to_pylist(), Vocabulary.BLOCK):
+                part = batch[k]
+                both = zip(part.column("ids"), part.column("ends"), strict=True)
+                texts = [vocab.decode(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(e.as_buffer(), "<u4"), start, stop) for i, e in both]
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     ship(encoded.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInPandas(decode, f"{kinds}, decoded binary")
+    return encoded.mapInArrow(decode, f"{kinds}, decoded binary")
