@@ -11,6 +11,7 @@ from pathmill.llm import mixing, oracles, quality
 from pathmill.llm.byte_bpe import decode_documents, encode_documents
 from pathmill.llm.exact_dedup import exact_duplicates
 from pathmill.llm.fm_index import erase_repeated_words
+from pathmill.llm.hard_negatives import hard_negatives
 from pathmill.llm.language_id import identify_languages
 from pathmill.llm.line_dedup import drop_common_lines
 from pathmill.llm.mixing import mix_sources
@@ -68,6 +69,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), anchor=F.col("vec_id") % 100 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decode_documents(encode_documents(_read(spark, sf_dir, "documents")))
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -93,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": oracles.quality(quality.FENCES, quality.COUNTS, quality.GAMMA, quality.MIN_ROWS, quality.SYMBOLS),
     "op9_source_mixing": oracles.mixing(17, 32, 3, mixing.SHARD_ROWS, mixing.MOST_DIGITS),
     "op10_line_dedup": oracles.LINES,
+    "op12_hard_negatives": oracles.NEGATIVES,
 }
