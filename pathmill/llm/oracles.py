@@ -31,6 +31,24 @@ LINES = f"""
 """
 
 
+SPELLING = """
+    WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+             FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents) GROUP BY ALL),
+    bytes AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x) - 64] END)) AS b FROM runs),
+    hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+              WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    less AS (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM words, unnest(generate_series(1, length(word))) AS t(k)),
+    near AS (SELECT a.word, b.word AS other FROM less a JOIN less b USING (k, rest) WHERE a.word <> b.word
+             UNION SELECT rest, word FROM less UNION SELECT word, rest FROM less),
+    known AS (SELECT near.word, other, o.n AS other_n FROM near JOIN words o ON other = o.word JOIN words w ON near.word = w.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM known GROUP BY word),
+    formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+    climb AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM climb c JOIN formed f ON c.at = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN climb c ON f.word = c.word JOIN formed e ON c.at = e.word WHERE e.form IS NULL
+"""
+
 NEGATIVES = """
     WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
                FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),

@@ -18,6 +18,7 @@ from pathmill.llm.mixing import mix_sources
 from pathmill.llm.ngram_join import near_duplicates
 from pathmill.llm.packing import pack_documents
 from pathmill.llm.quality import quality_rules
+from pathmill.llm.spelling import spelling_variants
 from pathmill.llm.suffix_groups import erase_repeated_bytes
 from pathmill.llm.warc import round_trip
 
@@ -69,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -101,5 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": oracles.quality(quality.FENCES, quality.COUNTS, quality.GAMMA, quality.MIN_ROWS, quality.SYMBOLS),
     "op9_source_mixing": oracles.mixing(17, 32, 3, mixing.SHARD_ROWS, mixing.MOST_DIGITS),
     "op10_line_dedup": oracles.LINES,
+    "op11_spelling_variants": oracles.SPELLING,
     "op12_hard_negatives": oracles.NEGATIVES,
 }

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pathmill.llm import hard_negatives as H
@@ -43,11 +44,25 @@ def test_rows_equal_brute_force(spark):
     assert found == brute(rows) and len(found) > 100
 
 
-def test_pages_tiles_and_codes_of_one_bit_a_dimension_change_nothing(spark, monkeypatch):
+def test_pages_and_codes_of_one_bit_a_dimension_change_nothing(spark):
     rows = vectors(300, seed=2)
     assert mine(frame(spark, rows), page=7, bits_per_dim=1, seed=3) == brute(rows)
+
+
+def test_tiles_and_batches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.floor(80 * rng.standard_normal((500, 16))).astype(np.int64)
+    label, ids = rng.integers(0, 3, 500), np.arange(500)
+    codes = Codes.of(x.astype(float), rotation(16, 64, 5))
+    rows = pd.DataFrame({"id": ids, "label": label, "vector": [v.astype("<i4").tobytes() for v in x], "code": [w.tobytes() for w in codes.words], "length": codes.length, "align": codes.align, "shrink": codes.shrink})
+    asked = H.Page(ids[:40], label[:40], x[:40], 64, 5, 5, 80, 100)
+    whole = next(asked.search(iter([rows])))
+    exact = x[:40] @ x.T
+    for a in range(40):
+        mine_ = sorted((-exact[a, j], j) for j in range(500) if j != a and label[j] == label[a])[:5]
+        assert whole[whole["slot"] == a][["score", "id"]].values.tolist() == [[-s, j] for s, j in mine_]
     monkeypatch.setattr(H, "TILE", (3, 16))
-    assert mine(frame(spark, rows), page=1000) == brute(rows)
+    assert next(asked.search(iter([rows[:7], rows[7:300], rows[300:]]))).equals(whole)
 
 
 def test_bounds_hold_the_inner_product_and_leave_pairs_out():
