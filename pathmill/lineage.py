@@ -30,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
 def new_dir(where: DataFrame | SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(where.sparkSession if isinstance(where, DataFrame) else where)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours in the shared folder, wherever that is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
