@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathmill.lineage import cut, new_dir  # noqa: F401
+from pathmill.lineage import cut, new_dir, remove  # noqa: F401
 
 #: Fixed values of the contracts: ASCII white space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"

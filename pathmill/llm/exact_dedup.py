@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import cut, new_dir
+from pathmill.llm.common import cut, new_dir, remove
 
 #: Bits of a filter block (what one bitmap of the SQL functions holds), bits set per digest, and digests a block is made for.
 BLOCK_BITS = 32768
@@ -15,6 +15,9 @@ PROBES = 4
 PER_BLOCK = BLOCK_BITS // 10
 #: A group with over this share of all rows is spread; there are fewer than 1 / share such groups.
 HOT_SHARE = 0.001
+#: Rows of a memtable, and memtables of any table that is not empty.
+MEMTABLE_ROWS = 20_000_000
+FEWEST = 4
 
 
 def digest_of(text: Column) -> Column:
@@ -41,8 +44,8 @@ class DigestIndex:
     blocked Bloom filter. A digest belongs to one block and sets PROBES bits in the block's bitmap, so a lookup meets
     the filters of all runs in one join on the block, and only runs that may hold one of the digests are read, for these
     digests alone. When `fan_in` runs of a level exist, they are compacted into one run of the next level; of equal
-    digests the smallest (keep="min") or the largest (keep="max") identifier survives and the counts are added. Runs
-    live in the shared folder; each is written before it is used, so a lost executor costs at most the run being written.
+    digests the smallest (keep="min") or the largest (keep="max") identifier survives and the counts are added, and
+    the runs merged are removed. Runs live in the shared folder; each is written before it is used, so a lost executor costs at most the run being written.
     """
 
     def __init__(self, spark: SparkSession, expected: int, fan_in: int = 3, keep: str = "min", path: str | None = None):
@@ -117,6 +120,9 @@ class DigestIndex:
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_in:
             runs, self.levels[level] = self.levels[level], []
             self._place(self._flush(self._merge(runs)), level + 1)
+            for old in runs:  # what they held is in the run just written
+                remove(self.spark, old.path)
+                remove(self.spark, old.filter_path)
             level += 1
         return hits
 
@@ -128,21 +134,22 @@ class DigestIndex:
         return self._merge(self.runs())
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text", batches: int = 4) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. The texts are read twice. First their digests go into
-    the index in `batches` memtables, which tells the digests that occur again. Then the rows of these alone are
+    the index in memtables of about `memtable_rows` rows, four at least, which tells the digests that occur again. Then the rows of these alone are
     verified byte by byte: they are grouped by the whole text, after a group with over a thousandth of all rows has been
     dealt into parts. Rows whose texts differ under one digest get groups of their own. Of rows that repeat an id, each
     counts; all rows with the kept id are kept. A null id is never kept where its group has another. An empty table
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    total = docs.select(id_col).count()
+    batches = max(FEWEST, -(-total // memtable_rows))
     light = new_dir(spark, "light")
     docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).alias("batch")).write.partitionBy("batch").parquet(light)
     rows = spark.read.schema(f"id {docs.schema[id_col].dataType.simpleString()}, digest string, batch int").parquet(light)
-    total = rows.count()
     index = DigestIndex(spark, total, keep=keep)
     hits = rows.select("digest").limit(0)
     for k in range(batches):
