@@ -28,10 +28,10 @@ class Encoder(dict):
     """Token ids of a tokenizers file, as little-endian 32-bit bytes per pre-token, remembered between texts.
 
     A text's ids are the ids of its pre-tokens, one after the other; those of a pre-token come from the file's own
-    encoder. At most LIMIT pre-tokens are remembered; then it starts anew.
+    encoder. They are remembered in two generations of LIMIT pre-tokens: when the younger one is full the older one goes.
     """
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -39,12 +39,16 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_file(public_tokenizers.path(name))
+        self.older: dict[str, bytes] = {}
         self.core.encode_special_tokens = True  # marks in a text are text
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
-        found = b"".join(map(_FOUR_BYTES, self.core.encode(piece, add_special_tokens=False).ids))
+        found = self.older.get(piece)
+        if found is None:
+            found = b"".join(map(_FOUR_BYTES, self.core.encode(piece, add_special_tokens=False).ids))
         if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
         self[piece] = found
         return found
