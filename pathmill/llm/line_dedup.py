@@ -16,8 +16,8 @@ def line_key(line: Column) -> Column:
 
 
 def _hashed(key: Column) -> Column:
-    """128 bits of the key as two independent 64-bit hashes."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.concat(key, F.lit("\n"))).alias("b"))
+    """128 bits of the key: two 64-bit hashes of different seeds."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
