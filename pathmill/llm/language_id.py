@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import ship
+from pathmill.llm.common import cut, ship
 
 BITS = 18
 #: Weights of a model at most: with many languages, features share buckets instead (2 ** 24 four-byte weights are 64 MB).
@@ -241,17 +241,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = 1200, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on `sample_rows` labelled rows that are not held out, the first by a hash of id and text, and of each at most
-    `sample_chars` characters from a place that the hash gives; rows that are the same count once."""
+def fit(docs: DataFrame, sample_rows: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Train on about `sample_rows` labelled rows that are not held out, whole texts, as many of each language.
+
+    Of a language the first by a hash of id and text are taken, sample_rows / languages of them, or all where it has
+    fewer, so a rare language is learned too; rows that are the same count once.
+    """
     usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     hashed = usable.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
-    # the hashes first, without the texts; then the texts of these alone
-    start = F.pmod("h", F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1).cast("int") + 1
-    picked = hashed.where(F.col("h").isin(chosen) if chosen else F.lit(False)).select("h", F.substring("t", start, F.lit(sample_chars)).alias("t"), "l")
-    rows = sorted(picked.groupBy("h").agg(F.min(F.struct("l", "t")).alias("r")).collect(), key=lambda r: r["h"])
-    return train([r["r"]["t"] for r in rows], [r["r"]["l"] for r in rows])
+    light = cut(hashed.select("l", "h").distinct())
+    each = max(1, sample_rows // max(1, light.select("l").distinct().count()))
+    first = light.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= each).select("l", "h")
+    # the hashes first, without the texts; then the texts of these alone: sample_rows rows, or one a language
+    picked = hashed.join(F.broadcast(first), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    rows = sorted(picked.collect(), key=lambda r: (r["h"], r["l"]))
+    return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
