@@ -15,7 +15,7 @@ from pathmill.session import table
     WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS terms FROM documents),
     d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, terms FROM embeddings JOIN t ON doc_id = vec_id),
     q AS (SELECT doc_id AS query_id, v AS vq, terms AS tq FROM d WHERE doc_id % 50 = 0),
-    s AS (SELECT query_id, doc_id, 0.3::DOUBLE * list_cosine_similarity(vq, v) + (1 - 0.3::DOUBLE) * (len(list_intersect(tq, terms)) / len(list_distinct(list_concat(tq, terms)))::DOUBLE) AS score FROM q JOIN d ON list_has_any(tq, terms))
+    s AS (SELECT query_id, doc_id, 0.3::DOUBLE * list_cosine_similarity(vq, v) + (1 - 0.3::DOUBLE) * (len(list_intersect(tq, terms)) / len(list_distinct(list_concat(tq, terms)))::DOUBLE) AS score FROM q, d)
     SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score >= 0.2 QUALIFY place <= 100
 """)
 def r01(spark, d):
