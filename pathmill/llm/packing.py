@@ -20,6 +20,9 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _BLANK = "\\t-\\r \u0085 "
 _FAST = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: A byte-level model's letter for each byte: its own where that can be seen, else the next one from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = str.maketrans({b: b if b in _SEEN else 256 + sum(x not in _SEEN for x in range(b)) for b in range(256)})
 _FOUR_BYTES = struct.Struct("<I").pack
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -28,7 +31,7 @@ class Encoder(dict):
     """Token ids of a tokenizers file, as little-endian 32-bit bytes per pre-token, remembered between texts.
 
     A text's ids are the ids of its pre-tokens, one after the other; those of a pre-token come from the file's own
-    encoder. They are remembered in two generations of LIMIT pre-tokens: when the younger one is full the older one goes.
+    model, which takes bytes as letters. They are remembered in two generations of LIMIT pre-tokens: when the younger one is full the older one goes.
     """
 
     LIMIT = 250_000
@@ -40,13 +43,14 @@ class Encoder(dict):
 
         self.core = Tokenizer.from_file(public_tokenizers.path(name))
         self.older: dict[str, bytes] = {}
-        self.core.encode_special_tokens = True  # marks in a text are text
+        self.model = self.core.model  # marks of special tokens in a text are text to it
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            found = b"".join(map(_FOUR_BYTES, self.core.encode(piece, add_special_tokens=False).ids))
+            letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found = b"".join([_FOUR_BYTES(t.id) for t in self.model.tokenize(letters)])
         if len(self) >= self.LIMIT:
             self.older = dict(self)
             self.clear()
