@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pathmill.lineage import cut
 
 
+#: Blocks that a catalog of tracks is dealt into where users meet all of it.
+BLOCKS = 16
+
+
 @dataclass(frozen=True)
 class PairConfig:
     """Weights, similarity tiers and slot sizes; fixed values that the reference results need."""
@@ -49,7 +53,9 @@ def members(users: DataFrame, tracks: DataFrame) -> DataFrame:
     singles = single_member_groups(tracks)
     catalog = tracks.join(singles, "department_id", "left_anti").select("track_id", "college_id")
     asking = users.join(singles, "department_id", "left_anti").select("user_id", F.col("college_id").alias("own"), "current_tracks")
-    each = asking.join(catalog)  # a row per user and track, which the pairs' number exceeds
+    # every track of the catalog is a candidate of every user: they meet in blocks of tracks, by equality
+    blocks = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    each = blocks.join(catalog.withColumn("block", F.pmod(F.hash("track_id"), F.lit(BLOCKS))), "block")
     place = F.array_position("current_tracks", F.col("track_id"))
     listed = F.when(place > 0, F.lpad((place - 1).cast("string"), 9, "0"))
     return each.select("user_id", "track_id", F.when(F.size("current_tracks") > 0, listed).when(F.col("college_id") == F.col("own"), F.col("track_id")).alias("ord"))
@@ -73,48 +79,118 @@ def _paired(rows: DataFrame, carried: list[str]) -> DataFrame:
     return met.select("user_id", key.alias("combo_key"), F.col("track_id_a").alias("track_a"), F.col("track_id_b").alias("track_b"), *[f"{c}_{side}" for c in carried for side in "ab"])
 
 
-def redundancy(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """track_a, track_b, redundancy of distinct pairs: Jaccard of their course sets."""
-    a = tracks.select(F.col("track_id").alias("track_a"), F.col("course_ids").alias("courses_a"))
-    b = tracks.select(F.col("track_id").alias("track_b"), F.col("course_ids").alias("courses_b"))
-    both = F.size(F.array_intersect("courses_a", "courses_b"))
-    joined = pairs.select("track_a", "track_b").distinct().join(a, "track_a").join(b, "track_b")
-    return joined.select("track_a", "track_b", share(both, F.size("courses_a") + F.size("courses_b") - both).alias("redundancy"))
+def course_overlaps(tracks: DataFrame) -> DataFrame:
+    """x, y, both: how many courses two tracks share, x before y; pairs that share none have no row.
 
+    An inverted index: tracks meet at the courses they list, so only pairs with a common course are made.
+    """
+    listed = tracks.select("track_id", F.explode(F.array_distinct("course_ids")).alias("course"))
+    x, y = listed.withColumnRenamed("track_id", "x"), listed.withColumnRenamed("track_id", "y")
+    return x.join(y, "course").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("both"))
 
-def score_pairs(users: DataFrame, tracks: DataFrame, wanted: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
-    """The users' pairs with complementarity, coverage, redundancy, score, and both tracks' colleges and departments.
 
-    `wanted` has user_id and job_keys (and job_tech where coverage counts other tokens). Complementarity is the share of
-    the wanted tokens that exactly one track brings, 0 where a track brings none; coverage the share that they bring
-    together; the score is their weighted sum less the weighted redundancy, cut to 0 and 1. What a track brings a user is
-    worked out once per user and track; a pair then compares two short lists.
-    """
+def with_redundancy(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """pairs (track_a, track_b) with redundancy: Jaccard of their course sets, 0 when both are empty."""
+    sizes = tracks.select("track_id", F.size(F.array_distinct("course_ids")).alias("n"))
+    least, most = F.least("track_a", "track_b"), F.greatest("track_a", "track_b")
+    met = pairs.join(course_overlaps(tracks), (least == F.col("x")) & (most == F.col("y")), "left").drop("x", "y")
+    met = met.join(sizes.toDF("track_a", "n_a"), "track_a").join(sizes.toDF("track_b", "n_b"), "track_b")
+    both = F.coalesce("both", F.lit(0))
+    return met.select(*pairs.columns, share(both, F.col("n_a") + F.col("n_b") - both).alias("redundancy"))
+
+
+def redundancy(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """track_a, track_b, redundancy of distinct pairs."""
+    return with_redundancy(pairs.select("track_a", "track_b").distinct(), tracks)
+
+
+def brought(users: DataFrame, tracks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The users' members with what each brings them: `of` the wanted keys and `tech` of the wanted technologies."""
     if "job_tech" not in wanted.columns:
         wanted = wanted.withColumn("job_tech", F.col("job_keys"))
     competencies = F.col("competencies") if "competencies" in tracks.columns else F.array().cast("array<string>")
     known = tracks.select("track_id", F.array_union("tech", competencies).alias("keys"), "tech", F.col("college_id").alias("college"), F.col("department_id").alias("department"))
     rows = members(users, tracks).join(known, "track_id").join(wanted.select("user_id", "job_keys", "job_tech"), "user_id")
-    brought = rows.select(
+    return rows.select(
         "user_id", "track_id", "ord", "college", "department",
         F.array_intersect("job_keys", "keys").alias("of"), F.array_intersect("job_tech", "tech").alias("tech"), F.size("job_keys").alias("keys"), F.size("job_tech").alias("techs"),
     )
-    pairs = _paired(brought, ["college", "department", "of", "tech", "keys", "techs"])
+
+
+def _gains() -> tuple[Column, Column]:
+    """Complementarity and coverage of a pair from what its two sides bring."""
     apart = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
     complementarity = F.when((F.size("of_a") == 0) | (F.size("of_b") == 0), F.lit(0.0)).otherwise(share(apart, F.col("keys_a")))
-    coverage = share(F.size(F.array_union("tech_a", "tech_b")), F.col("techs_a"))
-    scored = pairs.select("user_id", "combo_key", "track_a", "track_b", "college_a", "college_b", "department_a", "department_b", complementarity.alias("complementarity"), coverage.alias("coverage"))
-    # the courses of two tracks are compared once, for whichever users they are a pair
-    met = members(users, tracks).groupBy("track_id").agg(F.max(F.col("ord").isNotNull()).alias("first"))
-    listed = met.join(tracks.select("track_id", "course_ids"), "track_id")
-    x, y = listed.where("first").toDF("x", "first_x", "courses_x"), listed.toDF("y", "first_y", "courses_y")
-    both = F.size(F.array_intersect("courses_x", "courses_y"))
-    alike = x.join(y, (F.col("x") != F.col("y")) & (~F.col("first_y") | (F.col("x") < F.col("y")))).select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), share(both, F.size("courses_x") + F.size("courses_y") - both).alias("redundancy")
-    )
-    scored = scored.join(alike, (F.least("track_a", "track_b") == F.col("x")) & (F.greatest("track_a", "track_b") == F.col("y"))).drop("x", "y")
-    raw = config.w_complementarity * F.col("complementarity") + config.w_coverage * F.col("coverage") - config.w_redundancy * F.col("redundancy")
-    return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    return complementarity, share(F.size(F.array_union("tech_a", "tech_b")), F.col("techs_a"))
+
+
+def _score(config: PairConfig, less: Column | float) -> Column:
+    raw = config.w_complementarity * F.col("complementarity") + config.w_coverage * F.col("coverage") - config.w_redundancy * less
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+
+
+def score_pairs(users: DataFrame, tracks: DataFrame, wanted: DataFrame, config: PairConfig = PairConfig()) -> DataFrame:
+    """The users' pairs with complementarity, coverage, redundancy, score, and both tracks' colleges and departments.
+
+    `wanted` has user_id and job_keys (and job_tech where coverage counts other tokens). Complementarity is the share of
+    the wanted tokens that exactly one track brings, 0 where a track brings none; coverage the share that they bring
+    together; the score is their weighted sum less the weighted redundancy, cut to 0 and 1. What a track brings a user is
+    worked out once per user and track; a pair then compares two short lists. Every pair of a user is made; top_pairs
+    makes the best alone.
+    """
+    pairs = _paired(brought(users, tracks, wanted), ["college", "department", "of", "tech", "keys", "techs"])
+    complementarity, coverage = _gains()
+    gained = pairs.select("user_id", "combo_key", "track_a", "track_b", "college_a", "college_b", "department_a", "department_b", complementarity.alias("complementarity"), coverage.alias("coverage"))
+    return with_redundancy(gained, tracks).withColumn("score", _score(config, F.col("redundancy")))
+
+
+def top_pairs(users: DataFrame, tracks: DataFrame, wanted: DataFrame, k: int, by_college: bool = False, config: PairConfig = PairConfig()) -> DataFrame:
+    """The rows of score_pairs with the k best scores of each user, ties by key, without making the others.
+
+    With `by_college`, the k best of one college and the k best of two, of each user. A pair's gain before redundancy
+    depends on what its tracks bring alone, so tracks that bring a user the same are a class, and two classes have one
+    upper bound for all their pairs. First as many class pairs with the highest bounds are opened as k pairs need; the
+    k-th of their scores is the user's threshold. Then those whose bound reaches it are opened; the others hold no pair
+    that could come in. Only pairs of opened classes are made and their courses compared.
+    """
+    rows = cut(brought(users, tracks, wanted).withColumn("first", F.col("ord").isNotNull()))
+    of_class = ["college", "first", "of", "tech", "keys", "techs"]
+    sizes = rows.groupBy("user_id", *of_class).agg(F.count(F.lit(1)).alias("n"), F.min("track_id").alias("class"))
+    a = sizes.where("first").select("user_id", *[F.col(c).alias(f"{c}_a") for c in [*of_class, "n", "class"]])
+    b = sizes.select("user_id", *[F.col(c).alias(f"{c}_b") for c in [*of_class, "n", "class"]])
+    once = "not first_b or class_a <= class_b"  # two classes that may come first meet once
+    number = F.when(F.col("class_a") == F.col("class_b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
+    complementarity, coverage = _gains()
+    same = F.when(F.lit(by_college), (F.col("college_a") == F.col("college_b")).cast("int")).otherwise(0)
+    classes = a.join(b, "user_id").where(once).select("user_id", "class_a", "class_b", same.alias("same"), number.alias("number"), complementarity.alias("complementarity"), coverage.alias("coverage")).where("number > 0")
+    classes = classes.withColumn("bound", _score(config, F.lit(0.0)))
+    order = Window.partitionBy("user_id", "same").orderBy(F.desc("bound"), "class_a", "class_b").rowsBetween(Window.unboundedPreceding, -1)
+    classes = cut(classes.withColumn("before", F.coalesce(F.sum("number").over(order), F.lit(0))))
+
+    named = rows.join(sizes.select("user_id", *of_class, "class"), ["user_id", *of_class]).select("user_id", "class", "track_id", "ord", "college", "department")
+    courses = tracks.select("track_id", "course_ids")
+
+    def opened(which: DataFrame) -> DataFrame:
+        left, right = (named.select("user_id", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "track_id", "ord", "college", "department")]) for side in "xy")
+        met = which.withColumnsRenamed({"class_a": "class_x", "class_b": "class_y"}).join(left, ["user_id", "class_x"]).join(right, ["user_id", "class_y"])
+        met = met.where("track_id_x <> track_id_y and (class_x <> class_y or ord_x < ord_y)")
+        turned = F.col("ord_y").isNotNull() & (F.col("ord_y") < F.col("ord_x"))  # of two that may come first the earlier does
+        role = lambda c, side: F.when(turned, F.col(f"{c}_{'y' if side == 'a' else 'x'}")).otherwise(F.col(f"{c}_{'x' if side == 'a' else 'y'}")).alias(f"{'track' if c == 'track_id' else c}_{side}")
+        key = F.concat_ws("::", F.least("track_id_x", "track_id_y"), F.greatest("track_id_x", "track_id_y")).alias("combo_key")
+        pairs = met.select("user_id", key, *[role(c, side) for c in ("track_id", "college", "department") for side in "ab"], "complementarity", "coverage", "same")
+        lists = pairs.join(courses.toDF("track_a", "courses_a"), "track_a").join(courses.toDF("track_b", "courses_b"), "track_b")
+        both = F.size(F.array_intersect("courses_a", "courses_b"))
+        alike = share(both, F.size(F.array_union("courses_a", "courses_b")))
+        return lists.withColumn("redundancy", alike).drop("courses_a", "courses_b").withColumn("score", _score(config, F.col("redundancy")))
+
+    best = Window.partitionBy("user_id", "same").orderBy(F.desc("score"), "combo_key")
+    first = cut(opened(classes.where(F.col("before") < k)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k))
+    threshold = first.where(F.col("place") == k).select("user_id", "same", F.col("score").alias("least"))
+    more = opened(classes.where(F.col("before") >= k).join(threshold, ["user_id", "same"]).where("bound >= least").drop("least"))
+    both_rounds = first.drop("place").unionByName(more)
+    found = both_rounds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    columns = ["user_id", "combo_key", "track_a", "track_b", "college_a", "college_b", "department_a", "department_b", "complementarity", "coverage", "redundancy", "score"]
+    return found.select(*columns)
 
 
 def top_per_user(scored: DataFrame, k: int) -> DataFrame:
