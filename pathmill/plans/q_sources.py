@@ -56,35 +56,62 @@ def _deliveries(spark, d):
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("i01_incremental_dedupe", "SELECT DISTINCT user_id::BIGINT AS user_id, event_type FROM events")
+def _collected(spark, d):
+    """The keys (user, type) of the deliveries, each the first time it comes; every fiftieth user has no id."""
+    path = new_dir(table(spark, d, "region"), "unseen")
+    stream = _deliveries(spark, d).withColumn("source_id", F.when(F.col("user_id") % 50 != 0, F.col("user_id"))).select("source_id", "event_type")
+    ingest.wait(*ingest.collect_new(stream, path, f"{path}/checkpoint", ["source_id", "event_type"], F.lit(False)))
+    return path
+
+
+@query("i01_incremental_dedupe", "SELECT DISTINCT user_id::BIGINT AS source_id, event_type FROM events WHERE user_id % 50 <> 0")
 def i01(spark, d):
-    """Keys of a stream, each the first time it comes."""
-    stream = ingest.new_rows(_deliveries(spark, d), ["user_id", "event_type"])
-    out = new_dir(table(spark, d, "region"), "unseen")
-    stream.select("user_id", "event_type").writeStream.format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.rows_of(spark, _collected(spark, d))
+
+
+@query("i01_ingest_counts", f"""
+    WITH e AS (SELECT {DELIVERY_SQL} AS batch, user_id, event_type, nullif(user_id % 50, 0) IS NULL AS failed FROM events),
+    f AS (SELECT user_id, event_type, min(batch) AS batch FROM e WHERE NOT failed GROUP BY ALL),
+    n AS (SELECT batch, count(*) AS collected FROM f GROUP BY 1)
+    SELECT batch, count(*) AS read, coalesce(any_value(collected), 0) AS collected, count(*) - coalesce(any_value(collected), 0) - count(*) FILTER (WHERE failed) AS skipped, count(*) FILTER (WHERE failed) AS failed
+    FROM e LEFT JOIN n USING (batch) GROUP BY batch
+""")
+def i01_counts(spark, d):
+    """How many rows of each delivery were collected, skipped as seen before, or failed for want of an id."""
+    return ingest.counts(spark, _collected(spark, d))
 
 
 @query("i02_progress", f"""
     WITH n AS (SELECT event_type, {DELIVERY_SQL} AS b, count(*) AS n FROM events GROUP BY ALL),
-    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
-    SELECT event_type, sum(n)::BIGINT AS collected, 1200 AS target, CASE WHEN sum(n) >= 1200 THEN 'done' ELSE 'open' END AS status FROM c WHERE before < 1200 GROUP BY 1
+    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY event_type) AS whole FROM n)
+    SELECT event_type, least(1200, any_value(whole))::BIGINT AS collected, (CASE WHEN any_value(whole) >= 1200 THEN sum(n) FILTER (WHERE before < 1200) ELSE 2 * any_value(whole) END)::BIGINT AS found,
+           1200 AS target, CASE WHEN any_value(whole) >= 1200 THEN 'done' ELSE 'open' END AS status FROM c GROUP BY 1
 """)
 def i02(spark, d):
-    """Deliveries are appended until a type is done; a second run over the same deliveries finds nothing new."""
+    """Deliveries are appended until a type has its 1,200 rows; a second run over the same deliveries adds nothing."""
     stream = _deliveries(spark, d)
-    base = new_dir(table(spark, d, "region"), "collected")
+    path = new_dir(table(spark, d, "region"), "collected")
     for k in range(2):
-        ingest.append_unseen(stream, f"{base}/rows", f"{base}/progress-{k}", f"{base}/checkpoint-{k}", ["event_id"], "event_type", 1200).awaitTermination()
-    return ingest.latest_version(spark, f"{base}/progress-1")
+        ingest.append_quota(stream, path, f"{path}/checkpoint-{k}", ["event_id"], "event_type", 1200).awaitTermination()
+    return ingest.last_progress(spark, path)
+
+
+@query("i02_collected_rows", f"""
+    WITH e AS (SELECT event_id, event_type, {DELIVERY_SQL} AS b FROM events)
+    SELECT event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY b, event_id) <= 1200
+""")
+def i02_rows(spark, d):
+    path = new_dir(table(spark, d, "region"), "collected")
+    ingest.append_quota(_deliveries(spark, d), path, f"{path}/checkpoint", ["event_id"], "event_type", 1200).awaitTermination()
+    return ingest.rows_of(spark, path).select("event_id", "event_type")
 
 
 @query("i03_newest_version", "SELECT user_id::BIGINT AS user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
 def i03(spark, d):
     stream = _deliveries(spark, d).select("user_id", "event_id", "ts")
-    base = new_dir(table(spark, d, "region"), "newest")
-    ingest.upsert_newest(stream, f"{base}/rows", f"{base}/checkpoint", "user_id", "ts", "event_id").awaitTermination()
-    return ingest.latest_version(spark, f"{base}/rows")
+    path = new_dir(table(spark, d, "region"), "newest")
+    ingest.upsert_newest(stream, path, f"{path}/checkpoint", "user_id", "ts", "event_id").awaitTermination()
+    return ingest.newest_rows(spark, path)
 
 
 @query("s10_document_table", "SELECT lang AS doc_type, lang || '_' || source || '_' || doc_id || '.txt' AS doc_path, md5(text) AS digest FROM documents WHERE lang IS NOT NULL")

@@ -17,7 +17,6 @@ from pathmill.operators import text as X
 from pathmill.operators import tokens as O
 from pathmill.plans.recommend import recommend
 from pathmill.sources import readers, writers
-from pathmill.streaming import ingest
 
 TRACK = "track_id string, college_id string, department_id string, course_ids array<string>, tech array<string>"
 USER = "user_id string, college_id string, department_id string, current_tracks array<string>, job_keys array<string>"
@@ -229,22 +228,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "docs")).first()["doc_type"] == "k"
 
 
-def test_streams(spark, tmp_path):
-    schema = "source_id string, category string, at timestamp, ord int"
-    rows = [("1", "a", "2024-01-01 00:00:00", 1), ("1", "a", "2024-01-02 00:00:00", 2), ("2", "b", "2024-01-01 00:00:00", 3), ("3", "a", "2024-01-03 00:00:00", 4)]
-    for k, part in enumerate((rows[:2], rows[2:], rows[:1])):
-        spark.createDataFrame(part, "source_id string, category string, at string, ord int").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        ingest.append_unseen(stream, str(tmp_path / "sink"), str(tmp_path / "progress"), str(tmp_path / "ck1"), ["source_id"], "category", 9).awaitTermination(60)
-        ingest.upsert_newest(stream, str(tmp_path / "newest"), str(tmp_path / "ck2"), "source_id", "at", "ord").awaitTermination(60)
-    assert sorted(r["source_id"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == ["1", "2", "3"]
-    assert {r["category"]: r["collected"] for r in ingest.latest_version(spark, str(tmp_path / "progress")).collect()} == {"a": 2, "b": 1}
-    assert {r["source_id"]: r["ord"] for r in ingest.latest_version(spark, str(tmp_path / "newest")).collect()} == {"1": 2, "2": 3, "3": 4}
-    seen = ingest.new_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["source_id"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-    seen.awaitTermination(60)
-    assert sorted(r["source_id"] for r in spark.table("seen").collect()) == ["1", "2", "3"]
-
-
 def test_recommendation(spark):
     tracks = [(f"T{k}", "C1" if k < 3 else "C2", "D1" if k < 3 else "D2", [f"c{k}"], [["python"], ["sql"], ["java"], ["go"], ["sql"], ["c"], ["python"]][k]) for k in range(7)]
     profile = "user_id string, admission_year int, college string, department string, current_tracks array<string>, current_semester int, interests array<string>, dev_interests array<string>, work_values array<string>, company_types array<string>"
