@@ -23,34 +23,24 @@ def blank_to_null(value: Column) -> Column:
     return F.when(strip(value) != "", value)
 
 
-#: Endings of bare domains.
+#: Letters and digits of any script with the underscore, any white space, and the endings of bare domains.
+WORD_CHARS = r"\p{L}\p{N}_"
+NOT_BLANK = r"[^\s\x1c-\x1f\x85\p{Z}]"
 DOMAIN_ENDS = ["net", "com", "org", "io", "kr"]
 
 
-def _rewritten(text: Column, kept_together: str, change) -> Column:
-    """The text with each run of the given characters, and each run of others, put through `change`."""
-    runs = F.regexp_extract_all(text, F.lit(f"([{kept_together}]+|[^{kept_together}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, change), "")
-
-
 def without_contacts(text: Column, domains: bool = True) -> Column:
-    """Mail addresses, web addresses and bare lower-case domains become blanks.
+    """Mail addresses, then web addresses, then bare lower-case domains become a blank each.
 
-    A mail address is a run of address characters with an @ inside; a web address begins at its scheme and ends with the
-    word; a domain is a lower-case run of labels whose last is a listed ending.
+    A mail address is a run of word characters, dots, plus and minus signs, an @, and a run of word characters, dots and
+    minus signs. A web address goes from its scheme to the next white space. A domain is one label of lower-case letters,
+    digits and minus signs that no letter or digit stands before, a dot, and a listed ending that ends a word: of
+    `www.naver.com` the first label stays, and so does the full stop after a sentence's last word.
     """
-    at_inside = lambda x: F.instr(x, "@").between(2, F.length(x) - 1)
-    x = _rewritten(text, r"A-Za-z0-9_.+@\-", lambda run: F.when(at_inside(run), F.lit(" ")).otherwise(run))
-
-    def before_scheme(word: Column) -> Column:
-        places = F.filter(F.array(F.instr(word, "http://"), F.instr(word, "https://")), lambda i: (i > 0) & (F.length(word) > i + 6))
-        return F.when(F.size(places) > 0, F.concat(F.left(word, F.array_min(places) - 1), F.lit(" "))).otherwise(word)
-
-    x = _rewritten(x, r"\S", before_scheme)
-    if not domains:
-        return x
-    is_domain = lambda run: (F.lower(run) == run) & (F.instr(run, ".") > 1) & F.substring_index(run, ".", -1).isin(DOMAIN_ENDS)
-    return _rewritten(x, r"A-Za-z0-9.\-", lambda run: F.when(is_domain(run), F.lit(" ")).otherwise(run))
+    x = F.regexp_replace(text, f"[{WORD_CHARS}.+-]+@[{WORD_CHARS}.-]+", " ")
+    x = F.regexp_replace(x, f"https?://{NOT_BLANK}+", " ")
+    ending = "|".join(DOMAIN_ENDS)
+    return F.regexp_replace(x, rf"(?<![A-Za-z0-9])[a-z0-9][a-z0-9-]*\.(?:{ending})(?![{WORD_CHARS}])", " ") if domains else x
 
 
 def without_parentheses(text: Column) -> Column:
@@ -113,21 +103,20 @@ def skip_reason(college: Column, text: Column, lines: Column, excluded: list[str
     return F.when(college.isin(excluded), "excluded").when(listed, "directory").when(F.size(lines) < least, "short")
 
 
+#: The format of a course, a dash and tag, name, code and credits, with any white space between them.
+COURSE_FORMAT = r"(?U)-\s*\[([^\]]+)\]\s*(.+?)\s*\(\s*([A-Za-z0-9]+)\s*,\s*(\d+)\s*학점\s*\)"
+WIDE_DIGITS = "０１２３４５６７８９"
+
+
 def parse_course_line(line: Column, types: dict[str, str]) -> Column:
-    """Struct of a line "- [tag] name (code, n학점)", or null for other lines and tags that are not listed."""
-    item = strip(F.substring(strip(line), 2, 2_000_000_000))
-    bracket = F.instr(item, "]")
-    rest = strip(F.substring(item, bracket + 1, F.length(item)))
-    last = F.substring_index(rest, "(", -1)
-    inside = F.transform(F.split(F.rtrim(last, F.lit(")")), ","), strip)
-    tag, name = strip(F.substring(item, F.lit(2), bracket - 2)), strip(F.left(rest, F.length(rest) - F.length(last) - 1))
-    code, amount = F.get(inside, 0), F.get(inside, 1)
-    credits = strip(F.left(amount, F.length(amount) - 2)).try_cast("int")
-    shape = F.startswith(strip(line), F.lit("-")) & F.startswith(item, F.lit("[")) & (bracket > 2) & F.endswith(rest, F.lit(")")) & (F.size(inside) == 2) & F.endswith(amount, F.lit("학점"))
+    """Struct of the first "- [tag] name (code, n학점)" in a line, whatever stands before and after it.
+
+    Null where there is none, or where its tag is not listed; a later one in the line is not looked for then.
+    """
+    tag, name, code, digits = (strip(F.regexp_extract(line, COURSE_FORMAT, k)) for k in range(1, 5))
+    credits = F.translate(digits, WIDE_DIGITS, "0123456789").try_cast("int")
     kind = F.try_element_at(F.create_map(*[F.lit(v) for kv in types.items() for v in kv]), tag)
-    plain_code = (code != "") & (F.translate(F.lower(code), "abcdefghijklmnopqrstuvwxyz0123456789", "") == "")
-    whole = shape & (name != "") & plain_code & credits.isNotNull() & kind.isNotNull()
-    return F.when(whole, F.struct(tag.alias("tag"), name.alias("name"), code.alias("code"), credits.alias("credits"), kind.alias("course_type")))
+    return F.when(credits.isNotNull() & kind.isNotNull(), F.struct(tag.alias("tag"), name.alias("name"), code.alias("code"), credits.alias("credits"), kind.alias("course_type")))
 
 
 def html_text(html: Column) -> Column:

@@ -37,10 +37,17 @@ def p03(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(c != "4-NOT SPECIFIED", c).when(F.col("o_totalprice") > 250000, "dear").when(F.col("o_orderstatus") == "F", "old").otherwise(c).alias("category"))
 
 
-@query("p04_without_contacts", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_.-]+', ' ', 'g'), 'https?://[^ \t\n\r\f\v]+', ' ', 'g')) AS digest FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')")
+_DOMAIN = r"'(^|[^A-Za-z0-9])[a-z0-9][a-z0-9-]*\.(net|com|org|io|kr)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'"
+
+
+@query("p04_without_contacts", rf"""
+    WITH mailed AS (SELECT doc_id, regexp_replace(text, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+', ' ', 'g') AS x FROM documents),
+    linked AS (SELECT doc_id, regexp_replace(x, 'https?://[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g') AS x FROM mailed)
+    -- a character between two domains belongs to both, so every second one is left for the second pass
+    SELECT doc_id, md5(regexp_replace(regexp_replace(x, {_DOMAIN}), {_DOMAIN})) AS digest FROM linked
+""")
 def p04(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", F.md5(X.without_contacts(F.col("text"), domains=False).cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.without_contacts(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("p05_fold_dots", "SELECT p_partkey, replace(p_name, ' ', '·') AS name FROM part")
@@ -241,7 +248,8 @@ def p12(spark, d):
 
 @query("p13_course_lines", "SELECT p_partkey, ['전공선택', '전공필수'][p_size % 3 + 1] AS course_type, p_name AS name, 'C' || lpad(p_partkey::VARCHAR, 6, '0') AS code, p_size % 4 + 1 AS credits FROM part WHERE p_size % 3 < 2")
 def p13(spark, d):
-    line = F.expr("concat('  - [', element_at(array('전공기초', '전공필수', '교양필수'), p_size % 3 + 1), '] ', p_name, ' (C', lpad(cast(p_partkey as string), 6, '0'), ', ', p_size % 4 + 1, '학점)')")
+    # text before and after, as in notes on a line
+    line = F.expr("concat(if(p_size % 2 = 0, '  ', '※ 참고 (1) '), '- [', element_at(array('전공기초', '전공필수', '교양필수'), p_size % 3 + 1), '] ', p_name, ' (C', lpad(cast(p_partkey as string), 6, '0'), ', ', p_size % 4 + 1, if(p_size % 5 = 0, ' 학점 ) 비고 (2026)', '학점)'))")
     parsed = _part(spark, d).select("p_partkey", X.parse_course_line(line, COURSE_TYPES).alias("c")).where("c is not null")
     return parsed.select("p_partkey", "c.course_type", "c.name", "c.code", "c.credits")
 

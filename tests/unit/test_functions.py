@@ -132,3 +132,20 @@ def test_json_tags_and_scores(ev):
 
 def test_names(ev):
     assert ev(X.fold_dots, " 가ㆍ나・다 ") == "가·나·다" and ev(X.name_key, "Data （빅） (x) B") == "data빅xb" and ev(X.safe_name, 'a/b: "c"') == "a_b___c_"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("see wikidocs.net.", "see  ."), ("Foo-bar.com x", "Foo-  x"), ("www.naver.com", "www. "), ("문의kim@x.kr 요", "  요"), ("a@b.c+d", " +d"), ("foo.net입니다", "foo.net입니다"),
+    ("a.net b.io,c.org", "   , "), ("ASP.NET .NET Core node.js", "ASP.NET .NET Core node.js"), ("x.com_y z-1.kr", "x.com_y  "), ("(https://a.b/c?d) e", "(  e"), ("https://a\u3000b", " \u3000b"), ("a.b.com.", "a. ."), ("xhttp:// y", "xhttp:// y"),
+])
+def test_contact_boundaries(ev, text, want):
+    assert ev(X.without_contacts, text) == want
+
+
+@pytest.mark.parametrize(("line", "want"), [
+    ("- [전공필수] 자료구조 (ABC1234, 3학점) 비고", ("자료구조", "ABC1234", 3)), ("※ 참고 -[전공필수]자료 (심화) (A1,2 학점 )", ("자료 (심화)", "A1", 2)), ("- [교양필수] 가 (A1, 3학점) - [전공필수] 나 (A2, 3학점)", None),
+    ("- [전공필수] 가 (A-1, 3학점)", None), ("- [전공필수] 가 (A1, ３학점)", ("가", "A1", 3)), ("- [전공필수] (A1, 3학점)", ("", "A1", 3)), ("[전공필수] 가 (A1, 3학점)", None), (None, None),
+])
+def test_course_anywhere_in_a_line(ev, line, want):
+    got = ev(lambda x: X.parse_course_line(x, {"전공필수": "전공필수"}), line)
+    assert (got and (got["name"], got["code"], got["credits"])) == want
