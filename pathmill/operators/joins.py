@@ -86,11 +86,38 @@ def first_n_per_list(rows: DataFrame, key: str, ordinal: str, n: int) -> DataFra
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(ordinal))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def contained_ids(names: DataFrame, ids: DataFrame) -> DataFrame:
+    """name, id: every id that stands anywhere in a distinct name, by equality joins.
+
+    The lengths that ids have, few as they are, are worked out first; a name gives its pieces of these lengths, and a
+    piece that is an id is a hit. Names are short, so pieces are no more than lengths times characters. Empty ids are in
+    no name.
+    """
+    own = ids.select("id").where("id <> ''").distinct()
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    lengths = sorted(r[0] for r in own.select(F.length("id").alias("n")).where(F.col("n") <= longest).distinct().collect())  # `longest` at most
+    none = F.array().cast("array<string>")
+
+    def of_length(n: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+        return F.when(F.length("name") >= n, pieces).otherwise(none)
+
+    pieces = [of_length(n) for n in lengths]
+    if not pieces:
+        return names.select("name", F.col("name").alias("id")).limit(0)
+    cut = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(*pieces))).alias("id"))
+    return cut.join(own, "id", "left_semi").select("name", "id")
+
+
 def documents_of_courses(docs: DataFrame, courses: DataFrame) -> DataFrame:
-    """doc, course_id: by the code in the file's name where the catalog has it, else by exact course name, first in the catalog.
+    """doc, course_id: by an id that the file's name contains, else by the exact course name, in either case the first in
+    the catalog; documents without either are left out.
 
-    docs: doc, code (null where the name holds none), name; courses: course_id, course_name, ord.
+    docs: doc, file, name; courses: course_id, course_name, ord.
     """
-    by_code = courses.select(F.col("course_id").alias("code"), F.col("course_id").alias("_by_code"))
-    by_name = courses.groupBy(F.col("course_name").alias("name")).agg(F.min(F.struct("ord", "course_id"))["course_id"].alias("_by_name"))
-    return docs.join(by_code, "code", "left").join(by_name, "name", "left").select("doc", F.coalesce("_by_code", "_by_name").alias("course_id")).where("course_id is not null")
+    first = F.min(F.struct("ord", "course_id"))["course_id"]
+    ids = courses.select(F.col("course_id").alias("id"), "ord", "course_id")
+    named = contained_ids(docs.select(F.col("file").alias("name")).where("file is not null"), ids)
+    by_id = named.join(ids, "id").groupBy(F.col("name").alias("file")).agg(first.alias("_by_id"))
+    by_name = courses.groupBy(F.col("course_name").alias("name")).agg(first.alias("_by_name"))
+    return docs.join(by_id, "file", "left").join(by_name, "name", "left").select("doc", F.coalesce("_by_id", "_by_name").alias("course_id")).where("course_id is not null")

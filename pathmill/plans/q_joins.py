@@ -177,11 +177,18 @@ def x04(spark, d):
 
 
 @query("j18_documents_of_courses", """
-    WITH f AS (SELECT p_name, arg_min(p_partkey, p_partkey) AS first FROM part WHERE p_size < 40 GROUP BY 1)
-    SELECT p_partkey AS doc, CASE WHEN p_size < 20 THEN p_partkey ELSE first END AS course_id FROM part LEFT JOIN f USING (p_name) WHERE p_size < 20 OR first IS NOT NULL
+    WITH c AS (SELECT 'P' || p_partkey AS id, p_name, -p_partkey AS ord FROM part),
+    d AS (SELECT p_partkey AS doc, p_name, CASE p_size % 3 WHEN 0 THEN 'v1_P' || p_partkey || '_2026.txt' WHEN 1 THEN 'P' || p_partkey || 'P' || (p_partkey + 7) || '.txt' ELSE 'notes_' || p_size || '.txt' END AS file FROM part),
+    pieces AS (SELECT DISTINCT file, substr(file, i, n) AS id FROM d, unnest(generate_series(2, 12)) a(n), unnest(generate_series(1, length(file))) b(i)),
+    by_id AS (SELECT file, arg_min(id, ord) AS id FROM pieces JOIN c USING (id) GROUP BY file),
+    by_name AS (SELECT p_name, arg_min(id, ord) AS id FROM c GROUP BY 1)
+    SELECT doc, coalesce(by_id.id, by_name.id) AS course_id FROM d LEFT JOIN by_id USING (file) LEFT JOIN by_name USING (p_name)
 """)
 def j18(spark, d):
-    part = table(spark, d, "part")
-    docs = part.select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") < 20, F.col("p_partkey")).otherwise(-1).alias("code"), F.col("p_name").alias("name"))
-    catalog = part.where("p_size < 40").select(F.col("p_partkey").alias("course_id"), F.col("p_name").alias("course_name"), F.col("p_partkey").alias("ord"))
+    """Names with an id amid other characters, with two ids side by side, and with none; ids are prefixes of others."""
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    kind = F.col("p_size") % 3
+    one, two = F.concat(F.lit("v1_P"), k, F.lit("_2026.txt")), F.concat(F.lit("P"), k, F.lit("P"), k + 7, F.lit(".txt"))
+    docs = part.select(k.alias("doc"), F.when(kind == 0, one).when(kind == 1, two).otherwise(F.concat(F.lit("notes_"), "p_size", F.lit(".txt"))).alias("file"), F.col("p_name").alias("name"))
+    catalog = part.select(F.concat(F.lit("P"), k).alias("course_id"), F.col("p_name").alias("course_name"), (-k).alias("ord"))
     return J.documents_of_courses(docs, catalog)
