@@ -254,7 +254,8 @@ def fit(docs: DataFrame, sample_rows: int = 1200, id_col: str = "doc_id", text_c
     each = max(1, sample_rows // max(1, numbers.count()))
     # hashes are even, so twice the share that is wanted leaves enough of each language, and little to sort
     low = F.col("h") / F.lit(2.0**63) < 4.0 * each / F.col("n") - 1.0
-    first = light.join(numbers, "l").where(low).withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= each).select("l", "h")
+    # a row per language, as the model has
+    first = light.join(F.broadcast(numbers), "l").where(low).withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= each).select("l", "h")
     # the hashes first, without the texts; then the texts of these alone: sample_rows rows, or one a language
     picked = hashed.join(F.broadcast(first), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
     rows = sorted(picked.collect(), key=lambda r: (r["h"], r["l"]))
