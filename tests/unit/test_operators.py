@@ -252,6 +252,9 @@ def test_recommendation(spark):
     row = out["coverage"].first()
     assert (row["required"], row["current"], row["current_ratio"]) == (2, 1, 0.5)
     assert list(itertools.islice(out, 6)) == ["errors", "profiles", "jobs", "pairs", "plan", "coverage"]
+    trace = [tuple(r) for r in out["trace"].orderBy("place").collect()]
+    assert trace == [(1, "profiles", 2, 1, 1, 1), (2, "jobs", 1, 1, 0, 1), (3, "pairs", 1, 1, 0, 7), (4, "plan", 1, 1, 0, out["plan"].count()), (5, "coverage", 1, 1, 0, 1)]
+    assert {r["stage"]: r["rows"] for r in out["user_trace"].where("user_id = 'bad'").collect()} == {"input": 1}
 
 
 def test_matching_files(spark, tmp_path):
