@@ -42,6 +42,39 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
+def list_documents(spark: SparkSession, path: str, keyword: str | None = None, folders: dict[str, Sequence[str]] | None = None, pattern: str = "*.txt") -> DataFrame:
+    """name, size, changed and the folder columns (as in doc_type=...) of the files of a folder tree, none of them opened.
+
+    `keyword` is contained in the name; `folders` names the values that a folder column may have. Both reach the file
+    listing: other folders and files are no part of the scan.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    found = files.select(F.col("_metadata.file_name").alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"), *[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")])
+    return _asked(found, "name", keyword, folders)
+
+
+def read_documents(spark: SparkSession, path: str, keyword: str | None = None, folders: dict[str, Sequence[str]] | None = None, fields: Sequence[str] | None = None, page: int = 0, page_size: int | None = None, pattern: str = "*.txt") -> DataFrame:
+    """The documents of a folder tree as name, text and folder columns, or the `fields` of these, in order of names.
+
+    Only files whose folder and name are asked for are opened. With `page_size` the page is cut out of the listing first,
+    so that no more than its files are opened: the listing, not the texts, is sorted.
+    """
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
+    rows = texts.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "^\ufeff", "").alias("text"), *[c for c in texts.columns if c != "value"])
+    asked = _asked(rows, "name", keyword, folders)
+    if page_size is not None:
+        listed = list_documents(spark, path, keyword, folders, pattern).select("name").orderBy("name").offset(page * page_size).limit(page_size)
+        names = [r["name"] for r in listed.collect()]  # one page
+        asked = asked.where(F.col("name").isin(names)) if names else asked.limit(0)
+    return asked.select(*(fields or asked.columns)) if page_size is None else asked.orderBy("name").select(*(fields or asked.columns))
+
+
+def _asked(rows: DataFrame, name: str, keyword: str | None, folders: dict[str, Sequence[str]] | None) -> DataFrame:
+    for column, values in (folders or {}).items():
+        rows = rows.where(F.col(column).isin(list(values)))
+    return rows if keyword is None else rows.where(F.contains(F.col(name), F.lit(keyword)))
+
+
 def read_job_feed(spark: SparkSession, path: str, schema: StructType, keyword: str, row_tag: str = "job", other: str = "기타") -> DataFrame:
     """Postings of an XML feed: id from the job code, else from the id; without either left out; category "other" becomes the keyword."""
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
