@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from re import _parser as sre
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,19 +70,102 @@ def display_tokens(tags: Column, exact: dict[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: display_token(t, exact)), lambda t: t != "")))
 
 
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Words of two characters or more, in lower case, one of which is in every text that the pattern is found in; or None.
+
+    Runs of plain characters are read off the parsed pattern: what is optional, repeated from nothing, a class or a
+    look-around gives none, and of alternatives each must. Of several such sets the one with the longest words is taken.
+    """
+    try:
+        return _required(sre.parse(pattern))
+    except (re.error, OverflowError):  # what only the engine's own syntax knows is always run
+        return None
+
+
+def _required(items) -> frozenset[str] | None:
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        name = str(op)
+        plain = chr(value) if name == "LITERAL" else ""
+        if plain and (plain.isascii() or plain.lower() == plain.upper()):
+            run += plain.lower()
+            continue
+        if name == "AT":  # has no width
+            continue
+        if len(run) > 1:
+            found.append(frozenset({run}))
+        run, inner = "", None
+        if name == "SUBPATTERN":
+            inner = _required(value[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _required(value[-1])
+        elif name == "BRANCH":
+            each = [_required(branch) for branch in value[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
+
+
+def literal_trie(words: Iterable[str]) -> str:
+    """A pattern that finds the longest of the words from a place on, reading each character once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        return f"(?:{'|'.join(branches)})" + "?" * ("" in node)
+
+    return written(tree)
+
+
+#: Characters that a search without regard to case takes for a plain letter, and that letter.
+CASE_PAIRS = ("İıſK", "iisk")
+
+
+def by_patterns(text: Column, patterns: list[str], then: Callable[[list[Column]], Column]) -> Column:
+    """What `then` makes of the patterns' hits in the text, a condition for each; case is not minded, null holds nothing.
+
+    One scan finds the words of the text that patterns require, at every place the longest, which stands for the shorter
+    ones that begin there too. A pattern is run only where one of its words has come up; those that require none always.
+    """
+    body = F.coalesce(text, F.lit(""))
+    needs = [required_literals(p) for p in patterns]
+    words = sorted({w for ws in needs if ws for w in ws})
+    if not words:
+        return then([body.rlike(f"(?iu){p}") for p in patterns])
+    asked = {w: [k for k, ws in enumerate(needs) if ws and any(w.startswith(x) for x in ws)] for w in words}
+    folded = F.lower(F.translate(body, *CASE_PAIRS))
+    seen = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({literal_trie(words)}))"), F.lit(1)))
+    numbers = F.create_map(*[v for w, ks in asked.items() for v in (F.lit(w), F.array(*map(F.lit, ks)))])
+    candidates = F.array_distinct(F.flatten(F.transform(seen, lambda w: F.try_element_at(numbers, w))))
+    # bound by a lambda, so that the scan is made once and not for every pattern
+    made = F.transform(F.array(candidates), lambda c: then([(F.array_contains(c, k) if needs[k] else F.lit(True)) & body.rlike(f"(?iu){p}") for k, p in enumerate(patterns)]))
+    return F.get(made, 0)
+
+
 def dictionary_keywords(text: Column, patterns: dict[str, str]) -> Column:
     """Sorted names of the patterns that occur in the text; case does not matter."""
-    found = F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(f"(?iu){p}"), F.lit(name)) for name, p in patterns.items()])
+    found = by_patterns(text, list(patterns.values()), lambda hits: F.array(*[F.when(hit, F.lit(name)) for name, hit in zip(patterns, hits)]))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
 
 def first_category(title: Column, text: Column, patterns: list[tuple[str, str]], other: str) -> Column:
     """First pattern that the title holds, else first that the text holds, else `other`; an empty title is `other`."""
-    chain = F.when(F.coalesce(title, F.lit("")) == "", F.lit(other))
-    for column in (title, F.coalesce(text, F.lit(""))):
-        for name, p in patterns:
-            chain = chain.when(column.rlike(f"(?iu){p}"), F.lit(name))
-    return chain.otherwise(F.lit(other))
+    names, rules = [name for name, _ in patterns], [p for _, p in patterns]
+
+    def first(hits: list[Column], rest: Column) -> Column:
+        return F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in zip(names, hits)], rest)
+
+    of_text = by_patterns(text, rules, lambda hits: first(hits, F.lit(other)))
+    return F.when(F.coalesce(title, F.lit("")) == "", F.lit(other)).otherwise(F.coalesce(by_patterns(title, rules, lambda hits: first(hits, F.lit(None).cast("string"))), of_text))
 
 
 def split_compound(name: Column, parts: dict[str, list[str]]) -> Column:

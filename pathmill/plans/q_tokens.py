@@ -25,6 +25,18 @@ def t01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.dictionary_keywords(F.col("text"), PATTERNS), "|").alias("keywords"))
 
 
+#: A dictionary of 256 patterns: two syllables, in a word or parted, before a third.
+SYLLABLES = ["an", "ar", "de", "ei", "en", "er", "es", "ion", "le", "nd", "on", "re", "st", "te", "th", "ti"]
+MANY = {f"{a}-{b}": rf"{a}{b}th|{a} {b}th" for a in SYLLABLES for b in SYLLABLES}
+
+
+@query("t01_many_keywords", f"""
+    SELECT doc_id, array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN regexp_matches(text, '{p}', 'i') THEN '{n}' END" for n, p in MANY.items())}], lambda x: x IS NOT NULL)), '|') AS keywords FROM documents
+""")
+def t01_many(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.dictionary_keywords(F.col("text"), MANY), "|").alias("keywords"))
+
+
 @query("t02_display_tokens", """
     SELECT DISTINCT p_type AS tag, CASE lower(p_type) WHEN 'economy' THEN 'Low Cost' ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END AS display FROM part
 """)
