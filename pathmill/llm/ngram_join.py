@@ -24,10 +24,15 @@ BITS = 10
 HALF = 6
 #: Texts per block of the exact verification.
 BLOCK = 64
+#: Bytes of a text's sketch, one of a MinHash value each; texts that a task compares by them; and by how many deviations
+#: of what the sketches of two linked texts agree on they may fall short (one pair of 150,000 does).
+SKETCH = 256
+CROWD = 256
+DEVIATIONS = 4.35
 
 _RNG = np.random.default_rng(11)
-_FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_FACTORS = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _PATHS = np.stack([_RNG.permutation(HASHES)[: DEPTHS[0]] for _ in range(TREES)])
 
 
@@ -61,9 +66,9 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash values (texts, HASHES) of texts with at least one shingle each."""
+    """MinHash values (texts, SKETCH) of texts with at least one shingle each; paths are made of the first HASHES."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    out = np.empty((len(counts), HASHES), np.uint32)
+    out = np.empty((len(counts), SKETCH), np.uint32)
     for k, (f, o) in enumerate(zip(_FACTORS, _OFFSETS)):
         out[:, k] = np.minimum.reduceat(((hashes * f + o) >> np.uint64(32)).astype(np.uint32), starts)
     return out
@@ -85,11 +90,13 @@ def _sign(n: int):
                 hashes, counts = shingles([(t or "").encode() for t in pdf["body"]], n)
                 some = counts > 0
                 out = pd.DataFrame({"id": pdf["id"].astype("Int64"), "digest": pdf["digest"]})
-                found = paths(signatures(hashes, counts[some])) if some.any() else np.zeros((0, 2 * TREES), np.int64)
+                values = signatures(hashes, counts[some]) if some.any() else np.zeros((0, SKETCH), np.uint32)
+                found, sketch = paths(values), values.astype(np.uint8)
                 row = np.cumsum(some) - 1
                 ends = np.cumsum(counts).tolist()
                 out["shingles"] = [len(np.unique(hashes[e - c : e])) for e, c in zip(ends, counts.tolist())]
                 out["paths"] = [found[r] if s else None for r, s in zip(row, some)]
+                out["sketch"] = [sketch[r].tobytes() if s else None for r, s in zip(row, some)]
                 yield out
 
     return sign
@@ -263,7 +270,10 @@ def _verify_groups(similarity: float):
 
 
 def candidate_families(texts: DataFrame, similarity: float, target_recall: float) -> DataFrame:
-    """node, root: what hangs together by the prefixes that texts open in the forest; texts have node and paths."""
+    """node, root: what hangs together by probable links inside the prefixes that texts open in the forest.
+
+    texts have node, paths and sketch; a text without a probable link has no row.
+    """
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("paths", 2 * t).alias("high"), F.get("paths", 2 * t + 1).alias("low"))))
     entries = texts.where("paths is not null").select("node", tree.alias("tree", "path")).select("tree", "path.high", "path.low", "node")
     order = ["tree", "high", "low", "node"]
@@ -271,14 +281,68 @@ def candidate_families(texts: DataFrame, similarity: float, target_recall: float
     prefixes = matched.withColumn("depth", F.explode(F.filter(F.array(*map(F.lit, DEPTHS)), lambda d: d <= F.col("longest"))))
     rest = F.when(F.col("depth") > HALF, F.expr(f"shiftright(low, {BITS} * ({DEPTHS[0]} - depth))")).otherwise(F.lit(0).cast("long"))
     prefixes = cut(prefixes.select("node", "tree", "depth", F.xxhash64("tree", "depth", "high", rest).alias("key")))
-    crowds = cut(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("least")).where("texts > 1"))
-    counted = prefixes.join(crowds.select("key", "texts"), "key").repartition("node").sortWithinPartitions("node")
-    opened = cut(counted.mapInPandas(_shorten_sorted(similarity, target_recall), "key long").distinct().join(crowds.select("key", "least"), "key"))
-    # a text hangs on the least of its prefixes' least texts, and this one on the others: in a large family few pairs differ
-    hubs = prefixes.join(opened, "key").groupBy("node").agg(F.collect_set("least").alias("hubs"))  # a few per tree
-    own = hubs.select(F.col("node").alias("a"), F.array_min("hubs").alias("b"))
-    between = hubs.select(F.array_min("hubs").alias("a"), F.explode("hubs").alias("b"))
-    return components(own.unionByName(between).where("a <> b").distinct())
+    crowds = cut(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    counted = prefixes.join(crowds, "key").repartition("node").sortWithinPartitions("node")
+    opened = counted.mapInPandas(_shorten_sorted(similarity, target_recall), "key long").distinct()
+    return components(probable_links(prefixes.join(opened, "key").select("key", "node").distinct(), texts, similarity))
+
+
+def agreement(similarity: float) -> int:
+    """How many bytes the sketches of two texts of this similarity agree on, but for one pair of 150,000."""
+    equal = similarity + (1 - similarity) / 256  # other values may have the same byte
+    return math.floor(SKETCH * equal - DEVIATIONS * math.sqrt(SKETCH * equal * (1 - equal)))
+
+
+def _agreeing(least: int):
+    """Tasks that read whole groups (crowd, lo, hi) of texts and give each text's least partner by sketches."""
+
+    def of_group(nodes: np.ndarray, sketches: np.ndarray, block: np.ndarray) -> np.ndarray:
+        near = np.stack([(sketches == s).sum(axis=1) for s in sketches]) >= least
+        if block[0] != block[-1]:  # texts of one block meet in a group of their own
+            near &= block[:, None] != block[None, :]
+        label = nodes.copy()
+        while True:
+            lower = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (lower == label).all():
+                return label
+            label = lower
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in itertools.chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[["crowd", "lo", "hi"]].to_numpy(np.int64)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            whole = edges if batch is None else edges[:-1]  # the last group may go on
+            nodes, block = rows["node"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
+            sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
+            label = nodes.copy()
+            for i, j in zip(whole, whole[1:]):
+                label[i:j] = of_group(nodes[i:j], sketches[i:j], block[i:j])
+            part = slice(0, whole[-1])
+            joined = label[part] != nodes[part]
+            yield pd.DataFrame({"a": nodes[part][joined], "b": label[part][joined]})
+            held = rows.iloc[whole[-1] :]
+
+    return run
+
+
+def probable_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between texts of one crowd (key, node) whose sketches may be those of similar texts.
+
+    A chain of links joins all that do; they are no more than the crowd's texts, however many pairs are alike. Crowds of
+    the same texts are met once. A large crowd is dealt into blocks, and each two blocks meet in a group of their own.
+    """
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("y"))
+    crowds = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    # kept as a table, so that both sides of the next joins are shuffles of their own
+    placed = cut(members.join(crowds, "key").select(F.col("key").alias("crowd"), "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = others.select("crowd", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
+    met = dealt.join(texts.select("node", "sketch"), "node").repartition("crowd", "lo", "hi").sortWithinPartitions("crowd", "lo", "hi", "block")
+    return cut(met.select("crowd", "lo", "hi", "block", "node", "sketch").mapInPandas(_agreeing(agreement(similarity)), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target_recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +354,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target
 
     Equal texts are one class from the start, with their number of rows. Each distinct text has 32 paths of 12 values of
     its MinHash signature. The paths are range-sorted, a trie each, and neighbours in it give the longest prefix that a
-    text shares. From there each text shortens its prefixes until the target recall (see shorten), and what shares an
-    opened prefix is one family, without a filter between. In a family all pairs of texts are verified on their exact
+    text shares. From there each text shortens its prefixes until the target recall (see shorten). Texts that share an
+    opened prefix are compared by sketches of 256 MinHash bytes; those that may be similar, but for one linked pair of
+    150,000, hang together and chains of them are a family. In a family all pairs of texts are verified on their exact
     shingle sets, in blocks of 64 by 64 texts; only blocks whose set sizes are so far apart that no pair can be similar
-    are not met. So no link inside a family depends on signatures.
+    are not met. So what texts have in common by a template, far from similar as they are, makes no family.
 
     A text of fewer than n words has all its words as its one shingle; a text without words, or null, has none and is
     linked to equal texts only (null counts as empty). Null ids and rows that repeat an id are rows of their own; a
@@ -302,10 +367,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, target
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.col(text_col).alias("body"))
-    signed = rows.mapInPandas(_sign(n), "id long, digest string, shingles long, paths array<long>")
+    signed = rows.mapInPandas(_sign(n), "id long, digest string, shingles long, paths array<long>, sketch binary")
     texts = cut(
         signed.groupBy("digest")
-        .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("paths").alias("paths"))
+        .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     families = candidate_families(texts, similarity, target_recall)

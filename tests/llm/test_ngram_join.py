@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pathmill.llm import ngram_join
+from pathmill.llm import ngram_join as J
 from pathmill.llm.components import components
 
 SCHEMA = "node string, doc_id long, text string"
@@ -129,3 +131,42 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[101] == got[102] == 100
+
+
+@pytest.mark.parametrize("common", [100, 140])
+def test_a_common_template_makes_no_family(spark, common):
+    """Texts of 200 words that share half or more, every pair at a Jaccard similarity of 0.32 or 0.53: no link."""
+    rng = np.random.default_rng(common)
+    template = [f"t{k}" for k in range(common)]
+    rows = [(k, " ".join([*template, *(f"w{x}" for x in rng.integers(0, 1 << 40, 200 - common))])) for k in range(1500)]
+    rows += [(5000 + k, rows[k][1] + " more") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = docs.selectExpr("doc_id AS id", "md5(cast(text AS binary)) AS digest", "text AS body").mapInPandas(J._sign(5), "id long, digest string, shingles long, paths array<long>, sketch binary")
+    families = J.candidate_families(signed.withColumn("node", F.col("id")), 0.8, 0.999)
+    assert families.count() <= 50 and families.groupBy("root").count().agg({"count": "max"}).first()[0] <= 4
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.near_duplicates(docs).collect()}
+    assert {k: v for k, v in found.items() if v != (k, 0)} == {k: (k % 5000, 1) for k in [*range(20), *range(5000, 5020)]} | {k: (k, 1) for k in range(20)}
+
+
+def test_large_crowds_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, sketches = [], rng.integers(0, 256, (6, J.SKETCH)).astype(np.uint8)
+    for k in range(40):
+        s = sketches[k % 6].copy()
+        s[rng.integers(0, J.SKETCH, 10)] = 7
+        rows.append((k, bytes(s)))
+    monkeypatch.setattr(J, "CROWD", 5)
+    texts = spark.createDataFrame(rows, "node long, sketch binary")
+    members = texts.select(F.lit(1).cast("long").alias("key"), "node").unionByName(texts.select(F.lit(2).cast("long").alias("key"), "node"))
+    roots = {r["node"]: r["root"] for r in J.components(J.probable_links(members, texts, 0.8)).collect()}
+    assert roots == {k: k % 6 for k in range(40)}
+
+
+def test_sketches_of_linked_texts_agree():
+    rng = np.random.default_rng(5)
+    least = J.agreement(0.8)
+    for _ in range(30):
+        a = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+        b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 100).astype(np.uint64)])  # 800 of 1,000
+        x, y = J.signatures(np.concatenate([a, b]), np.array([900, 900])).astype(np.uint8)
+        assert (x == y).sum() >= least
