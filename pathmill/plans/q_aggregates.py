@@ -224,11 +224,11 @@ def a21(spark, d):
     return A.unique_names(rows, "name", "suffix", "p_partkey").select("p_partkey", "new_name")
 
 
-@query("a22_catalog_gaps", "SELECT s_suppkey, CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 45) THEN 'not sold' ELSE 'college left out' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 45)")
+@query("a22_catalog_gaps", "SELECT s_suppkey, CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey * 3 = s_suppkey) THEN 'not sold' ELSE 'college left out' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey * 3 = s_suppkey)")
 def a22(spark, d):
-    """The filter sets up the case: suppliers without a line of a rare kind count as not sold."""
+    """Lines name every third supplier, so that the others count as not sold."""
     listed = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
-    sold = table(spark, d, "lineitem").where("l_discount >= 0.1 and l_tax >= 0.08 and l_quantity >= 45").select(F.col("l_suppkey").alias("s_suppkey"), F.lit(True).alias("sold")).distinct()
+    sold = table(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("s_suppkey"), F.lit(True).alias("sold")).distinct()
     rows = listed.join(sold, "s_suppkey", "left").where("n_regionkey = 0 or sold is null")
     return rows.select("s_suppkey", F.when(F.col("sold").isNull(), "not sold").otherwise("college left out").alias("reason"))
 
