@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int
     """One row per input row: id_col, size, source_size, target, taken, and the columns that `carry` names.
 
     Words are dealt in blocks of `block_words`. Sainte-Lague gives each source its number of blocks from the targets,
-    then each shard of a source (by a seeded MD5 of the id; the more documents, the more shards) its number of blocks
+    then each shard of a source (by a seeded MD5 of id and text, so rows with null ids or one id are spread; the more documents, the more shards) its number of blocks
     from the shard's words. Inside a shard the documents stand in seeded order, repeated as often as needed, and are cut
     into blocks; the shard's quota of blocks is taken in this seeded order, so a document's take is its words per full
     pass plus its overlap with the last, partial pass. No document exceeds `cap` times its size. Everything is a function
@@ -99,8 +99,8 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = 32, cap: int
     empty result; other columns are ignored.
     """
     carried = [f"_carry{k}" for k in range(len(carry))]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(name) for c, name in zip(carry, carried)])
-    rows = cut(rows.withColumn("hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("hash"), *[F.col(c).alias(name) for c, name in zip(carry, carried)])
+    rows = cut(rows.withColumn("hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), "hash"))))
     targets = cut(source_targets(rows, float(cap)).withColumn("party", F.col("rank")))
     whole = targets.agg(F.sum("source_size")).first()[0] or 0
     by_source = cut(apportion(targets, [], "target", F.lit(whole // block_words), "blocks"))

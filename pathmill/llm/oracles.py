@@ -108,7 +108,7 @@ def _apportion(name: str, table: str, key: str, votes: str, seats: str) -> str:
 def mixing(seed: int, block: int, cap: int, shard_rows: int, most_digits: int) -> str:
     digits = "CASE " + " ".join(f"WHEN source_rows <= {shard_rows * 16**d} THEN {d}" for d in range(1, most_digits)) + f" ELSE {most_digits} END"
     return f"""
-    WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('{seed}:' || doc_id) AS hash FROM documents),
+    WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('{seed}:' || doc_id || ':' || md5(coalesce(text, ''))) AS hash FROM documents),
     src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS party FROM src),
     w AS (SELECT *, party % 3 + 1 AS weight, source_size * {cap}::DOUBLE AS most FROM r),
