@@ -61,12 +61,13 @@ NEGATIVES = """
 """
 
 
-def quality(fences: dict[str, int], counts: dict[str, tuple[str, str]], gamma: float, min_rows: int, symbols: str) -> str:
+def quality(fences: dict[str, int], counts: dict[str, tuple[str, str]], gamma: float, prior: int, symbols: str) -> str:
     pulled = ", ".join(f"'{name}'" for name in fences)
     values = ", ".join(fences)
     buckets = ", ".join(f"floor(ln(greatest(1, 1000000 * ({part} + 1) // ({whole} + 1))::DOUBLE) / ln({gamma}::DOUBLE))::INT AS {name}" for name, (part, whole) in counts.items())
     factor = " ".join(f"WHEN '{name}' THEN {fence}" for name, fence in fences.items())
-    chosen = f"CASE WHEN o.n >= {min_rows} THEN o.top WHEN l.n >= {min_rows} THEN l.top ELSE a.top END"
+    of_lang = f"((l.n * l.top + {prior} * a.top) // (l.n + {prior}))"
+    chosen = f"(o.n * o.top + {prior} * {of_lang}) // (o.n + {prior})"
     limits = ", ".join(f"max(CASE WHEN feature = '{name}' THEN top END) AS max_{name}" for name in fences)
     within = " AND ".join(f"{name} <= max_{name}" for name in fences)
 

@@ -21,8 +21,8 @@ GAMMA = 1.05
 #: length, so quartiles of a rare event do not coincide, and one event in a short text is nothing unusual.
 FENCES = {"symbols": 3, "dup_lines": 5, "repeats": 5, "word_length": 4}
 COUNTS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
-#: Groups of fewer rows take the merged sketch of their language; languages of fewer rows that of all rows.
-MIN_ROWS = 100
+#: How many rows the merged sketch counts for beside a group's own: of all rows beside a language, of it beside a source.
+PRIOR_ROWS = 100
 
 
 def base_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -96,19 +96,23 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """lang, source, limits, level (source, language or all): each group's limits, from the first sketch with MIN_ROWS."""
+    """lang, source, limits: each group's limits, drawn towards those of its language, and these towards those of all.
+
+    A limit is the mean of the group's and the merged sketch's, in whole buckets, the group's weighted by its rows and the
+    other by PRIOR_ROWS: a group of few rows has nearly its language's limit, one of many its own, without a step between.
+    """
+
+    def drawn(rows: str, own: str, prior: str) -> Column:
+        mean = lambda name: F.expr(f"cast(({rows} * {own}.{name} + {PRIOR_ROWS} * {prior}.{name}) div ({rows} + {PRIOR_ROWS}) as int)").alias(name)
+        return F.struct(*[mean(name) for name in FENCES])
+
     own = fences(sketch, [lang, source])
-    by_lang = fences(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_lang"), F.col("rows").alias("_rows"), F.col("limits").alias("_limits"))
     first = fences(merged(sketch, []), []).select("limits.*").first()  # a number per feature
     everything = F.struct(*[F.lit(first[name]).cast("int").alias(name) for name in FENCES])
+    by_lang = fences(merged(sketch, [lang]), [lang]).withColumn("all", everything)
+    by_lang = by_lang.select(F.col(lang).alias("_lang"), drawn("rows", "limits", "all").alias("_limits"))
     joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")))
-    few, few_lang = F.col("rows") < MIN_ROWS, F.col("_rows") < MIN_ROWS
-    return joined.select(
-        lang,
-        source,
-        F.when(~few, F.col("limits")).when(~few_lang, F.col("_limits")).otherwise(everything).alias("limits"),
-        F.when(~few, "source").when(~few_lang, "language").otherwise("all").alias("level"),
-    )
+    return joined.select(lang, source, drawn("rows", "limits", "_limits").alias("limits"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -117,8 +121,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed: fewer than 50 words, or over half of the words inside repeated 3-word windows. Of the others a row is
     kept if its symbols, duplicate lines, repeated words and characters per word are all within its group's thresholds;
     a row at a threshold stays. A group is a language and source, null being a group as any other. No cutoff is fixed:
-    each threshold comes from the sketch of the group's rows that pass the base rules, and where these are few, from the
-    merged sketch of the language or of all rows. Sketches grow with the range of values and not with the rows. Windows
+    each threshold comes from the sketch of the group's rows that pass the base rules, drawn towards that of its language
+    the more the fewer they are. Sketches grow with the range of values and not with the rows. Windows
     and lines of a text are compared by 64-bit hash and by value. Null and empty texts have no words and fail; rows that
     repeat an id are judged each for itself; an empty table gives an empty result; other columns are ignored.
     """

@@ -104,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING,
     "op3_exact_dedup": oracles.EXACT,
-    "op6_quality_rules": oracles.quality(quality.FENCES, quality.COUNTS, quality.GAMMA, quality.MIN_ROWS, quality.SYMBOLS),
+    "op6_quality_rules": oracles.quality(quality.FENCES, quality.COUNTS, quality.GAMMA, quality.PRIOR_ROWS, quality.SYMBOLS),
     "op9_source_mixing": oracles.mixing(17, 32, 3, mixing.SHARD_ROWS, mixing.MOST_DIGITS),
     "op10_line_dedup": oracles.LINES,
     "op11_spelling_variants": oracles.SPELLING,

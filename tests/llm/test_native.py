@@ -131,13 +131,13 @@ def test_quality_thresholds(spark):
 
 
 def test_quality_sketches(spark):
-    """Thresholds are those of exact quantiles over the buckets; small groups take the language's, then everyone's."""
+    """Limits are those of exact quantiles over the buckets, drawn towards the language's and these towards everyone's."""
     rng = random.Random(7)
     sizes = {("en", "a"): 150, ("en", "b"): 20, ("de", None): 30, (None, "c"): 120}
     rows = [(*g, *(rng.randint(0, 30) * k for k in range(1, 5))) for g, n in sizes.items() for _ in range(n)]
     names = list(quality.FENCES)
     frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} int" for n in names)).repartition(5)
-    got = {(r["lang"], r["source"]): (r["level"], *(r["limits"][n] for n in names)) for r in quality.thresholds(quality.sketches(frame, ["lang", "source"]), "lang", "source").collect()}
+    got = {(r["lang"], r["source"]): tuple(r["limits"][n] for n in names) for r in quality.thresholds(quality.sketches(frame, ["lang", "source"]), "lang", "source").collect()}
 
     def plain(some):
         out = []
@@ -147,9 +147,14 @@ def test_quality_sketches(spark):
             out.append(at(2) + quality.FENCES[name] * max(1, at(3) - at(1)))
         return tuple(out)
 
-    assert got["en", "a"] == ("source", *plain([r for r in rows if r[:2] == ("en", "a")]))
-    assert got["en", "b"] == ("language", *plain([r for r in rows if r[0] == "en"]))
-    assert got["de", None] == ("all", *plain(rows)) and got[None, "c"][0] == "source"
+    def drawn(own, rows, prior):
+        return tuple((rows * x + quality.PRIOR_ROWS * y) // (rows + quality.PRIOR_ROWS) for x, y in zip(own, prior))
+
+    everyone = plain(rows)
+    for g, n in sizes.items():
+        of_lang = [r for r in rows if r[0] == g[0]]
+        assert got[g] == drawn(plain([r for r in rows if r[:2] == g]), n, drawn(plain(of_lang), len(of_lang), everyone))
+    assert len(set(got.values())) == 4
     halves = [quality.sketches(frame.where(f"symbols % 2 = {k}"), ["lang", "source"]) for k in (0, 1)]
     parts = lambda s: sorted(map(str, s.collect()))
     assert parts(quality.merged(halves[0].unionByName(halves[1]), ["lang", "source"])) == parts(quality.sketches(frame, ["lang", "source"]))
