@@ -34,7 +34,7 @@ class Encoder(dict):
     model, which takes bytes as letters. They are remembered in two generations of LIMIT pre-tokens: when the younger one is full the older one goes.
     """
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __init__(self, name: str):
         import public_tokenizers
