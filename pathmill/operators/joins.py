@@ -70,7 +70,7 @@ def merge_membership(rows: DataFrame, members: DataFrame, key: str, tag: str) ->
 
 
 def bind_texts(pairs: DataFrame, texts: DataFrame, key: str, composed: Column) -> DataFrame:
-    """pairs with `text`: the first text given under the pair's key, else a composed sentence; unknown keys are dropped."""
+    """pairs with `text`: the first text given under the pair's key (of texts in one place the least), else a composed sentence; unknown keys are dropped."""
     first = texts.groupBy(key).agg(F.min(F.struct("ord", "text"))["text"].alias("text"))
     return pairs.join(first, key, "left").withColumn("text", F.coalesce("text", composed))
 

@@ -125,7 +125,7 @@ def j15(spark, d):
     return J.merge_membership(rows, members, "key", "tag")
 
 
-@query("j16_bound_texts", "WITH f AS (SELECT l_partkey, arg_min(l_shipdate::VARCHAR, (l_orderkey, l_linenumber)) AS text FROM lineitem GROUP BY 1) SELECT p_partkey, coalesce(text, p_name || ' of ' || p_brand) AS text FROM part LEFT JOIN f ON l_partkey = p_partkey")
+@query("j16_bound_texts", "WITH f AS (SELECT l_partkey, arg_min(l_shipdate::VARCHAR, (l_orderkey, l_linenumber, l_shipdate)) AS text FROM lineitem GROUP BY 1) SELECT p_partkey, coalesce(text, p_name || ' of ' || p_brand) AS text FROM part LEFT JOIN f ON l_partkey = p_partkey")
 def j16(spark, d):
     texts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("text"))
     return J.bind_texts(table(spark, d, "part"), texts, "p_partkey", F.concat("p_name", F.lit(" of "), "p_brand")).select("p_partkey", "text")

@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pathmill.lineage import cut
 from pathmill.operators import aggregates as A
 from pathmill.operators import coverage as C
 from pathmill.operators import graphs as G
@@ -16,6 +19,7 @@ from pathmill.operators import planning as L
 from pathmill.operators import text as X
 from pathmill.operators import tokens as O
 from pathmill.plans.recommend import recommend
+from pathmill.registry import ORACLE_SQL
 from pathmill.sources import readers, writers
 
 TRACK = "track_id string, college_id string, department_id string, course_ids array<string>, tech array<string>"
@@ -150,6 +154,16 @@ def test_homonyms(spark):
     assert [r["needs"] for r in edges.collect()] == ["V020014"] and [r["name"] for r in misses.collect()] == ["없는과목"]
 
 
+def test_texts_in_one_place(spark):
+    texts = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 1, "0")], "k int, ord int, text string")
+    assert J.bind_texts(spark.createDataFrame([(1,), (2,)], "k int"), texts, "k", F.lit("made")).orderBy("k").select("text").collect() == [("a",), ("made",)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT 1 AS p_partkey, 'n' AS p_name, 'b' AS p_brand")
+    for days in ((2, 1), (1, 2)):  # two lines of one number, in either order
+        c.execute("CREATE OR REPLACE TABLE lineitem AS SELECT 1 AS l_partkey, 5 AS l_orderkey, 1 AS l_linenumber, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * unnest(?) AS l_shipdate", [list(days)])
+        assert c.execute(ORACLE_SQL["j16_bound_texts"]).fetchall() == [(1, "2024-01-02 00:00:00")]
+
+
 def test_first_of_equals(spark):
     rows = spark.createDataFrame([("a", 1, 2), ("a", 1, 1), ("a", 0, 0), (None, 5, 3)], "k string, at int, ord int")
     assert [r["ord"] for r in A.latest_per_key(rows, "k", "at", "ord").collect()] == [1]
