@@ -29,12 +29,19 @@ def resolve_names(courses: DataFrame, wanted: DataFrame, key: Column) -> tuple[D
     """Edges (course_id, needs, ord) and misses (course_id, name) of prerequisite names.
 
     courses: course_id, course_name, track_ids, ord; wanted: course_id, name, ord. Of the courses with the name's key, not
-    the course itself, the one that shares most tracks is taken, the first in the catalog of equals.
+    the course itself, the one that shares most tracks is taken, the first in the catalog of equals. Courses of one key
+    and the same tracks are a class: its first two stand for it, as the course itself may be the first. Classes meet
+    classes, and each course asks its own class for the two best, so courses of a frequent name never meet one by one.
     """
-    keyed = courses.select(F.col("course_id").alias("needs"), "course_name", F.col("track_ids").alias("t2"), F.col("ord").alias("catalog_ord")).withColumn("key", key("course_name")).drop("course_name")
-    rows = wanted.withColumn("key", key("name")).join(courses.select("course_id", F.col("track_ids").alias("t1")), "course_id")
-    met = rows.join(keyed, "key").where("needs <> course_id").withColumn("shared", F.size(F.array_intersect("t1", "t2")))
-    best = met.withColumn("_rn", F.row_number().over(Window.partitionBy("course_id", "ord").orderBy(F.desc("shared"), "catalog_ord"))).where("_rn = 1")
+    first_two = lambda rows, by, *order: rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn <= 2").drop("_rn")
+    tracks = F.array_sort(F.array_distinct("track_ids"))
+    keyed = courses.select(key("course_name").alias("key"), tracks.alias("t2"), F.col("course_id").alias("needs"), F.col("ord").alias("at")).groupBy("key", "t2", "needs").agg(F.min("at").alias("at"))
+    classes = first_two(keyed, ["key", "t2"], "at", "needs")
+    own = courses.select("course_id", F.coalesce(tracks, F.array().cast(courses.schema["track_ids"].dataType)).alias("t1"))
+    rows = wanted.withColumn("key", key("name")).join(own, "course_id").select("course_id", "ord", "key", "t1")
+    met = rows.select("key", "t1").distinct().join(classes, "key").withColumn("shared", F.size(F.array_intersect("t1", "t2")))
+    two = first_two(met, ["key", "t1"], F.desc("shared"), "at", "needs").select("key", "t1", "needs", "shared", "at")
+    best = rows.join(two, ["key", "t1"]).where("needs <> course_id").withColumn("_rn", F.row_number().over(Window.partitionBy("course_id", "ord").orderBy(F.desc("shared"), "at", "needs"))).where("_rn = 1")
     edges = best.groupBy("course_id", "needs").agg(F.min("ord").alias("ord"))
     return edges, wanted.join(best.select("course_id", "ord"), ["course_id", "ord"], "left_anti").select("course_id", "name")
 

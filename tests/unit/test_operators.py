@@ -154,6 +154,22 @@ def test_homonyms(spark):
     assert [r["needs"] for r in edges.collect()] == ["V020014"] and [r["name"] for r in misses.collect()] == ["없는과목"]
 
 
+def test_names_that_many_courses_share(spark):
+    rng = random.Random(5)
+    rows = [(f"X{k:03d}", rng.choice(["a", "b", "c"]), rng.sample(range(4), rng.randint(0, 3)), (k * 7) % 120) for k in range(120)]
+    courses = spark.createDataFrame(rows, "course_id string, course_name string, track_ids array<int>, ord int")
+    asked = [(c, rng.choice(["A", "B", "none"]), at) for c, *_ in rows for at in (0, 1)]
+    edges, misses = J.resolve_names(courses, spark.createDataFrame(asked, "course_id string, name string, ord int"), F.lower)
+    own = {c: set(t) for c, _, t, _ in rows}
+    best = lambda c, name: min(((-len(own[c] & own[x]), at, x) for x, n, _, at in rows if n == name.lower() and x != c), default=(0, 0, None))[2]
+    assert {(r["course_id"], r["needs"]) for r in edges.collect()} == {(c, best(c, n)) for c, n, _ in asked if best(c, n)}
+    assert sorted((r["course_id"], r["name"]) for r in misses.collect()) == sorted((c, n) for c, n, _ in asked if not best(c, n))
+    # 20,000 courses of one name are 200 million pairs
+    many = spark.range(20_000).select(F.col("id").alias("course_id"), F.lit("n").alias("course_name"), F.array(F.col("id") % 3).alias("track_ids"), F.col("id").alias("ord"))
+    found = J.resolve_names(many, many.select("course_id", F.lit("N").alias("name"), "ord"), F.lower)[0].observe(seen := Observation(), F.count(F.lit(1)).alias("n"))
+    assert found.where("needs <> if(course_id < 3, course_id + 3, course_id % 3)").count() == 0 and seen.get["n"] == 20_000
+
+
 def test_texts_in_one_place(spark):
     texts = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 1, "0")], "k int, ord int, text string")
     assert J.bind_texts(spark.createDataFrame([(1,), (2,)], "k int"), texts, "k", F.lit("made")).orderBy("k").select("text").collect() == [("a",), ("made",)]
