@@ -180,6 +180,17 @@ def test_texts_in_one_place(spark):
         assert c.execute(ORACLE_SQL["j16_bound_texts"]).fetchall() == [(1, "2024-01-02 00:00:00")]
 
 
+def test_owners_share_what_a_seed_needs(spark, monkeypatch):
+    seeds = spark.createDataFrame([(o, n) for o in range(60) for n in (8, 9)] + [(1, 30)], "owner long, node long")
+    edges = spark.createDataFrame([(k, k // 2) for k in range(2, 20)] + [(1, 8), (30, 99)], "node long, needs long")
+    known = spark.range(31).withColumnRenamed("id", "node")
+    kept = []
+    monkeypatch.setattr(G, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = G.closure(seeds, edges, known)
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(o, n) for o in range(60) for n in (1, 2, 4, 8, 9)] + [(1, 30)])
+    assert sum(df.count() for df in kept) <= 10  # of three seeds, not of 121
+
+
 def test_first_of_equals(spark):
     rows = spark.createDataFrame([("a", 1, 2), ("a", 1, 1), ("a", 0, 0), (None, 5, 3)], "k string, at int, ord int")
     assert [r["ord"] for r in A.latest_per_key(rows, "k", "at", "ord").collect()] == [1]
