@@ -154,6 +154,21 @@ def test_homonyms(spark):
     assert [r["needs"] for r in edges.collect()] == ["V020014"] and [r["name"] for r in misses.collect()] == ["없는과목"]
 
 
+def test_plans_from_lists_are_those_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "STUDENTS", 4)
+    rng = random.Random(2)
+    listed = [(t, f"P{n:02d}", rng.choice([0.4, 0.6]), rng.randint(2, 3), sorted(rng.sample(range(1, 5), 2)), [f"P{n // 2:02d}"] if n % 3 == 0 else []) for t in range(3) for n in sorted(rng.sample(range(60), 30))]
+    people = [(f"S{k}", 0 if k < 9 else k % 3, 1 + k % 8, [f"P{n:02d}" for n in rng.sample(range(60), 9)], [f"P{n:02d}" for n in rng.sample(range(60), 6)]) for k in range(20)]
+    listings = spark.createDataFrame(listed, "track int, course_id string, base double, credits int, grades array<int>, prereqs array<string>")
+    students = spark.createDataFrame(people, "student_id string, track int, current_semester int, shared array<string>, done array<string>")
+    rows = students.join(listings, "track").withColumn("score", F.col("base") + F.when(F.array_contains("shared", F.col("course_id")), 0.4).otherwise(0.0)).withColumns({"priority": F.lit(1), "course_type": F.lit("any")})
+    done = students.select("student_id", F.explode("done").alias("course_id"))
+    wanted = L.plan_semesters(L.order_candidates(rows.drop("current_semester", "done"), done, ["any"]), students.drop("done"), done)
+    found = L.plan_listed(students, listings)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() > 20
+    assert found._jdf.queryExecution().analyzed().toString().count("FlatMapCoGroupsInPandas") == 1
+
+
 def test_names_that_many_courses_share(spark):
     rng = random.Random(5)
     rows = [(f"X{k:03d}", rng.choice(["a", "b", "c"]), rng.sample(range(4), rng.randint(0, 3)), (k * 7) % 120) for k in range(120)]
