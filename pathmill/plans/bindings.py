@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.session import table
+from pathmill.session import parts_of, table
 
 TRACK_ID = "'T' || lpad(cast({0} as varchar), 6, '0')"
 COURSE_ID = "'P' || lpad(cast({0} as varchar), 7, '0')"
@@ -58,8 +58,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("token"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    n = parts_of(spark, sf_dir, "lineitem")
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines.repartition(n, "l_partkey")
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .repartition(n, "l_orderkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderpriority").alias("category"), "token")
         .distinct()
