@@ -8,9 +8,9 @@ from pathmill.lineage import cut
 from pathmill.operators import coverage as C
 from pathmill.operators.aggregates import top_tokens
 from pathmill.plans.bindings import COURSES_SQL, POSTINGS_SQL, coded, courses, postings
-from pathmill.plans.q_planning import done
+from pathmill.plans.q_planning import course_lists, done
 from pathmill.registry import query
-from pathmill.session import table
+from pathmill.session import parts_of, table
 
 CAP = 6
 COVERAGE_SQL = f"""{COURSES_SQL}, {POSTINGS_SQL.lstrip()},
@@ -29,28 +29,29 @@ COVERAGE_SQL = f"""{COURSES_SQL}, {POSTINGS_SQL.lstrip()},
         SELECT p.student_id, p.course_id, count(t.key) AS added, coalesce(count(t.key) / any_value(required)::DOUBLE, 0) AS ratio FROM planned p LEFT JOIN course_tokens c USING (course_id) LEFT JOIN targets t ON t.student_id = p.student_id AND t.key = c.key AND NOT t.done LEFT JOIN need n ON n.student_id = p.student_id GROUP BY ALL))"""
 
 
-def _course_lists(spark, d, status):
-    lines, orders = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "orders").where(F.col("o_orderstatus") == status)
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(coded("S", 7, "o_custkey").alias("student_id"), coded("P", 7, "l_partkey").alias("course_id")).distinct()
-
-
-def parts(spark, d):
+def offers(spark, d):
+    """The jobs' tokens, and every student's jobs."""
     top = cut(top_tokens(postings(spark, d), "category", "posting_id", "token", 14, 0))
     words = top.select("category").distinct().withColumn("token", F.explode(F.array(*map(F.lit, ("red", "bolt", "zinc")))))
     job_tokens = top.select("category", "token").unionByName(words).select(F.col("category").alias("job_id"), F.col("token").alias("key"), F.upper("token").alias("display"))
     number = F.substring("job_id", 1, 1).cast("int")
     jobs = table(spark, d, "customer").select("c_custkey").join(job_tokens.select("job_id").distinct())
     jobs = jobs.select(coded("S", 7, "c_custkey").alias("student_id"), "job_id", ((F.col("c_custkey") * 7 + number * 13) % 10).alias("score"), number.alias("ord"))
-    planned = _course_lists(spark, d, "O")
+    return jobs, job_tokens
+
+
+def parts(spark, d):
+    jobs, job_tokens = offers(spark, d)
+    planned = course_lists(spark, d, "O")
     course_tokens = courses(spark, d).select("course_id", F.explode("tokens").alias("key"))
-    reach = cut(C.reachable_tokens(done(spark, d), planned, course_tokens))
+    reach = cut(C.reachable_tokens(done(spark, d), planned, course_tokens, parts_of(spark, d, "lineitem")))
     anchors = C.anchor_jobs(jobs)
     return {"jobs": jobs, "job_tokens": job_tokens, "planned": planned, "course_tokens": course_tokens, "reach": reach, "anchors": anchors, "targets": C.target_tokens(anchors, job_tokens, reach, CAP)}
 
 
 @query("r20_anchor_job", f"WITH {COVERAGE_SQL} SELECT student_id, job_id FROM anchors")
 def r20(spark, d):
-    return parts(spark, d)["anchors"]
+    return C.anchor_jobs(offers(spark, d)[0])
 
 
 @query("r21_target_tokens", f"WITH {COVERAGE_SQL} SELECT student_id, key, done, freq FROM targets")

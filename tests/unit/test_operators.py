@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pathmill import registry, session
 from pathmill.lineage import cut
 from pathmill.operators import aggregates as A
 from pathmill.operators import coverage as C
@@ -18,8 +19,8 @@ from pathmill.operators import pairs as P
 from pathmill.operators import planning as L
 from pathmill.operators import text as X
 from pathmill.operators import tokens as O
+from pathmill.plans import bindings, q_planning
 from pathmill.plans.recommend import recommend
-from pathmill.registry import ORACLE_SQL
 from pathmill.sources import readers, writers
 
 TRACK = "track_id string, college_id string, department_id string, course_ids array<string>, tech array<string>"
@@ -169,6 +170,20 @@ def test_plans_from_lists_are_those_of_rows(spark, monkeypatch):
     assert found._jdf.queryExecution().analyzed().toString().count("FlatMapCoGroupsInPandas") == 1
 
 
+def test_tasks_grow_in_number_with_the_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).select(F.col("id").alias("l_orderkey"), (F.col("id") % 9).alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit("low").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(9).select(F.col("id").alias("p_partkey"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    for each, tasks in ((100, 10), (25, 40)):
+        monkeypatch.setattr(session, "TASK_ROWS", each)
+        found = q_planning.course_lists(spark, str(tmp_path), "F")
+        assert found.rdd.getNumPartitions() == bindings.postings(spark, str(tmp_path)).rdd.getNumPartitions() == tasks
+        assert found.count() == 90 and bindings.postings(spark, str(tmp_path)).count() == 1000
+        tokens = spark.createDataFrame([("P0000001", "a"), ("P0000001", "b"), ("P0000002", "a")], "course_id string, key string")
+        reach = [sorted(map(tuple, C.reachable_tokens(found, found, tokens, n).collect())) for n in (None, tasks)]
+        assert reach[0] == reach[1] and len(reach[0]) == 30
+
+
 def test_names_that_many_courses_share(spark):
     rng = random.Random(5)
     rows = [(f"X{k:03d}", rng.choice(["a", "b", "c"]), rng.sample(range(4), rng.randint(0, 3)), (k * 7) % 120) for k in range(120)]
@@ -192,7 +207,7 @@ def test_texts_in_one_place(spark):
     c.execute("CREATE TABLE part AS SELECT 1 AS p_partkey, 'n' AS p_name, 'b' AS p_brand")
     for days in ((2, 1), (1, 2)):  # two lines of one number, in either order
         c.execute("CREATE OR REPLACE TABLE lineitem AS SELECT 1 AS l_partkey, 5 AS l_orderkey, 1 AS l_linenumber, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * unnest(?) AS l_shipdate", [list(days)])
-        assert c.execute(ORACLE_SQL["j16_bound_texts"]).fetchall() == [(1, "2024-01-02 00:00:00")]
+        assert c.execute(registry.ORACLE_SQL["j16_bound_texts"]).fetchall() == [(1, "2024-01-02 00:00:00")]
 
 
 def test_owners_share_what_a_seed_needs(spark, monkeypatch):
