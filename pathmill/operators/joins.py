@@ -57,10 +57,14 @@ def official_or_alias(wanted: DataFrame, official: DataFrame, aliases: DataFrame
     return catalog.join(lists, "course", "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
 
 
-def in_request_order(requests: DataFrame, cards: DataFrame, key: str) -> DataFrame:
-    """request_id, place, cards' columns: cards of the requested keys in order; repeated keys once, unknown ones not."""
-    first = requests.select("request_id", F.posexplode("wanted").alias("pos", key)).groupBy("request_id", key).agg(F.min("pos").alias("pos"))
-    return first.join(cards, key).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("pos", "card"))).drop("pos")
+def in_request_order(requests: DataFrame, cards: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """request_id, place, cards' columns: cards of the requested keys in order; repeated keys once, unknown ones not.
+
+    A list names a key where it stands first, so that nothing is grouped; `parts` tasks, if given, share the rows of each step.
+    """
+    dealt = lambda df, by: df.repartition(parts, by) if parts else df
+    first = requests.select("request_id", F.explode(F.array_distinct("wanted")).alias(key), "wanted").withColumn("pos", F.array_position("wanted", F.col(key)) - 1).drop("wanted")
+    return dealt(dealt(first, key).join(cards, key), "request_id").withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("pos", "card"))).drop("pos")
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, token: str) -> DataFrame:

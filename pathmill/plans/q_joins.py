@@ -9,7 +9,7 @@ from pathmill.operators import joins as J
 from pathmill.operators.tokens import first_seen
 from pathmill.plans.bindings import JOBS_SQL, TRACKS_SQL, courses, jobs, tracks
 from pathmill.registry import query
-from pathmill.session import table
+from pathmill.session import parts_of, table
 
 
 @query("j01_not_collected", "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error' AND (user_id, event_type) NOT IN (SELECT (user_id, 'click') FROM events WHERE value > 60)")
@@ -108,8 +108,9 @@ def j12(spark, d):
 """)
 def j13(spark, d):
     wanted = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey")).otherwise(-F.col("l_partkey"))  # every second id is unknown
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", wanted.alias("id")))), lambda x: x["id"]).alias("wanted"))
-    return J.in_request_order(lines, table(spark, d, "part").select("p_partkey", F.col("p_size").alias("card")), "p_partkey")
+    n = parts_of(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", wanted.alias("id")))), lambda x: x["id"]).alias("wanted"))
+    return J.in_request_order(lines, table(spark, d, "part").select("p_partkey", F.col("p_size").alias("card")), "p_partkey", n)
 
 
 @query("j14_token_overlap", f"WITH {TRACKS_SQL}, {JOBS_SQL.lstrip()} SELECT track_id, job_id, len(list_intersect(tech, job_keys)) AS shared FROM tracks, jobs WHERE len(list_intersect(tech, job_keys)) > 0")
