@@ -337,3 +337,37 @@ def test_matching_files(spark, tmp_path):
     assert [f.rsplit("/", 1)[1] for f in files] == ["a1.json", "a2.json", "b.json", "c.json"]
     good, bad = readers.read_json_arrays(spark, files, StructType().add("k", "string"))
     assert sorted(r["k"] for r in good.collect()) == ["a1.json", "a2.json", "b.json"] and bad.count() == 1
+
+
+def _one_track(spark):
+    listed = [(7, f"P{n:02d}", [0.4, 0.6][n % 2], 2 + n % 2, [1 + n % 4, 1 + (n + 1) % 4], [f"P{n // 2:02d}"] if n % 3 == 0 and n else []) for n in range(30)]
+    people = [(f"S{k}", 7, 1 + k % 8, [f"P{n:02d}" for n in range(k, 30, 4)], [f"P{n:02d}" for n in range(k, 30, 7)]) for k in range(6)]
+    students = spark.createDataFrame(people, "student_id string, track int, current_semester int, shared array<string>, done array<string>")
+    return students, spark.createDataFrame(listed, "track int, course_id string, base double, credits int, grades array<int>, prereqs array<string>")
+
+
+def test_listed_candidates_are_ordered_without_a_row_in_a_shuffle(spark):
+    students, listings = _one_track(spark)
+    rows = students.join(listings, "track").withColumn("score", F.col("base") + F.when(F.array_contains("shared", F.col("course_id")), 0.4).otherwise(0.0)).withColumns({"priority": F.lit(1), "course_type": F.lit("any")})
+    wanted = L.order_candidates(rows.drop("done"), students.select("student_id", F.explode("done").alias("course_id")), ["any"])
+    found = L.listed_candidates(students, listings, 3)
+    columns = ["student_id", "course_id", "credits", F.round("score", 9), "place"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize(("tamper", "rule"), [
+    (None, None),
+    (lambda p: p.withColumn("credits", F.when(F.col("position") == 0, F.col("credits") + 40).otherwise(F.col("credits"))), "semester cap"),
+    (lambda p: p.withColumn("grade", F.when(F.col("course_id").isNotNull(), 1 + F.col("grade") % 4).otherwise(F.col("grade"))), "grade"),
+    (lambda p: p.unionByName(p.where("position = 0").withColumn("position", F.lit(50))), "twice"),
+    (lambda p: p.where("position is null or position < 1"), "left out"),
+    (lambda p: p.withColumn("course_id", F.when(F.col("position") == 0, "P99").otherwise(F.col("course_id"))), "not offered"),
+    (lambda p: p.withColumn("position", -F.col("position")), "prerequisite"),
+])
+def test_breaches_of_a_plan_are_found(spark, tamper, rule):
+    students, listings = _one_track(spark)
+    plan = L.plan_listed(students, listings)
+    found = {r["rule"] for r in L.plan_breaches(tamper(plan) if tamper else plan, students, listings).collect()}
+    assert rule in found if rule else not found
