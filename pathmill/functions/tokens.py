@@ -134,10 +134,12 @@ def by_patterns(text: Column, patterns: list[str], then: Callable[[list[Column]]
     """What `then` makes of the patterns' hits in the text, a condition for each; case is not minded, null holds nothing.
 
     One scan finds the words of the text that patterns require, at every place the longest, which stands for the shorter
-    ones that begin there too. A pattern is run only where one of its words has come up; those that require none always.
+    ones that begin there too. A pattern is run only where one of its words has come up; those that require none always,
+    and those that are nothing but words never, as the scan has answered them.
     """
     body = F.coalesce(text, F.lit(""))
-    needs = [required_literals(p) for p in patterns]
+    plain = [bool(re.fullmatch(r"[A-Za-z0-9 ]{2,}(\|[A-Za-z0-9 ]{2,})*", p)) for p in patterns]
+    needs = [frozenset(p.lower().split("|")) if whole else required_literals(p) for p, whole in zip(patterns, plain, strict=True)]
     words = sorted({w for ws in needs if ws for w in ws})
     if not words:
         return then([body.rlike(f"(?iu){p}") for p in patterns])
@@ -147,7 +149,8 @@ def by_patterns(text: Column, patterns: list[str], then: Callable[[list[Column]]
     numbers = F.create_map(*[v for w, ks in asked.items() for v in (F.lit(w), F.array(*map(F.lit, ks)))])
     candidates = F.array_distinct(F.flatten(F.transform(seen, lambda w: F.try_element_at(numbers, w))))
     # bound by a lambda, so that the scan is made once and not for every pattern
-    made = F.transform(F.array(candidates), lambda c: then([(F.array_contains(c, k) if needs[k] else F.lit(True)) & body.rlike(f"(?iu){p}") for k, p in enumerate(patterns)]))
+    run = lambda c, k, p: F.array_contains(c, k) if plain[k] else (F.array_contains(c, k) if needs[k] else F.lit(True)) & body.rlike(f"(?iu){p}")
+    made = F.transform(F.array(candidates), lambda c: then([run(c, k, p) for k, p in enumerate(patterns)]))
     return F.get(made, 0)
 
 
