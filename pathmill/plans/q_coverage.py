@@ -45,13 +45,13 @@ def parts(spark, d):
     planned = course_lists(spark, d, "O")
     course_tokens = courses(spark, d).select("course_id", F.explode("tokens").alias("key"))
     reach = cut(C.reachable_tokens(done(spark, d), planned, course_tokens, parts_of(spark, d, "lineitem")))
-    anchors = C.anchor_jobs(jobs)
+    anchors = C.anchor_jobs(jobs, parts=parts_of(spark, d, "lineitem"))
     return {"jobs": jobs, "job_tokens": job_tokens, "planned": planned, "course_tokens": course_tokens, "reach": reach, "anchors": anchors, "targets": C.target_tokens(anchors, job_tokens, reach, CAP)}
 
 
 @query("r20_anchor_job", f"WITH {COVERAGE_SQL} SELECT student_id, job_id FROM anchors")
 def r20(spark, d):
-    return C.anchor_jobs(offers(spark, d)[0])
+    return C.anchor_jobs(offers(spark, d)[0], parts=parts_of(spark, d, "lineitem"))
 
 
 @query("r21_target_tokens", f"WITH {COVERAGE_SQL} SELECT student_id, key, done, freq FROM targets")
