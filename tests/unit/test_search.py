@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from pathmill.operators import vectors
+from pathmill.operators import retrieval, scoring, vectors
 from pathmill.operators.retrieval import hybrid_search, term_pairs
 from pathmill.operators.vectors import InvertedFile
 
@@ -91,3 +91,32 @@ def test_frequent_terms_are_not_joined_on(spark):
     asked = docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
     assert term_pairs(asked, docs, 0.61).count() == 40  # itself and the one that shares w
     assert term_pairs(asked, docs, 0.3).where("query_id = 0").count() == 200  # three of seven: every pair reaches it
+
+
+def test_pages_tiles_and_counts_in_parts_give_the_same_hits(spark, monkeypatch):
+    rows = [(k, v, t) for k, (v, t) in enumerate(zip(clustered(150), terms(150)))] + [(k, None, ["the", "a", "same"]) for k in range(200, 260)]
+    asked = [r for r in rows if r[0] % 5 == 0]
+    q, d = frames(spark, rows, asked)
+    monkeypatch.setattr(retrieval, "PAGE_QUERIES", 7)
+    page = scoring.Page.of(q.toArrow(), 0.3, 0.2, 3)
+    for name, value in (("TILE", 11), ("COUNTED", 5), ("HELD", 20)):
+        monkeypatch.setattr(scoring, name, value)
+    wanted = every_pair(rows, asked, k=3)
+    hits = list(page.search(d.toArrow().to_batches(max_chunksize=40)))
+    assert sorted((b["query_id"][i].as_py(), b["doc_id"][i].as_py()) for b in hits for i in range(b.num_rows)) == sorted(w[:2] for w in wanted)
+    assert found(hybrid_search(q, d, k=3)) == wanted
+
+
+def test_no_row_is_made_of_a_pair_that_is_no_hit(spark):
+    rows = [(k, None, ["the", "of", "and", *(f"x{k}-{i}" for i in range(27))]) for k in range(300)]  # 3 of 57 terms
+    q, d = frames(spark, rows, rows[::10])
+    hits = hybrid_search(q, d)
+    assert found(hits) == [(k, k, 0.7, 1) for k in range(0, 300, 10)]
+    assert "JOIN" not in hits._jdf.queryExecution().optimizedPlan().toString().upper()  # what is read is hits alone
+    assert sum(spark.read.parquet(f).count() for f in hits.inputFiles()) == 30
+
+
+def test_vectors_that_are_no_vectors_have_no_cosine(spark):
+    nan = float("nan")
+    q, d = frames(spark, [(1, [1.0, nan], ["x"]), (2, [1.0, None], ["y"]), (3, [float("inf"), 0.0], ["z"]), (4, [1.0, 0.0, 0.0], ["v"])], [(7, [1.0, 0.0], ["x"]), (8, [nan, nan], ["y", "w"])])
+    assert found(hybrid_search(q, d)) == [(7, 1, 0.7, 1), (8, 2, 0.35, 1)]
