@@ -44,9 +44,10 @@ def parts(spark, d):
     jobs, job_tokens = offers(spark, d)
     planned = course_lists(spark, d, "O")
     course_tokens = courses(spark, d).select("course_id", F.explode("tokens").alias("key"))
-    reach = cut(C.reachable_tokens(done(spark, d), planned, course_tokens, parts_of(spark, d, "lineitem")))
-    anchors = C.anchor_jobs(jobs, parts=parts_of(spark, d, "lineitem"))
-    return {"jobs": jobs, "job_tokens": job_tokens, "planned": planned, "course_tokens": course_tokens, "reach": reach, "anchors": anchors, "targets": C.target_tokens(anchors, job_tokens, reach, CAP)}
+    n = parts_of(spark, d, "lineitem")
+    reach = cut(C.reachable_tokens(done(spark, d), planned, course_tokens, n))
+    anchors = C.anchor_jobs(jobs, parts=n)
+    return {"parts": n, "jobs": jobs, "job_tokens": job_tokens, "planned": planned, "course_tokens": course_tokens, "reach": reach, "anchors": anchors, "targets": C.target_tokens(anchors, job_tokens, reach, CAP, n)}
 
 
 @query("r20_anchor_job", f"WITH {COVERAGE_SQL} SELECT student_id, job_id FROM anchors")
@@ -72,13 +73,13 @@ def r22(spark, d):
 """)
 def r23(spark, d):
     p = parts(spark, d)
-    return C.job_coverage(p["jobs"], p["job_tokens"], p["reach"]).withColumn("missing", F.array_join("missing", "|"))
+    return C.job_coverage(p["jobs"], p["job_tokens"], p["reach"], p["parts"]).withColumn("missing", F.array_join("missing", "|"))
 
 
 @query("r24_contributions", f"WITH {COVERAGE_SQL} SELECT student_id, course_id, added, round(ratio, 6) AS ratio, place FROM contributed")
 def r24(spark, d):
     p = parts(spark, d)
-    return C.contributions(p["planned"], p["course_tokens"], p["targets"]).withColumn("ratio", F.round("ratio", 6))
+    return C.contributions(p["planned"], p["course_tokens"], p["targets"], p["parts"]).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("r24_next_actions", f"""
@@ -88,7 +89,7 @@ def r24(spark, d):
 """)
 def r24_actions(spark, d):
     p = parts(spark, d)
-    return C.next_actions(C.contributions(p["planned"], p["course_tokens"], p["targets"]), p["course_tokens"], p["targets"])[1].withColumn("ratio", F.round("ratio", 6))
+    return C.next_actions(C.contributions(p["planned"], p["course_tokens"], p["targets"], p["parts"]), p["course_tokens"], p["targets"])[1].withColumn("ratio", F.round("ratio", 6))
 
 
 @query("r25_gap_tokens", f"WITH {COVERAGE_SQL} SELECT student_id, string_agg(display, '|' ORDER BY display) AS tokens FROM anchors JOIN job_tokens USING (job_id) ANTI JOIN reach USING (student_id, key) GROUP BY 1")
